@@ -2,6 +2,9 @@
 
 from incident_signals.catalog import (  # noqa: F401
     density_queries,
+    pattern_queries,
+    report_queries,
+    temporal_queries,
 )
 from incident_signals.catalog.registry import CHECKS, QUERIES
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from incident_signals.session import new_path
 
 # dimension column -> short name in the long table
 DIMENSIONS = {
@@ -61,8 +64,20 @@ ENDINGS = [
 ]
 
 
+# Schemas already read from file footers, and enriched tables already written by this application.
+_SCHEMAS: dict[str, T.StructType] = {}
+_ENRICHED: dict[tuple[str, str], str] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table; its footer is read for the schema only the first time."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,21 +137,41 @@ def _value(column: str) -> Column:
     }.get(column, F.col(DIMENSIONS[column]))
 
 
-def reports(spark: SparkSession, sf_dir: str, *columns: str, truth: bool = False) -> DataFrame:
-    """Enriched reports with the asked-for list columns, and truth columns on request."""
-    base = _plain_reports(spark, sf_dir)
-    if not columns:
-        return base
-    lists = [F.collect_set(_value(c)).alias(c) for c in columns]
-    truths = {"activity": "predicted_activity", "hazard": "predicted_hazards", "barrier_failure": "predicted_barrier_failures"}
-    single = [F.min(_value(source)).alias(name) for name, source in truths.items() if truth and source in columns]
-    grouped = (
-        _dimension_source(spark, sf_dir, list(columns)).groupBy(F.col("l_orderkey").alias("report_id")).agg(*lists, *single)
-    )
+def derive_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports with their list columns and truth columns, as one lazy plan."""
+    items = _dimension_source(spark, sf_dir, list(DIMENSIONS))
+    line = F.struct(*[_value(c).alias(c) for c in DIMENSIONS])
+    grouped = items.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.collect_list(line).alias("lines"))
+    joined = _plain_reports(spark, sf_dir).join(grouped, "report_id", "left")
     none = F.array().cast("array<string>")
-    joined = base.join(grouped, "report_id", "left")
+    truth = {"activity": "predicted_activity", "hazard": "predicted_hazards", "barrier_failure": "predicted_barrier_failures"}
     return joined.select(
-        *[F.coalesce(F.col(c), none).alias(c) if c in columns else F.col(c) for c in joined.columns]
+        *[c for c in joined.columns if c != "lines"],
+        *[F.coalesce(F.array_distinct(F.col("lines")[c]), none).alias(c) for c in DIMENSIONS],
+        *[F.array_min(F.col("lines")[source]).alias(name) for name, source in truth.items()],
+    )
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched report table at rest, which all analytics read.
+
+    Written once per application to the shared folder; a reader scans only the
+    columns it uses.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENRICHED:
+        path = new_path(spark, "enriched-reports")
+        derive_enriched(spark, sf_dir).write.parquet(path)
+        _ENRICHED[key] = path
+    return read_table(spark, _ENRICHED[key])
+
+
+def reports(spark: SparkSession, sf_dir: str, *columns: str, truth: bool = False) -> DataFrame:
+    """Enriched reports with the asked-for list columns, and truth columns on request."""
+    base = ["report_id", "date", "site", "location", "report_type", "sif_prediction", "sif_label", "sif_probability",
+            "description"]
+    return enriched(spark, sf_dir).select(
+        *base, *columns, *(["activity", "hazard", "barrier_failure"] if truth else [])
     )
 
 

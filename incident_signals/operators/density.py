@@ -43,7 +43,7 @@ def dimension_items(df: DataFrame, columns: list[str]) -> Column:
     def items(name: str) -> Column:
         return F.transform(
             values_of(df, name),
-            lambda value: F.struct(F.lit(name).alias("dim"), value.cast("string").alias("value")),
+            lambda value: F.named_struct(F.lit("dim"), F.lit(name), F.lit("value"), value.cast("string")),
         )
 
     return F.concat(*[items(name) for name in columns])

@@ -25,17 +25,14 @@ def available(df: DataFrame, definitions) -> list[tuple[str, list[str]]]:
     return [(kind, columns) for kind, columns in definitions if all(name in df.columns for name in columns)]
 
 
-def _combinations(kind: str, columns: list[str]) -> Column:
-    first, second = F.col(f"_{columns[0]}"), F.col(f"_{columns[1]}")
-    third = F.col(f"_{columns[2]}") if len(columns) > 2 else F.array(F.lit(None).cast("string"))
-
-    def entry(a: Column, b: Column, c: Column) -> Column:
-        return F.struct(F.lit(kind).alias("pattern_type"), a.alias("a"), b.alias("b"), c.alias("c"))
-
-    return F.flatten(
-        F.transform(
-            first, lambda a: F.flatten(F.transform(second, lambda b: F.transform(third, lambda c: entry(a, b, c))))
-        )
+def _sides(kind: str, columns: list[str]) -> Column:
+    """The value arrays whose combinations a definition counts; a pair has one empty third value."""
+    third = F.col(f"_values_{columns[2]}") if len(columns) > 2 else F.array(F.lit(None).cast("string"))
+    return F.named_struct(
+        F.lit("pattern_type"), F.lit(kind),
+        F.lit("_a"), F.col(f"_values_{columns[0]}"),
+        F.lit("_b"), F.col(f"_values_{columns[1]}"),
+        F.lit("_c"), third,
     )
 
 
@@ -43,10 +40,14 @@ def pattern_rows(df: DataFrame, definitions, keep: list[Column], unique_ids: boo
     """One row per report and combination, carrying ``keep``."""
     definitions = available(df, definitions)
     names = list(dict.fromkeys(name for _, columns in definitions for name in columns))
-    values = [F.transform(values_of(df, n), lambda v: v.cast("string")).alias(f"_{n}") for n in names]
+    values = [F.transform(values_of(df, n), lambda v: v.cast("string")).alias(f"_values_{n}") for n in names]
     kept = df.select(F.col("report_id").alias("_id"), *keep, *values)
-    carried = [name for name in kept.columns if name not in {f"_{n}" for n in names}]
-    rows = kept.select(*carried, F.inline(F.concat(*[_combinations(kind, cols) for kind, cols in definitions])))
+    carried = [name for name in kept.columns if not name.startswith("_values_")]
+    # plain explodes, one per side: they all stay in one generated stage with the partial aggregation
+    rows = kept.select(*carried, F.inline(F.array(*[_sides(kind, cols) for kind, cols in definitions])))
+    rows = rows.select(*carried, "pattern_type", F.explode("_a").alias("a"), "_b", "_c")
+    rows = rows.select(*carried, "pattern_type", "a", F.explode("_b").alias("b"), "_c")
+    rows = rows.select(*carried, *KEY[:3], F.explode("_c").alias("c"))
     return rows if unique_ids else rows.dropDuplicates(["_id", *KEY])
 
 

@@ -24,25 +24,18 @@ def pair_counts(df: DataFrame, anchor: str, dimensions: list[str], unique_ids: b
     present = [name for name in dimensions if name in df.columns]
     itself = F.array(F.struct(F.lit(ITSELF).alias("dim"), F.lit("").alias("value")))
     items = F.concat(itself, dimension_items(df, present)) if present else itself
-    paired = F.flatten(
-        F.transform(
-            values_of(df, anchor),
-            lambda name: F.transform(
-                F.col("_items"), lambda item: F.struct(name.alias("anchor"), item["dim"].alias("dim"), item["value"].alias("value"))
-            ),
-        )
-    )
-    dated = "date" in df.columns
     keep = ["sif_prediction", "sif_probability"] + ([] if unique_ids else ["report_id"])
-    base = df.select(
-        *keep, anchor, items.alias("_items"), *([as_date(df).alias("_date")] if dated and anchor == "site" else [])
+    if anchor == "site" and "date" in df.columns:
+        df = df.withColumn("_date", as_date(df))
+        keep.append("_date")
+    rows = df.select(*keep, F.explode(values_of(df, anchor)).alias("anchor"), items.alias("_items")).select(
+        *keep, "anchor", F.inline("_items")
     )
-    rows = base.select(*keep, *(["_date"] if "_date" in base.columns else []), F.inline(paired))
     if not unique_ids:
         rows = rows.dropDuplicates(["report_id", "anchor", "dim", "value"])
     dates = (
         [F.count("_date").alias("_dated"), F.min("_date").alias("_first"), F.max("_date").alias("_last")]
-        if "_date" in base.columns
+        if "_date" in keep
         else []
     )
     return rows.groupBy("anchor", "dim", "value").agg(*report_measures(), *dates)
