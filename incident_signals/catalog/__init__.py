@@ -2,6 +2,7 @@
 
 from incident_signals.catalog import (  # noqa: F401
     density_queries,
+    extraction_queries,
     pattern_queries,
     report_queries,
     temporal_queries,

@@ -97,13 +97,17 @@ def split_clauses(text: Column) -> Column:
     )
 
 
+def title_case_sql(text: str) -> str:
+    """SQL for upper case after every non-letter and lower case elsewhere."""
+    return (
+        rf"""array_join(transform(split({text}, r'(?<=[^\p{{L}}])'),
+              p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), '')"""
+    )
+
+
 def title_case(text: Column) -> Column:
-    """Upper case after every non-letter, lower case elsewhere."""
     pieces = F.split(text, r"(?<=[^\p{L}])")
-    return F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 2147483647)))),
-        "",
-    )
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))), "")
 
 
 def excerpt(text: Column, length: int = fixed.EXCERPT_LENGTH) -> Column:

@@ -1,6 +1,6 @@
 """Rule-based extraction of activities, hazards, barrier failures and more from report text.
 
-Rules are a bounded list known when the plan is built.  They become column
+Rules are a bounded list known when the plan is built.  They become SQL
 expressions with constant patterns, so a report is read once, no rule is joined
 to it, no row is multiplied and every pattern is compiled once per task.  A
 cheap substring test on the longest literal piece of a pattern keeps regular
@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
-from incident_signals.functions.text import WORD_END, WORD_START, title_case
+from incident_signals.functions.text import WORD_END, WORD_START, title_case_sql
 
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 ENTITY_COLUMNS = ["activities", "equipment", "hazards", "barrier_failures", "unsafe_actions", "unsafe_conditions",
                   "potential_consequences"]
 _TEXT, _LOWER = "_text", "_lower"
+_NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
 
 @dataclass(frozen=True)
@@ -61,55 +62,53 @@ BARRIER_RULES = [
     for rule in rules_of(block)
     if rule.value == category
 ]
-CONSEQUENCE_RULES = [
-    Rule(rule.value, re.escape(rule.pattern).replace(r"\ ", " ").replace(r"\-", "-"), HIGH, True)
-    for rule in rules_of(fixed.CONSEQUENCE_NAMES)
-]
+CONSEQUENCE_RULES = rules_of(fixed.CONSEQUENCE_NAMES, word=True)
+
+
+def _lit(text: str) -> str:
+    """Raw SQL string literal."""
+    if '"' in text:
+        raise ValueError(f"patterns must not contain double quotes: {text}")
+    return f'r"{text}"'
+
+
+def _guarded(needle: str, value: str) -> str:
+    return f"if(contains({_LOWER}, {_lit(needle)}), {value}, NULL)" if needle else value
 
 
-def _guarded(needle: str, value: Column) -> Column:
-    return F.when(F.contains(F.col(_LOWER), F.lit(needle)), value) if needle else value
+def _contains_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_lit(word)})" for word in words) + ")"
 
 
-def _first_match(rule: Rule) -> Column:
-    found = F.nullif(F.regexp_extract(F.col(_TEXT), F.lit(rule.regex), 0), F.lit(""))
-    return _guarded(rule.needle, found)
+def _first_match(rule: Rule) -> str:
+    return _guarded(rule.needle, f"nullif(regexp_extract({_TEXT}, {_lit(rule.regex)}, 0), '')")
 
 
-def _candidates(matches: list[tuple[str, str, Column]]) -> Column:
-    """Per value the first evidence of high and of medium confidence; inputs are (value, confidence, evidence)."""
-    values = list(dict.fromkeys(value for value, _, _ in matches))
+def _candidates(matches: list[tuple[str, str, str]]) -> Column:
+    """Per value the first evidence of high and of medium confidence.
 
-    def best(value: str, level: str) -> Column:
+    The inputs are (value, confidence, evidence expression), in rule order.
+    """
+
+    def best(value: str, level: str) -> str:
         found = [evidence for v, confidence, evidence in matches if v == value and confidence == level]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
+        return f"coalesce({', '.join(found)})" if found else "CAST(NULL AS STRING)"
 
-    return F.array(
-        *[
-            F.named_struct(F.lit("value"), F.lit(v), F.lit("high"), best(v, HIGH), F.lit("medium"), best(v, MEDIUM))
-            for v in values
-        ]
-    )
+    values = dict.fromkeys(value for value, _, _ in matches)
+    parts = [f"named_struct('value', {_lit(v)}, 'high', {best(v, HIGH)}, 'medium', {best(v, MEDIUM)})" for v in values]
+    return F.expr(f"array({', '.join(parts)})")
 
 
-def _item(value: Column, evidence: Column, confidence: Column, method: Column) -> Column:
-    return F.named_struct(
-        F.lit("value"), value, F.lit("evidence"), evidence, F.lit("confidence"), confidence,
-        F.lit("match_method"), method,
+def _items(candidates: str) -> Column:
+    return F.expr(
+        f"""transform(filter({candidates}, c -> c.high IS NOT NULL OR c.medium IS NOT NULL),
+              c -> named_struct('value', c.value, 'evidence', coalesce(c.high, c.medium),
+                                'confidence', if(c.high IS NOT NULL, '{HIGH}', '{MEDIUM}'), 'match_method', 'regex'))"""
     )
 
 
-def _items(candidates: Column) -> Column:
-    hit = F.filter(candidates, lambda c: c["high"].isNotNull() | c["medium"].isNotNull())
-    return F.transform(
-        hit,
-        lambda c: _item(
-            c["value"],
-            F.coalesce(c["high"], c["medium"]),
-            F.when(c["high"].isNotNull(), HIGH).otherwise(MEDIUM),
-            F.lit("regex"),
-        ),
-    )
+def _matched(rules: list[Rule]) -> Column:
+    return _candidates([(rule.value, rule.confidence, _first_match(rule)) for rule in rules])
 
 
 def _prepared(df: DataFrame, text: str) -> DataFrame:
@@ -117,36 +116,39 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({_TEXT: plain, _LOWER: F.lower(plain)})
 
 
+def _settled(column: str) -> Column:
+    """The column itself, fixed at this point of the plan.
+
+    A filter on an extracted column would otherwise be moved below the
+    extraction by copying the whole extraction into the condition.
+    """
+    return F.expr(f"if(spark_partition_id() >= 0, {column}, NULL)")
+
+
 def match_rules(df: DataFrame, text: str, rules: list[Rule], output: str) -> DataFrame:
     """Adds an array of extraction items: per value the best evidence, in rule order."""
-    candidates = _candidates([(rule.value, rule.confidence, _first_match(rule)) for rule in rules])
-    staged = _prepared(df, text).withColumn("_found", candidates)
-    return staged.withColumn(output, _items(F.col("_found"))).drop(_TEXT, _LOWER, "_found")
+    staged = _prepared(df, text).withColumn("_found", _matched(rules))
+    named = staged.withColumn(output, _items("_found")).drop(_TEXT, _LOWER, "_found")
+    return named.withColumn(output, _settled(output))
 
 
 # --- hazards ------------------------------------------------------------------------------
 
 _NEGATED = rf"\b(?:{'|'.join(fixed.NEGATORS)})\b\s*(?:[^\s.,;]+)?\s*$"
+_NOT_OR_FAILED = r"\b(?:not|failed to)\b"
 
 
-def _contains_any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
-
-
-def negated(before: Column, category: str, phrase: str) -> Column:
-    """Whether the text before a hit denies it; ``before`` holds the lower-case long window."""
-    near = F.btrim(F.right(before, F.lit(fixed.NEGATION_WINDOW)))
-    result = near.rlike(_NEGATED)
+def negated(before: str, category: str, phrase: str) -> str:
+    """Whether the text before a hit denies it; ``before`` is the lower-case long window."""
+    near = f"btrim(right({before}, {fixed.NEGATION_WINDOW}))"
+    result = f"rlike({near}, {_lit(_NEGATED)})"
     if category in fixed.ENERGY_CATEGORIES:
-        result = result | _contains_any(near, fixed.ENERGY_CLEAR)
+        result += f" OR {_contains_any(near, fixed.ENERGY_CLEAR)}"
     if "depressurized" in phrase:
-        result = result & ~near.rlike(r"\b(?:not|failed to)\b")
+        result = f"({result}) AND NOT rlike({near}, {_lit(_NOT_OR_FAILED)})"
     if category == "Line-of-fire exposure":
-        result = result | _contains_any(before, fixed.LINE_OF_FIRE_CLEAR) | F.contains(near, F.lit("nobody"))
-    return result
+        result += f" OR {_contains_any(before, fixed.LINE_OF_FIRE_CLEAR)} OR contains({near}, 'nobody')"
+    return f"({result})"
 
 
 def _window(size: int) -> str:
@@ -154,20 +156,18 @@ def _window(size: int) -> str:
     return rf"(?<=(^.{{0,{size - 1}}}|.{{{size}}}))"
 
 
-def _hazard_evidence(category: str, phrase: str) -> Column:
+def _hazard_evidence(category: str, phrase: str) -> str:
     """First hit of a phrase that is neither denied nor in an excluded context."""
     size = fixed.LONG_NEGATION_WINDOW if category == "Line-of-fire exposure" else fixed.NEGATION_WINDOW
-    regex = F.lit(rf"(?sid){_window(size)}{WORD_START}{phrase}{WORD_END}(?=(.{{0,{fixed.FIRE_CONTEXT}}}))")
-    hits, before, after = [F.regexp_extract_all(F.col(_TEXT), regex, F.lit(group)) for group in (0, 1, 2)]
-    checked = F.zip_with(
-        hits, before, lambda hit, window: F.when(~negated(F.lower(window), category, phrase), hit)
-    )
+    regex = rf"(?sid){WORD_START}{phrase}{WORD_END}(?<={_window(size)}.{{{len(phrase)}}})(?=(.{{0,{fixed.FIRE_CONTEXT}}}))"
+    hits, before, after = [f"regexp_extract_all({_TEXT}, {_lit(regex)}, {group})" for group in (0, 1, 2)]
+    denied = negated("lower(w)", category, phrase)
+    checked = f"zip_with({hits}, {before}, (hit, w) -> if({denied}, NULL, hit))"
     if category == "Fire/explosion" and "fire" in phrase:
-        around = F.zip_with(before, after, lambda left, right: F.lower(F.concat(left, F.lit(phrase), right)))
-        checked = F.zip_with(
-            checked, around, lambda hit, context: F.when(~_contains_any(context, fixed.FIRE_EXCLUDED_CONTEXTS), hit)
-        )
-    return _guarded(phrase, F.get(F.filter(checked, lambda hit: hit.isNotNull()), F.lit(0)))
+        around = f"zip_with({before}, {after}, (l, r) -> lower(concat(l, {_lit(phrase)}, r)))"
+        excluded = _contains_any("c", fixed.FIRE_EXCLUDED_CONTEXTS)
+        checked = f"zip_with({checked}, {around}, (hit, c) -> if({excluded}, NULL, hit))"
+    return _guarded(phrase, f"get(filter({checked}, hit -> hit IS NOT NULL), 0)")
 
 
 def _hazard_candidates() -> Column:
@@ -177,7 +177,7 @@ def _hazard_candidates() -> Column:
         for phrase in phrases:
             evidence = _hazard_evidence(category, phrase)
             if category in guards:
-                evidence = F.when(_contains_any(F.col(_LOWER), guards[category]), evidence)
+                evidence = f"if({_contains_any(_LOWER, guards[category])}, {evidence}, NULL)"
             matches.append((category, HIGH if len(phrase) > 6 else MEDIUM, evidence))
     return _candidates(matches)
 
@@ -188,150 +188,119 @@ def _hazard_candidates() -> Column:
 def _equipment_mentions() -> Column:
     names = "|".join(fixed.TAGGED_EQUIPMENT)
     tagged = [rf"(?iU)\b(?:{names})\s+[A-Z0-9-]+\b", rf"(?iU)\b[A-Z0-9-]+\s+(?:{names})\b"]
-    none = F.array().cast("array<string>")
 
-    def all_of(regex: str) -> Column:
-        return F.regexp_extract_all(F.col(_TEXT), F.lit(regex), F.lit(0))
+    def all_of(condition: str, regex: str) -> str:
+        return f"if({condition}, regexp_extract_all({_TEXT}, {_lit(regex)}, 0), {_NO_STRINGS})"
 
-    parts = [F.when(_contains_any(F.col(_LOWER), fixed.TAGGED_EQUIPMENT), all_of(p)).otherwise(none) for p in tagged]
-    parts += [
-        F.when(F.contains(F.col(_LOWER), F.lit(word)), all_of(rf"(?iU)\b{word}\b")).otherwise(none)
-        for word in fixed.EQUIPMENT_WORDS
-    ]
-    return F.transform(
-        F.concat(*parts), lambda m: F.named_struct(F.lit("mention"), m, F.lit("low"), F.lower(m))
-    )
+    parts = [all_of(_contains_any(_LOWER, fixed.TAGGED_EQUIPMENT), regex) for regex in tagged]
+    parts += [all_of(f"contains({_LOWER}, {_lit(word)})", rf"(?iU)\b{word}\b") for word in fixed.EQUIPMENT_WORDS]
+    return F.expr(f"transform(concat({', '.join(parts)}), m -> named_struct('mention', m, 'low', lower(m)))")
 
 
-def equipment_type(low: Column, mention: Column) -> Column:
-    ladder = None
-    for kind, words in fixed.table(fixed.EQUIPMENT_TYPES):
-        condition = _contains_any(low, words)
-        ladder = F.when(condition, kind) if ladder is None else ladder.when(condition, kind)
-    return ladder.otherwise(title_case(mention))
+def _maximal(mentions: str) -> Column:
+    """Mentions not contained in a longer one, each once."""
+    return F.expr(
+        f"""filter({mentions}, (m, i) -> NOT exists({mentions}, o -> length(o.low) > length(m.low) AND contains(o.low, m.low))
+              AND array_position({mentions}.low, m.low) = i + 1)"""
+    )
 
 
-def _equipment_items(mentions: Column) -> Column:
-    maximal = F.filter(
-        mentions,
-        lambda m: ~F.exists(
-            mentions, lambda o: (F.length(o["low"]) > F.length(m["low"])) & F.contains(o["low"], m["low"])
-        ),
+def _equipment_items(mentions: str) -> Column:
+    branches = " ".join(
+        f"WHEN {_contains_any('m.low', words)} THEN {_lit(kind)}" for kind, words in fixed.table(fixed.EQUIPMENT_TYPES)
     )
-    lows = F.transform(maximal, lambda m: m["low"])
-    once = F.filter(maximal, lambda m, i: F.array_position(lows, m["low"]) == i + 1)
-    return F.transform(
-        once,
-        lambda m: F.named_struct(
-            F.lit("value"), title_case(m["mention"]), F.lit("type"), equipment_type(m["low"], m["mention"]),
-            F.lit("evidence"), m["mention"], F.lit("confidence"), F.lit(HIGH), F.lit("match_method"), F.lit("regex"),
-        ),
+    title = title_case_sql("m.mention")
+    return F.expr(
+        f"""transform({mentions}, m -> named_struct('value', {title}, 'type', CASE {branches} ELSE {title} END,
+              'evidence', m.mention, 'confidence', '{HIGH}', 'match_method', 'regex'))"""
     )
 
 
 # --- derived entities ---------------------------------------------------------------------
 
 
-def first_per_value(items: Column) -> Column:
-    values = F.transform(items, lambda x: x["value"])
-    return F.filter(items, lambda x, i: F.array_position(values, x["value"]) == i + 1)
+def _first_per_value(items: str) -> Column:
+    return F.expr(f"filter({items}, (x, i) -> array_position({items}.value, x.value) = i + 1)")
 
 
-def inferred_consequences(hazards: Column) -> Column:
+def _inferred_consequences(hazards: str) -> Column:
     """Consequences that follow from hazards, with the hazard's evidence."""
-    entries = []
-    for hazard, consequences in fixed.table(fixed.HAZARD_CONSEQUENCES):
-        entries += [F.lit(hazard.lower()), F.array(*[F.lit(c) for c in consequences])]
-    mapping = F.create_map(*entries)
-    none = F.array().cast("array<string>")
-    return F.flatten(
-        F.transform(
-            hazards,
-            lambda h: F.transform(
-                F.coalesce(F.try_element_at(mapping, F.lower(h["value"])), none),
-                lambda c: _item(c, h["evidence"], F.lit(MEDIUM), F.lit("synonym")),
-            ),
-        )
+    branches = " ".join(
+        f"WHEN {_lit(hazard.lower())} THEN array({', '.join(map(_lit, consequences))})"
+        for hazard, consequences in fixed.table(fixed.HAZARD_CONSEQUENCES)
+    )
+    return F.expr(
+        f"""flatten(transform({hazards}, h -> transform(CASE lower(h.value) {branches} ELSE {_NO_STRINGS} END,
+              c -> named_struct('value', c, 'evidence', h.evidence, 'confidence', '{MEDIUM}', 'match_method', 'synonym'))))"""
     )
 
 
-def precursor_tags(hazards: Column, barriers: Column, conditions: Column) -> Column:
-    """Sorted distinct tags; the arguments are arrays of values."""
+def precursor_tags(hazards: str, barriers: str, conditions: str) -> Column:
+    """Sorted distinct tags; the arguments name arrays of extraction items."""
 
-    def tags(values: Column, block: str, matches) -> list[Column]:
+    def tags(items: str, block: str, condition: str) -> list[str]:
         return [
-            F.when(F.exists(values, lambda v: matches(v, key)), F.lit(tag)) for key, tag in fixed.pairs(block)
+            f"if(exists({items}, x -> {condition.format(key=_lit(key))}), {_lit(tag)}, NULL)"
+            for key, tag in fixed.pairs(block)
         ]
 
-    contained = lambda v, key: F.contains(F.lower(v), F.lit(key))
     found = (
-        tags(hazards, fixed.HAZARD_TAGS, contained)
-        + tags(barriers, fixed.BARRIER_TAGS, lambda v, key: v == key)
-        + tags(conditions, fixed.CONDITION_TAGS, contained)
+        tags(hazards, fixed.HAZARD_TAGS, "contains(lower(x.value), {key})")
+        + tags(barriers, fixed.BARRIER_TAGS, "x.value = {key}")
+        + tags(conditions, fixed.CONDITION_TAGS, "contains(lower(x.value), {key})")
     )
-    return F.array_sort(F.array_distinct(F.filter(F.array(*found), lambda t: t.isNotNull())))
-
-
-def values_only(items: Column) -> Column:
-    return F.transform(items, lambda x: x["value"])
+    return F.expr(f"array_sort(array_distinct(filter(array({', '.join(found)}), t -> t IS NOT NULL)))")
 
 
 def extract(df: DataFrame, text: str = "description") -> DataFrame:
     """Adds the seven entity arrays and ``precursor_tags``; no shuffle, one pass over the text."""
-
-    def matched(rules: list[Rule]) -> Column:
-        return _candidates([(rule.value, rule.confidence, _first_match(rule)) for rule in rules])
-
-    staged = _prepared(df, text).withColumns(
-        {
-            "_activities": matched(ACTIVITY_RULES),
-            "_hazards": _hazard_candidates(),
-            "_barriers": matched(BARRIER_RULES),
-            "_actions": matched(ACTION_RULES),
-            "_conditions": matched(CONDITION_RULES),
-            "_consequences": matched(CONSEQUENCE_RULES),
-            "_mentions": _equipment_mentions(),
-        }
-    )
-    named = staged.withColumns(
-        {
-            "activities": _items(F.col("_activities")),
-            "equipment": _equipment_items(F.col("_mentions")),
-            "hazards": _items(F.col("_hazards")),
-            "barrier_failures": _items(F.col("_barriers")),
-            "unsafe_actions": _items(F.col("_actions")),
-            "unsafe_conditions": _items(F.col("_conditions")),
-        }
-    )
-    return complete(named).drop(
-        _TEXT, _LOWER, "_activities", "_hazards", "_barriers", "_actions", "_conditions", "_mentions", "_consequences"
+    working = {
+        "_activities": _matched(ACTIVITY_RULES),
+        "_hazards": _hazard_candidates(),
+        "_barriers": _matched(BARRIER_RULES),
+        "_actions": _matched(ACTION_RULES),
+        "_conditions": _matched(CONDITION_RULES),
+        "_consequences": _matched(CONSEQUENCE_RULES),
+        "_mentions": _equipment_mentions(),
+    }
+    named = (
+        _prepared(df, text)
+        .withColumns(working)
+        .withColumns(
+            {
+                "activities": _items("_activities"),
+                "hazards": _items("_hazards"),
+                "barrier_failures": _items("_barriers"),
+                "unsafe_actions": _items("_actions"),
+                "unsafe_conditions": _items("_conditions"),
+                "potential_consequences": _items("_consequences"),
+                "equipment": _maximal("_mentions"),
+            }
+        )
+        .withColumn("equipment", _equipment_items("equipment"))
     )
+    done = with_derived(named.drop(_TEXT, _LOWER, *working))
+    return done.withColumns({name: _settled(name) for name in [*ENTITY_COLUMNS, "precursor_tags"]})
 
 
-def complete(df: DataFrame) -> DataFrame:
-    """Consequences and tags from the entities found so far."""
-    stated = _items(F.col("_consequences")) if "_consequences" in df.columns else F.col("potential_consequences")
-    return df.withColumns(
+def with_derived(df: DataFrame) -> DataFrame:
+    """Consequences inferred from hazards, and tags, added to the entities found so far."""
+    joined = df.withColumn(
+        "potential_consequences", F.concat("potential_consequences", _inferred_consequences("hazards"))
+    )
+    return joined.withColumns(
         {
-            "potential_consequences": first_per_value(F.concat(stated, inferred_consequences(F.col("hazards")))),
-            "precursor_tags": precursor_tags(
-                values_only(F.col("hazards")), values_only(F.col("barrier_failures")),
-                values_only(F.col("unsafe_conditions")),
-            ),
+            "potential_consequences": _first_per_value("potential_consequences"),
+            "precursor_tags": precursor_tags("hazards", "barrier_failures", "unsafe_conditions"),
         }
     )
 
 
 def long_entities(extracted: DataFrame, columns: list[str] = ENTITY_COLUMNS, key: str = "report_id") -> DataFrame:
     """One row per extracted item: key, category, value, evidence, confidence, match_method."""
-
-    def tagged(name: str) -> Column:
-        return F.transform(
-            F.col(name),
-            lambda x: F.named_struct(
-                F.lit("category"), F.lit(name), F.lit("value"), x["value"], F.lit("evidence"), x["evidence"],
-                F.lit("confidence"), x["confidence"], F.lit("match_method"), x["match_method"],
-            ),
-        )
-
-    return extracted.select(key, F.inline(F.concat(*[tagged(name) for name in columns])))
+    tagged = [
+        f"""transform({name}, x -> named_struct('category', '{name}', 'value', x.value, 'evidence', x.evidence,
+              'confidence', x.confidence, 'match_method', x.match_method))"""
+        for name in columns
+    ]
+    return extracted.select(key, F.inline(F.expr(f"concat({', '.join(tagged)})")))
