@@ -4,7 +4,9 @@ from incident_signals.catalog import (  # noqa: F401
     density_queries,
     extraction_queries,
     pattern_queries,
+    quality_queries,
     report_queries,
+    similarity_queries,
     temporal_queries,
 )
 from incident_signals.catalog.registry import CHECKS, QUERIES
