@@ -7,7 +7,9 @@ from incident_signals.catalog import (  # noqa: F401
     quality_queries,
     report_queries,
     similarity_queries,
+    source_queries,
     temporal_queries,
+    text_queries,
 )
 from incident_signals.catalog.registry import CHECKS, QUERIES
 

@@ -10,9 +10,9 @@ from incident_signals.catalog.registry import query
 from incident_signals.operators import agreement as a
 from incident_signals.operators import similarity as v
 
-UNIT_SQL = """doubles AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
-units AS (SELECT vec_id, label, list_transform(e, x -> CASE WHEN n > 0 THEN x / n ELSE x END) AS e
-  FROM (SELECT *, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM doubles))"""
+UNIT_SQL = """doubles AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+units AS (SELECT vec_id, label, list_transform(e, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS e
+  FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM doubles))"""
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -27,7 +27,7 @@ def vectors(spark, sf) -> DataFrame:
     "v1_unit_vectors",
     with_sql(UNIT_SQL)
     + """SELECT vec_id AS vector_id, round(e[1], 9) AS first, round(list_sum(e), 9) AS total,
-      round(sqrt(list_sum(list_transform(e, x -> x * x))), 9) AS norm FROM units""",
+      round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 9) AS norm FROM units""",
 )
 def unit_vectors(spark, sf):
     e = F.col("embedding")
@@ -104,7 +104,7 @@ def many_queries(spark, sf):
 @query(
     "s8_vector_checks",
     """SELECT count(*) AS rows, CAST(min(len(embedding)) AS INTEGER) AS min_dimension, CAST(max(len(embedding)) AS INTEGER) AS max_dimension,
-      count(*) FILTER (WHERE list_bool_or(list_transform(embedding, x -> isnan(x) OR isinf(x)))) AS not_finite,
+      count(*) FILTER (WHERE list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x)))) AS not_finite,
       count(*) FILTER (WHERE vec_id IS NULL) AS missing_report_ids, min(vec_id) AS first_id,
       max(vec_id) + 1 = count(*) AS ids_aligned FROM embeddings""",
 )

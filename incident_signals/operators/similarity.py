@@ -10,16 +10,21 @@ query and block leave it.  Both are exact and never emit all pairs.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
 from incident_signals.session import MAX_BROADCAST_BYTES
 
+# The helpers below run inside tasks; they travel with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES_IN_TASK = 4096
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 50_000
