@@ -141,9 +141,18 @@ def _training_reports(spark, sf) -> DataFrame:
 
 
 RULES = ["Hot Work", "Driving", "Confined Space"]
+# models already fitted by this application, per data and feature mode
+_FITTED: dict[tuple[str, str, str], tuple] = {}
 
 
 def _models(spark, sf, features):
+    key = (spark.sparkContext.applicationId, sf, type(features).__name__)
+    if key not in _FITTED:
+        _FITTED[key] = _fit_models(spark, sf, features)
+    return _FITTED[key]
+
+
+def _fit_models(spark, sf, features):
     data = stratified_split(_training_reports(spark, sf), "sif_label")
     low = F.lower("description")
     labels = F.filter(
@@ -212,13 +221,13 @@ def comparison(spark, sf):
 @query("q13_false_negatives")
 def false_negatives(spark, sf):
     _, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
-    sif.threshold = 0.999
-    return sif.false_negatives(vectors)
+    missed = sif.false_negatives(vectors, threshold=0.999)
+    return missed.select("report_id", "sif_probability", F.array_join(F.col("terms.term"), ",").alias("terms"))
 
 
 @query("x10_semantic_hazards")
 def semantic(spark, sf):
-    found = add_semantic_hazards(x.extract(reports(spark, sf)), ft.HashingEmbedder(128), threshold=0.4)
+    found = add_semantic_hazards(x.extract(reports(spark, sf)), ft.HashingEmbedder(128), threshold=0.25)
     rows = found.select("report_id", F.inline("hazards")).where(F.col("match_method") == "semantic")
     return rows.select("report_id", "value", "evidence", "similarity_score")
 

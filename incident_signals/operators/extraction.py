@@ -36,7 +36,9 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return f"(?id){WORD_START}{self.pattern}{WORD_END}" if self.word else f"(?id){self.pattern}"
+        if not self.word:
+            return f"(?id){self.pattern}"
+        return f"(?id){whole_word(self.pattern)}"
 
     @property
     def needle(self) -> str:
@@ -47,6 +49,17 @@ class Rule:
         return max((p for p in pieces if not re.search(r"[\\^$()+]", p)), key=len, default="").lower()
 
 
+def whole_word(pattern: str) -> str:
+    """The pattern between word boundaries.
+
+    For a literal the front boundary is tested after it, by its known length:
+    the search then skips from first letter to first letter.
+    """
+    if re.fullmatch(r"[a-z0-9 '&/-]+", pattern):
+        return rf"{pattern}{WORD_END}(?<![\p{{L}}\p{{N}}_].{{{len(pattern)}}})"
+    return f"{WORD_START}{pattern}{WORD_END}"
+
+
 def rules_of(block: str, confidence=lambda pattern: HIGH, word: bool = False) -> list[Rule]:
     return [Rule(value, p, confidence(p), word) for value, patterns in fixed.table(block) for p in patterns]
 
@@ -159,12 +172,12 @@ def _window(size: int) -> str:
 def _hazard_evidence(category: str, phrase: str) -> str:
     """First hit of a phrase that is neither denied nor in an excluded context."""
     size = fixed.LONG_NEGATION_WINDOW if category == "Line-of-fire exposure" else fixed.NEGATION_WINDOW
-    regex = rf"(?sid){WORD_START}{phrase}{WORD_END}(?<={_window(size)}.{{{len(phrase)}}})(?=(.{{0,{fixed.FIRE_CONTEXT}}}))"
-    hits, before, after = [f"regexp_extract_all({_TEXT}, {_lit(regex)}, {group})" for group in (0, 1, 2)]
-    denied = negated("lower(w)", category, phrase)
-    checked = f"zip_with({hits}, {before}, (hit, w) -> if({denied}, NULL, hit))"
+    regex = rf"{whole_word(phrase)}(?<={_window(size)}.{{{len(phrase)}}})(?=(.{{0,{fixed.FIRE_CONTEXT}}}))"
+    hits = f"regexp_extract_all({_TEXT}, {_lit('(?sid)' + regex)}, 0)"
+    before, after = [f"regexp_extract_all({_LOWER}, {_lit('(?sd)' + regex)}, {group})" for group in (1, 2)]
+    checked = f"zip_with({hits}, {before}, (hit, w) -> if({negated('w', category, phrase)}, NULL, hit))"
     if category == "Fire/explosion" and "fire" in phrase:
-        around = f"zip_with({before}, {after}, (l, r) -> lower(concat(l, {_lit(phrase)}, r)))"
+        around = f"zip_with({before}, {after}, (l, r) -> concat(l, {_lit(phrase)}, r))"
         excluded = _contains_any("c", fixed.FIRE_EXCLUDED_CONTEXTS)
         checked = f"zip_with({checked}, {around}, (hit, c) -> if({excluded}, NULL, hit))"
     return _guarded(phrase, f"get(filter({checked}, hit -> hit IS NOT NULL), 0)")

@@ -10,15 +10,15 @@ from incident_signals.session import cut_lineage
 _POSITION_BITS = 33
 
 
-def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """Numbers rows ``start, start + 1, ...`` in the given (unique) order.
+def numbered(df: DataFrame, order: list[str] | None, name: str, start: int = 0) -> DataFrame:
+    """Numbers rows ``start, start + 1, ...`` in the given (unique) order, or as they are read.
 
-    Rows are range-partitioned and sorted inside their partitions.  The result
-    is fixed by a checkpoint, because range bounds are sampled and both reads
-    below must see the same partitions.  A partition's offset comes from the
-    partition sizes, one row per partition.
+    With an order, rows are range-partitioned and sorted inside their
+    partitions; without one they stay where they are.  The result is fixed by a
+    checkpoint, because both reads below must see the same partitions.  A
+    partition's offset comes from the partition sizes, one row per partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     placed = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", _POSITION_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

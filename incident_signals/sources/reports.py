@@ -48,8 +48,8 @@ def fill_defaults(
 ) -> DataFrame:
     """Missing columns are added, missing cells filled (``blanks``), missing report ids numbered.
 
-    Only rows without an id are numbered, in the given order (by default by
-    description), without moving the whole table through one task.
+    Only rows without an id are numbered, in the given unique order or else as
+    they are read, without moving the whole table through one task.
     """
     fill = {**defaults, "date": F.date_format(F.current_date(), "yyyy-MM-dd")}
     for name, default in fill.items():
@@ -58,7 +58,6 @@ def fill_defaults(
             df = df.withColumn(name, value)
         elif blanks:
             df = df.withColumn(name, F.when(is_blank(F.col(name).cast("string")), value).otherwise(F.col(name).cast("string")))
-    order = order or ["description"]
     if "report_id" not in df.columns:
         return _with_ids(df, order, id_prefix)
     ids = df.withColumn("report_id", F.col("report_id").cast("string"))
@@ -68,7 +67,7 @@ def fill_defaults(
     return ids.where(~missing).unionByName(_with_ids(ids.where(missing).drop("report_id"), order, id_prefix))
 
 
-def _with_ids(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
+def _with_ids(df: DataFrame, order: list[str] | None, prefix: str) -> DataFrame:
     rows = numbered(df, order, "_n", start=1)
     return rows.withColumn("report_id", F.format_string(f"{prefix}%05d", F.col("_n"))).drop("_n")
 
