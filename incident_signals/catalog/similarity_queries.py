@@ -52,7 +52,7 @@ def products(spark, sf):
 
 
 CENTRES_SQL = """elements AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM units),
-centres AS (SELECT label AS query_id, list(m ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS m FROM elements GROUP BY label, i)
+centres AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS m FROM elements GROUP BY label, i)
   GROUP BY label)"""
 
 
@@ -128,9 +128,9 @@ def info(spark, sf):
       b AS (SELECT r.report_id, sif_label, [location] AS rules FROM reports r JOIN truths USING (report_id)),
       j AS (SELECT a.report_id, b.report_id IS NOT NULL AS present, sif_prediction AS p, sif_label AS l,
           coalesce(a.rules, []) AS x, b.rules AS y FROM a LEFT JOIN b USING (report_id))
-      SELECT report_id, CASE WHEN present THEN p = l END AS sif_agreement,
-        CASE WHEN present THEN CASE WHEN list_contains(x, y[1]) THEN y[1] ELSE '' END END AS lsr_overlap,
-        CASE WHEN present THEN
+      SELECT report_id, CASE WHEN present THEN CAST(p = l AS VARCHAR) ELSE 'missing' END AS sif_agreement,
+        CASE WHEN present THEN CASE WHEN list_contains(x, y[1]) THEN y[1] ELSE '' END ELSE 'missing' END AS lsr_overlap,
+        CASE WHEN NOT present THEN 'missing' ELSE
           CASE WHEN p != l THEN 'Legacy classifier predicted ' || CASE p WHEN 1 THEN 'SIF-Potential' ELSE 'Non-SIF' END ||
             ' while the RAG assessment identified ' || CASE l WHEN 1 THEN 'SIF-Potential' ELSE 'Non-SIF' END || '.' ELSE '' END ||
           CASE WHEN len(x) > 0 AND NOT list_contains(x, y[1]) THEN '#LSR mismatch: Legacy model identified [''' ||
@@ -145,9 +145,12 @@ def agreement(spark, sf):
     )
     found = a.consistency(model, other)
     rule_part = lambda c: F.when(F.startswith(c, F.lit("LSR")), F.concat(F.lit("#"), c)).otherwise(c)
+    known = lambda c: F.coalesce(c, F.lit("missing"))
     return found.select(
-        "report_id", "sif_agreement", F.array_join("lsr_overlap", ",").alias("lsr_overlap"),
-        F.array_join(F.transform("conflicts", rule_part), "").alias("conflicts"),
+        "report_id",
+        known(F.col("sif_agreement").cast("string")).alias("sif_agreement"),
+        known(F.array_join("lsr_overlap", ",")).alias("lsr_overlap"),
+        known(F.array_join(F.transform("conflicts", rule_part), "")).alias("conflicts"),
     )
 
 

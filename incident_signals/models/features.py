@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
-from incident_signals.operators.similarity import unit_vector
 
 _WORDS = r"(?U)\b\w\w+\b"
 FEATURES = "features"
@@ -82,6 +81,9 @@ class TfidfFeatures:
         return cls(model.stages[0].getInputCol(), model)
 
 
+# An embedder has embed(df, text, output): it adds vectors of unit length for a text column.
+
+
 class HashingEmbedder:
     """Sentence vectors without a model: hashed word counts of unit length, all in the JVM."""
 
@@ -91,8 +93,9 @@ class HashingEmbedder:
     def embed(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
         words = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=_WORDS, gaps=False, toLowercase=True)
         hashed = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=self.dimension)
-        counted = hashed.transform(words.transform(df))
-        return counted.withColumn(output, unit_vector(vector_to_array("_counts"))).drop("_tokens", "_counts")
+        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
+        done = unit.transform(hashed.transform(words.transform(df)))
+        return done.withColumn(output, vector_to_array("_unit")).drop("_tokens", "_counts", "_unit")
 
 
 class ModelEmbedder:

@@ -49,6 +49,18 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def similarities(vector: Column, references: list[list[float]]) -> Column:
+    """Inner products with a few fixed vectors, as one array; one matrix product per Arrow batch."""
+    matrix = np.asarray(references, dtype="float64").T
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(np.round(_matrix(batch) @ matrix, SCORE_DIGITS)) if len(batch) else [])
+
+    return score(vector)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of one query, ties by id."""
     if len(scores) > k:
@@ -181,8 +193,9 @@ def retrieve(
         raise ValueError("Query cannot be empty or whitespace-only.")
     if vectors.limit(1).count() == 0:
         raise RuntimeError("Vector table is empty. Build it before retrieving.")
-    clean = normalize_text(F.col(text))
-    cleaned = queries.withColumn("_clean", F.when(clean == "", F.col(text)).otherwise(clean))
+    cleaned = queries.withColumn("_plain", normalize_text(F.col(text))).withColumn(
+        "_clean", F.when(F.col("_plain") == "", F.col(text)).otherwise(F.col("_plain"))
+    )
     embedded = embedder.embed(cleaned, "_clean", "embedding")
     return with_incidents(top_k(vectors, embedded, k), vectors)
 

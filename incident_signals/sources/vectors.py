@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from incident_signals.functions.text import normalize_text
 from incident_signals.operators.numbering import numbered
-from incident_signals.operators.similarity import unit_vector
 from incident_signals.sources.reports import drop_blank
 
 METADATA = ["report_id", "date", "site", "location", "report_type"]
@@ -18,10 +17,13 @@ def build_vectors(df: DataFrame, embedder, text: str = "description") -> DataFra
     valid = drop_blank(df, text)
     columns = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in METADATA[1:]]
     raw = F.regexp_replace(text, r"^\s+|\s+$", "")
-    clean = normalize_text(F.col(text))
     rows = valid.select(
-        "report_id", *columns, raw.alias("description"), F.when(clean == "", raw).otherwise(clean).alias("clean_description")
+        "report_id", *columns, raw.alias("description"), normalize_text(F.col(text)).alias("_clean")
     )
-    embedded = embedder.embed(rows, "clean_description", "embedding")
-    unit = embedded.withColumn("embedding", unit_vector(F.col("embedding").cast("array<double>")).cast("array<float>"))
-    return numbered(unit, ["report_id"], "vector_id")
+    # a text of nothing but dropped characters stands for itself
+    stated = rows.withColumn(
+        "clean_description", F.when(F.col("_clean") == "", F.col("description")).otherwise(F.col("_clean"))
+    ).drop("_clean")
+    embedded = embedder.embed(stated, "clean_description", "embedding")
+    small = embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    return numbered(small, ["report_id"], "vector_id")
