@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ VALIDATED = {
     "barrier_failure": "predicted_barrier_failures",
 }
 ERROR_SAMPLES = 15
-CURVE_BUCKETS = 64
+LEAST_CURVE_BUCKETS = 64
+MOST_CURVE_BUCKETS = 4096
 
 
 # --- leading values, predicted against truth ------------------------------------------------
@@ -216,7 +218,7 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float) -> D
     return counts.select("tp", "fp", "tn", "fn", *_rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
 
 
-def score_curve(df: DataFrame, label: str, score: str, buckets: int = CURVE_BUCKETS) -> DataFrame:
+def score_curve(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Cumulative positives and negatives at or above every distinct score.
 
     Equal scores are merged before the shuffle.  Distinct scores are split at
@@ -230,10 +232,13 @@ def score_curve(df: DataFrame, label: str, score: str, buckets: int = CURVE_BUCK
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(MOST_CURVE_BUCKETS, max(LEAST_CURVE_BUCKETS, partitions))
     marks = [i / buckets for i in range(1, buckets)]
     splits = scores.agg(F.percentile_approx("score", marks).alias("s")).first()["s"] or []
-    bounds = F.array(*[F.lit(v) for v in sorted(set(splits))]).cast("array<double>")
-    bucketed = scores.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("score"))))
+    bounds = sorted(set(splits)) or [0.0]
+    placed = Bucketizer(inputCol="score", outputCol="bucket", splits=[-float("inf"), *bounds, float("inf")])
+    bucketed = placed.transform(scores)
     higher = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     sums = bucketed.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     offsets = sums.select(
