@@ -237,6 +237,10 @@ def canonical_sql(block: str, fallback: str) -> str:
         CASE WHEN lower(sentence) = part THEN 0 ELSE -length(part) END, ordinal LIMIT 1), {fallback})"""
 
 
+def _or_other(name: str, known: list[str]):
+    return F.when(F.col(name).isin(known), F.col(name)).otherwise("other").alias(name)
+
+
 NORMALIZERS = {
     "activity": (fixed.ACTIVITY_NAMES, n.activity),
     "barrier_failure": (fixed.BARRIER_NAMES, n.barrier_failure),
@@ -257,12 +261,10 @@ NORMALIZERS = {
     + " FROM phrases) USING (sentence)",
 )
 def normalized_sentences(spark, sf):
-    out = sentences(spark, sf)
-    for name, (block, function) in NORMALIZERS.items():
-        value = n.normalized("sentence", function)
-        known = [canonical for canonical, _ in fixed.table(block)]
-        out = out.withColumn(name, F.when(value.isin(known), value).otherwise("other"))
-    return out
+    names = {name: n.normalized("sentence", function) for name, (_, function) in NORMALIZERS.items()}
+    known = {name: [canonical for canonical, _ in fixed.table(block)] for name, (block, _) in NORMALIZERS.items()}
+    out = sentences(spark, sf).withColumns(names)
+    return out.withColumns({name: _or_other(name, known[name]) for name in NORMALIZERS})
 
 
 @query(
@@ -275,14 +277,12 @@ def normalized_sentences(spark, sf):
       FROM phrases) USING (sentence)""",
 )
 def normalized_hazards(spark, sf):
-    hazard, tag = n.normalized("sentence", n.hazard), n.normalized("sentence", n.precursor_tag)
     hazards_known = [name for name, _ in fixed.table(fixed.HAZARD_NAMES)] + [fixed.IGNORE_TOKEN]
     tags_known = [name for name, _ in fixed.table(fixed.TAG_NAMES)]
-    return sentences(spark, sf).select(
-        "report_id",
-        F.when(hazard.isin(hazards_known), hazard).otherwise("other").alias("hazard"),
-        F.when(tag.isin(tags_known), tag).otherwise("other").alias("tag"),
+    named = sentences(spark, sf).withColumns(
+        {"hazard": n.normalized("sentence", n.hazard), "tag": n.normalized("sentence", n.precursor_tag)}
     )
+    return named.select("report_id", _or_other("hazard", hazards_known), _or_other("tag", tags_known))
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
 from incident_signals.functions.numbers import ratio
-from incident_signals.schema import values_of
+from incident_signals.schema import is_list, values_of
 
 
 def report_measures() -> list[Column]:
@@ -52,7 +52,13 @@ def dimension_items(df: DataFrame, columns: list[str]) -> Column:
 def long_values(df: DataFrame, columns: list[str], keep: list[str], unique_ids: bool = True) -> DataFrame:
     """One row per report, dimension and value."""
     wanted = list(dict.fromkeys(keep if unique_ids else ["report_id", *keep]))
-    rows = df.select(*wanted, F.inline(dimension_items(df, columns)))
+    if len(columns) == 1 and not is_list(df, columns[0]):
+        # a single scalar needs no explode, and its null test reaches the scan
+        value = F.col(columns[0])
+        plain = df.where(value.isNotNull())
+        rows = plain.select(*wanted, F.lit(columns[0]).alias("dim"), value.cast("string").alias("value"))
+    else:
+        rows = df.select(*wanted, F.inline(dimension_items(df, columns)))
     return rows if unique_ids else rows.dropDuplicates(["report_id", "dim", "value"])
 
 

@@ -24,6 +24,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # plans are built from many small expressions; recording a call site for each costs seconds
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # list columns are collected for many reports at once; keep them hashed
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .getOrCreate()
     )
 
