@@ -48,7 +48,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_check() -> str:
     rows = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
-    words = "list_filter(regexp_split_to_array({}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), w -> w <> '')"
+    words = "list_filter(regexp_split_to_array({}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
     gram = "array_to_string(words[i : i + 4], ' ')"
     return f"""
     WITH listed AS (
