@@ -86,7 +86,10 @@ def _masks(n: int) -> list[int]:
 
 
 def _mins(hashes: Column, masks: list[int]) -> Column:
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in masks])
+    def masked(mask: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
+
+    return F.array(*[masked(mask) for mask in masks])
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_signals.llm import decontaminate, license_scan, quality, url_rules
+from incident_signals.llm import decontaminate, license_scan, quality, stream_dedup, url_rules
 from incident_signals.llm.registry import CHECKS, LOWER, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -132,3 +132,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(quality.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op5_exact_dedup",
+    f"""
+    WITH texts AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS full_text FROM documents)
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(full_text) AS text_sha256
+    FROM texts WINDOW w AS (PARTITION BY full_text)
+    """,
+)
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")

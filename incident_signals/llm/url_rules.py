@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from incident_signals.llm.text import ascii_lower
 
-URLS_PER_RANGE = 200_000
-SAMPLES_PER_RANGE = 32
-MAX_RANGES = 4_000
+URLS_PER_RANGE = 20_000
+SAMPLES_PER_RANGE = 16
+MAX_RANGES = 20_000
 DEFAULT_VERDICT = "allow"
 _LAST = "\U0010ffff"
 
