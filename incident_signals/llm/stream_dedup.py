@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from incident_signals.llm.text import ascii_lower
 from incident_signals.session import new_path
 
-BYTES_PER_BATCH = "64g"
+BYTES_PER_BATCH = 64 << 30
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = "digest string, n long, keeper struct<id:bigint,file:string,row:bigint>"
 
@@ -31,13 +31,14 @@ def digest(text: Column) -> Column:
 
 
 def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key: str, text: str,
-               bytes_per_batch: str = BYTES_PER_BATCH) -> None:
+               bytes_per_batch: int = BYTES_PER_BATCH) -> None:
     """Reads what is new at ``path`` and adds the changed state entries to ``out_dir``.
 
     ``state_dir`` holds offsets and state: a run that was cut off, or new files,
     go on where the last run ended.  A batch writes its own folder anew, so a
     repeated batch changes nothing.
     """
+    path = path.rstrip("/")
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
@@ -46,7 +47,7 @@ def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key
     rows = (
         session.readStream.schema(spark.read.parquet(path).schema)
         .option("maxBytesPerTrigger", bytes_per_batch)
-        .parquet(path)
+        .parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, for the table may be one file
         .select(
             digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{key}`").cast("long").alias("id"),
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
@@ -76,7 +77,7 @@ def latest_state(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text",
-                state_dir: str | None = None, bytes_per_batch: str = BYTES_PER_BATCH) -> DataFrame:
+                state_dir: str | None = None, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
     """One row per row of the parquet table at ``path``: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty.
