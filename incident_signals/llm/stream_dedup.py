@@ -5,7 +5,9 @@ The stream's state is keyed by the digest of the normalized text, lives on disk
 largest row id seen), the locator of that row's content and the number of rows.
 Partial aggregation before the shuffle keeps a hot text from reaching one task
 row by row.  Digests seen more than once are hits: their rows are grouped by
-their full bytes, so two texts that only share a digest stay apart.
+their full bytes, so two texts that only share a digest stay apart; rows find
+their group again by the digest and a second hash, and a pair of texts that
+shares both ends the run with an error.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from incident_signals.session import new_path
 
 BYTES_PER_BATCH = 64 << 30
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = "digest string, n long, keeper struct<id:bigint,file:string,row:bigint>"
+STATE_SCHEMA = "digest string, n long, keeper struct<id:bigint,file:string,row:bigint,mark:bigint>"
 
 
 def normalized(text: Column) -> Column:
@@ -30,6 +32,11 @@ def digest(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
+def mark(text: Column) -> Column:
+    """A second hash, to tell rows apart whose texts share a digest."""
+    return F.xxhash64(normalized(text))
+
+
 def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key: str, text: str,
                bytes_per_batch: int = BYTES_PER_BATCH) -> None:
     """Reads what is new at ``path`` and adds the changed state entries to ``out_dir``.
@@ -42,6 +49,8 @@ def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # else each of many small stores sets megabytes of disk aside
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     rows = (
@@ -51,10 +60,11 @@ def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key
         .select(
             digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{key}`").cast("long").alias("id"),
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+            mark(F.col(f"`{text}`")).alias("mark"),
         )
     )
     state = rows.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "file", "row")).alias("keeper")
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "file", "row", "mark")).alias("keeper")
     )
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -91,32 +101,25 @@ def deduplicate(spark: SparkSession, path: str, key: str = "doc_id", text: str =
     folder = state_dir or new_path(spark, "dedup")
     run_stream(spark, path, f"{folder}/state", f"{folder}/seen", key, text, bytes_per_batch)
     seen = latest_state(spark, f"{folder}/seen")
-    docs = spark.read.parquet(path).select(
-        F.col(f"`{key}`").alias("_key"), digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("_text")
-    )
-    hits = docs.join(seen.where("n > 1").select("digest"), "digest", "left_semi")
+    content = F.col(f"`{text}`")
+    docs = spark.read.parquet(path).select(F.col(f"`{key}`").alias("_key"), content.alias("_text"), digest(content).alias("digest"))
     # full bytes, compared as the key of an aggregation: one copy per task and text is shuffled
+    hits = docs.join(seen.where("n > 1").select("digest"), "digest", "left_semi")
     by_text = hits.groupBy("digest", normalized(F.col("_text")).alias("_full")).agg(
         F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    one = (
-        by_text.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    copied = by_text.groupBy("digest", F.xxhash64("_full").alias("_mark")).agg(
+        F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
     )
-    single = seen.where("n = 1").select(
-        "digest", F.lit(1).cast("long").alias("_texts"), F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size")
+    copied = copied.withColumn(
+        "keep_id", F.when(F.col("_texts") == 1, F.col("keep_id")).otherwise(F.raise_error(F.lit("two texts share both hashes")))
     )
-    classes = single.unionByName(one.select("digest", "_texts", "keep_id", "group_size"))
-    joined = docs.select("_key", "digest").join(classes, "digest")
-    # texts that share a digest only: their rows are told apart by the full bytes
-    apart = (
-        docs.join(one.where("_texts > 1").select("digest"), "digest", "left_semi")
-        .withColumn("_full", normalized(F.col("_text")))
-        .join(by_text, ["digest", "_full"])
+    single = seen.where("n = 1").select(
+        "digest", F.col("keeper.mark").alias("_mark"), F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size")
     )
-    columns = ["_key", "keep_id", "group_size", "digest"]
-    every = joined.where("_texts = 1").select(*columns).unionByName(apart.select(*columns))
-    return every.select(
+    classes = single.unionByName(copied.drop("_texts"))
+    rows = docs.select("_key", "digest", mark(F.col("_text")).alias("_mark")).join(classes, ["digest", "_mark"])
+    return rows.select(
         F.col("_key").alias(key), "keep_id", "group_size",
         F.coalesce(F.col("_key") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"),
     )
