@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_signals.llm import decontaminate, license_scan, quality, stream_dedup, url_rules
+from incident_signals.llm import decontaminate, license_scan, near_dedup, quality, stream_dedup, url_rules
 from incident_signals.llm.registry import CHECKS, LOWER, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -145,3 +145,38 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+def _near_check() -> str:
+    return f"""
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+    ), sets AS (
+      SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, CAST(len(words) > 0 AS INT)) + 1)) AS i FROM texts)
+    ), sizes AS (
+      SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+    ), shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+      FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+    ), links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), edges AS (
+      SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM documents
+      UNION
+      SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+    ), least_id AS (
+      SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM least_id LEFT JOIN sizes USING (doc_id)
+    """
+
+
+@query("op6_minhash_near_dedup", _near_check())
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, width=3, percent=85)
