@@ -18,20 +18,23 @@ LEAST_DEPTH = 4
 SKETCH = 64
 # Equal sketch bytes of a candidate pair; at similarity 0.85 fewer turn up once in a million pairs.
 LEAST_EQUAL = 40
+# The second pass compares pairs of dense regions by more bytes; again one pair in about a million is missed.
+WIDE = 512
+LEAST_WIDE = 398
 # A region of more rows goes one level deeper; at full depth it is walked in overlapping blocks.
 REGION = 256
 OVERLAP = 32
 # Rows held by a task while a region is read.
 HELD = 65_536
-_STEPS = hashing.constants(TREES * DEPTH, 3) | np.uint64(1)
-_MASKS = hashing.constants(TREES * DEPTH, 4)
+_STEPS = hashing.constants(WIDE, 3) | np.uint64(1)
+_MASKS = hashing.constants(WIDE, 4)
 _PIECE = 100_000
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """16 bits of each of ``TREES * DEPTH`` MinHash values per row; a row without shingles has zeros."""
+def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of the first ``TREES * DEPTH`` and 8 bits of all ``WIDE`` MinHash values per row; zeros without shingles."""
     n = len(offsets) - 1
-    out = np.zeros((n, TREES * DEPTH), ">u2")
+    keys, wide = np.zeros((n, TREES * DEPTH), ">u2"), np.zeros((n, WIDE), np.uint8)
     full = np.flatnonzero(np.diff(offsets) > 0)
     first = 0
     while first < len(full):
@@ -41,34 +44,34 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         part = sets[offsets[rows[0]] : offsets[rows[-1] + 1]]
         starts = offsets[rows] - offsets[rows[0]]
         work = np.empty(len(part), np.uint64)
-        for k in range(TREES * DEPTH):
+        for k in range(WIDE):
             np.bitwise_xor(part, _MASKS[k], out=work)
             np.multiply(work, _STEPS[k], out=work)
-            least = np.minimum.reduceat(work, starts)
-            out[rows, k] = (hashing.mix(least) >> np.uint64(48)).astype(">u2")
+            least = hashing.mix(np.minimum.reduceat(work, starts)) >> np.uint64(48)
+            if k < TREES * DEPTH:
+                keys[rows, k] = least.astype(">u2")
+            wide[rows, k] = least.astype(np.uint8)
         first = last
-    return out
+    return keys, wide
 
 
 def sign(texts: pa.Array, width: int) -> dict[str, pa.Array]:
-    """Set size, digest of the set, signature and sketch (a byte of each of 64 MinHash values) of each text."""
-    sizes, digests, signs, sketches = [], [], [], []
+    """Set size, digest of the set, signature and sketches of each text."""
+    sizes, digests = [], []
+    parts: dict[str, list[bytes]] = {"sign": [], "sketch": [], "wide": []}
     for first, last, data, offsets in hashing.text_chunks(texts):
         words, bounds, _, _ = hashing.word_hashes(data, offsets, hashing.PLAIN_WORDS)
         sets, ends = hashing.distinct(*hashing.shingles(words, bounds, width))
         sizes.append(np.diff(ends))
         raw = sets.tobytes()
         digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
-        values = signatures(sets, ends)
-        flat, low = values.tobytes(), (values[:, :SKETCH] & 0xFF).astype(np.uint8).tobytes()
-        sketches += [low[i * SKETCH : (i + 1) * SKETCH] for i in range(last - first)]
-        size = 2 * TREES * DEPTH
-        signs += [flat[i * size : (i + 1) * size] for i in range(last - first)]
+        keys, wide = signatures(sets, ends)
+        for name, values in (("sign", keys), ("sketch", wide[:, :SKETCH]), ("wide", wide)):
+            parts[name] += [row.tobytes() for row in values]
     return {
         "n_shingles": pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64), pa.int64()),
         "digest": pa.array(digests, pa.binary()),
-        "sign": pa.array(signs, pa.binary()),
-        "sketch": pa.array(sketches, pa.binary()),
+        **{name: pa.array(values, pa.binary()) for name, values in parts.items()},
     }
 
 
@@ -96,8 +99,8 @@ def _fixed(column: pa.Array, size: int) -> np.ndarray:
 class Region:
     """Pairs of one batch of rows in (tree, key) order."""
 
-    def __init__(self, ids: np.ndarray, sketches: np.ndarray, labels: np.ndarray | None):
-        self.ids, self.sketches, self.labels = ids, sketches, labels
+    def __init__(self, ids: np.ndarray, sketches: np.ndarray, labels: np.ndarray | None, least: int):
+        self.ids, self.sketches, self.labels, self.least = ids, sketches, labels, least
         self.pairs: list[np.ndarray] = []
         self.rest: list[np.ndarray] = []
 
@@ -111,7 +114,7 @@ class Region:
         equal = np.empty((b - a, b - a), np.int16)
         for i in range(b - a):
             equal[i] = (sketch[i] == sketch).sum(axis=1)
-        left, right = np.nonzero(np.triu(equal >= LEAST_EQUAL, 1))
+        left, right = np.nonzero(np.triu(equal >= self.least, 1))
         apart = ids[left] != ids[right]
         if self.labels is not None:
             apart &= self.labels[a:b][left] != self.labels[a:b][right]
@@ -177,8 +180,8 @@ def candidates(batches, labelled: bool):
         edges = np.concatenate([[0], cuts, [n]])
         done = n if last or n - edges[-2] >= HELD else int(edges[-2])
         region = Region(
-            column["id"].to_numpy(zero_copy_only=False), _fixed(column["sketch"], SKETCH),
-            column["label"].to_numpy(zero_copy_only=False) if labelled else None,
+            column["id"].to_numpy(zero_copy_only=False), _fixed(column["sketch"], WIDE if labelled else SKETCH),
+            column["label"].to_numpy(zero_copy_only=False) if labelled else None, LEAST_WIDE if labelled else LEAST_EQUAL,
         )
         for at in np.flatnonzero(np.diff(edges) > 1):
             if edges[at + 1] <= done:

@@ -29,7 +29,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], names=["id", *found])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text")).mapInArrow(
-        run, "id long, n_shingles long, digest binary, sign binary, sketch binary"
+        run, "id long, n_shingles long, digest binary, sign binary, sketch binary, wide binary"
     )
 
 
@@ -49,20 +49,24 @@ def _candidates(chosen: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(lambda batches: forest.candidates(batches, labelled), "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """``id`` and full shingle set of the given ids."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), forest.shingle_sets(batch.column(1), width)], names=["id", "set"])
 
-    held = settled(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, set array<long>"), "sets")
+    # the ids grow with the texts: never a broadcast
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, set array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     shared = F.size(F.array_intersect("_left", "_right"))
     return (
-        pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("_left")), "a")
-        .join(held.select(F.col("id").alias("b"), F.col("set").alias("_right")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_left")).hint("merge"), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("_right")).hint("merge"), "b")
         .select("a", "b", shared.alias("_shared"), F.size("_left").alias("_n"), F.size("_right").alias("_m"))
         .where(F.col("_shared").cast("long") * 100 >= (F.col("_n") + F.col("_m") - F.col("_shared")).cast("long") * percent)
         .select("a", "b")
@@ -93,17 +97,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     chosen = settled(chosen, "chosen")
     found = settled(_candidates(chosen).distinct(), "pairs")
     pairs = found.where("b IS NOT NULL")
-    links = settled(_confirmed(pairs, docs, key, text, width, percent), "links")
+    ends = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    held = settled(_sets(docs, ends, key, text, width), "sets")
+    links = settled(_confirmed(pairs, held, percent), "links")
     labels = components(links)
     rest = found.where("b IS NULL").select(F.col("a").alias("id"))
     if not rest.isEmpty():
         again = (
-            chosen.join(rest.distinct(), "id", "left_semi").join(labels, "id", "left")
-            .withColumn("label", F.coalesce("label", "id"))
+            marks.select("id", "sign", F.col("wide").alias("sketch")).join(rest, "id", "left_semi").dropDuplicates(["id"])
+            .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         )
         more = settled(_candidates(again).where("b IS NOT NULL").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = links.union(_confirmed(more, docs, key, text, width, percent))
+            links = links.union(_confirmed(more, held, percent))
             labels = components(links)
     # a repeated key joins the representatives of its texts
     texts = sets.join(same, ["digest", "n_shingles"]).select("id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
