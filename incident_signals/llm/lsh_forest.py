@@ -19,8 +19,8 @@ SKETCH = 64
 # Equal sketch bytes of a candidate pair; at similarity 0.85 fewer turn up once in a million pairs.
 LEAST_EQUAL = 40
 # The second pass compares pairs of dense regions by more bytes; again one pair in about a million is missed.
-WIDE = 512
-LEAST_WIDE = 398
+WIDE = 1024
+LEAST_WIDE = 818
 # A region of more rows goes one level deeper; at full depth it is walked in overlapping blocks.
 REGION = 256
 OVERLAP = 32
@@ -31,10 +31,10 @@ _MASKS = hashing.constants(WIDE, 4)
 _PIECE = 100_000
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits of the first ``TREES * DEPTH`` and 8 bits of all ``WIDE`` MinHash values per row; zeros without shingles."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of the first ``TREES * DEPTH`` and 8 bits of ``width`` MinHash values per row; zeros without shingles."""
     n = len(offsets) - 1
-    keys, wide = np.zeros((n, TREES * DEPTH), ">u2"), np.zeros((n, WIDE), np.uint8)
+    keys, wide = np.zeros((n, TREES * DEPTH), ">u2"), np.zeros((n, width), np.uint8)
     full = np.flatnonzero(np.diff(offsets) > 0)
     first = 0
     while first < len(full):
@@ -44,29 +44,29 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         part = sets[offsets[rows[0]] : offsets[rows[-1] + 1]]
         starts = offsets[rows] - offsets[rows[0]]
         work = np.empty(len(part), np.uint64)
-        for k in range(WIDE):
+        for k in range(max(width, TREES * DEPTH)):
             np.bitwise_xor(part, _MASKS[k], out=work)
             np.multiply(work, _STEPS[k], out=work)
             least = hashing.mix(np.minimum.reduceat(work, starts)) >> np.uint64(48)
             if k < TREES * DEPTH:
                 keys[rows, k] = least.astype(">u2")
-            wide[rows, k] = least.astype(np.uint8)
+            if k < width:
+                wide[rows, k] = least.astype(np.uint8)
         first = last
     return keys, wide
 
 
 def sign(texts: pa.Array, width: int) -> dict[str, pa.Array]:
-    """Set size, digest of the set, signature and sketches of each text."""
+    """Set size, digest of the set, signature and sketch of each text."""
     sizes, digests = [], []
-    parts: dict[str, list[bytes]] = {"sign": [], "sketch": [], "wide": []}
+    parts: dict[str, list[bytes]] = {"sign": [], "sketch": []}
     for first, last, data, offsets in hashing.text_chunks(texts):
         words, bounds, _, _ = hashing.word_hashes(data, offsets, hashing.PLAIN_WORDS)
         sets, ends = hashing.distinct(*hashing.shingles(words, bounds, width))
         sizes.append(np.diff(ends))
         raw = sets.tobytes()
         digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
-        keys, wide = signatures(sets, ends)
-        for name, values in (("sign", keys), ("sketch", wide[:, :SKETCH]), ("wide", wide)):
+        for name, values in zip(parts, signatures(sets, ends, SKETCH)):
             parts[name] += [row.tobytes() for row in values]
     return {
         "n_shingles": pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64), pa.int64()),
@@ -75,17 +75,23 @@ def sign(texts: pa.Array, width: int) -> dict[str, pa.Array]:
     }
 
 
-def shingle_sets(texts: pa.Array, width: int) -> pa.Array:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, width: int) -> dict[str, pa.Array]:
+    """Sorted distinct shingle hashes of each text, its signature and a wide sketch."""
     parts, ends, total = [], [np.zeros(1, np.int64)], 0
+    signs: dict[str, list[bytes]] = {"sign": [], "sketch": []}
     for _, _, data, offsets in hashing.text_chunks(texts):
         words, bounds, _, _ = hashing.word_hashes(data, offsets, hashing.PLAIN_WORDS)
         sets, stops = hashing.distinct(*hashing.shingles(words, bounds, width))
         parts.append(sets.view(np.int64))
         ends.append(stops[1:] + total)
         total += len(sets)
+        for name, values in zip(signs, signatures(sets, stops, WIDE)):
+            signs[name] += [row.tobytes() for row in values]
     flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(flat))
+    return {
+        "set": pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(flat)),
+        **{name: pa.array(values, pa.binary()) for name, values in signs.items()},
+    }
 
 
 def _fixed(column: pa.Array, size: int) -> np.ndarray:
@@ -113,7 +119,8 @@ class Region:
         ids, sketch = self.ids[a:b], self.sketches[a:b]
         equal = np.empty((b - a, b - a), np.int16)
         for i in range(b - a):
-            equal[i] = (sketch[i] == sketch).sum(axis=1)
+            bits = np.packbits(sketch[i] == sketch, axis=1)
+            equal[i] = np.bitwise_count(bits.view(np.uint64)).sum(axis=1)
         left, right = np.nonzero(np.triu(equal >= self.least, 1))
         apart = ids[left] != ids[right]
         if self.labels is not None:

@@ -29,7 +29,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], names=["id", *found])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text")).mapInArrow(
-        run, "id long, n_shingles long, digest binary, sign binary, sketch binary, wide binary"
+        run, "id long, n_shingles long, digest binary, sign binary, sketch binary"
     )
 
 
@@ -50,15 +50,18 @@ def _candidates(chosen: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``id`` and full shingle set of the given ids."""
+    """``id``, full shingle set, signature and wide sketch of the given ids."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), forest.shingle_sets(batch.column(1), width)], names=["id", "set"])
+            found = forest.shingle_sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], names=["id", *found])
 
     # the ids grow with the texts: never a broadcast
-    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, set array<long>")
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
+        run, "id long, set array<long>, sign binary, sketch binary"
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -91,8 +94,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     same = sets.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"))
     same = settled(same, "sets")
     chosen = (
-        sets.join(same.select(F.col("rep").alias("id"), "digest", "n_shingles"), ["id", "digest", "n_shingles"])
-        .select("id", "sign", "sketch").dropDuplicates(["id"])
+        sets.join(same.select(F.col("rep").alias("id"), F.col("digest").alias("_digest")), "id")
+        .where("digest = _digest").dropDuplicates(["id"]).select("id", "sign", "sketch")
     )
     chosen = settled(chosen, "chosen")
     found = settled(_candidates(chosen).distinct(), "pairs")
@@ -104,7 +107,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rest = found.where("b IS NULL").select(F.col("a").alias("id"))
     if not rest.isEmpty():
         again = (
-            marks.select("id", "sign", F.col("wide").alias("sketch")).join(rest, "id", "left_semi").dropDuplicates(["id"])
+            held.select("id", "sign", "sketch").join(rest, "id", "left_semi")
             .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         )
         more = settled(_candidates(again).where("b IS NOT NULL").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
