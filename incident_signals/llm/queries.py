@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_signals.llm import decontaminate, license_scan, near_dedup, quality, stream_dedup, url_rules
+from incident_signals.llm import decontaminate, license_scan, mixing, near_dedup, quality, sharding, stream_dedup, toxicity, url_rules
 from incident_signals.llm.registry import CHECKS, LOWER, QUERIES, query, table
+from incident_signals.llm.text import plain_word_count
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -180,3 +181,25 @@ def _near_check() -> str:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, width=3, percent=85)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).drop("text")
+
+
+@query("op10_source_mixing")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("key"), "source", plain_word_count(F.col("text")).alias("size")
+    )
+    return mixing.plan(rows).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
