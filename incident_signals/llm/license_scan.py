@@ -9,6 +9,7 @@ All of it happens inside a row: no text and no signature is shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -35,7 +36,7 @@ TEMPLATES = [
 def word_list(text: Column) -> Column:
     """Lower-case words of letters, digits and everything beyond ASCII; null has none."""
     parts = F.split(F.coalesce(ascii_lower(text), F.lit("")), WORD)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def _let(value: Column, body) -> Column:
@@ -85,11 +86,8 @@ def _masks(n: int) -> list[int]:
     return out
 
 
-def _mins(hashes: Column, masks: list[int]) -> Column:
-    def masked(mask: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
-
-    return F.array(*[masked(mask) for mask in masks])
+def _least(hashes: Column, mask: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
@@ -121,49 +119,45 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
     sizes = {name: block_size(len(own)) for name, own in listed}
     most_bands = max(bands_for(len(own)) for _, own in listed)
     masks = _masks(most_bands)
-    signs = {name: [min(_signed(h, m) for h in own) for m in masks] for name, own in listed}
+    signs = {name: [min(h ^ m for h in own) for m in masks] for name, own in listed}
 
     hashed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.lit(1).alias("_one"),
         F.col(f"`{text}`").alias("_text"),
     )
-    per_size: list[Column] = []
+    per_size = []
     for size in sorted(set(sizes.values())):
-        names = [n for n in sizes if sizes[n] == size]
-        bands = max(bands_for(len(own)) for name, own in listed if name in names)
-        keys = sorted({signs[n][k] for n in names for k in range(bands)})
-        per_size.append((size, bands, keys))
-
-    smallest = min(s for s, _, _ in per_size if s > 1) if any(s > 1 for s, _, _ in per_size) else 1
+        own = {name: shingles for name, shingles in listed if sizes[name] == size}
+        bands = max(bands_for(len(shingles)) for shingles in own.values())
+        keys = [sorted({signs[name][k] for name in own}) for k in range(bands)]
+        per_size.append((size, keys))
+    # a band can only meet in a window that holds the shingle behind one of the templates' minima
+    behind = sorted({key ^ masks[k] for _, keys in per_size for k, at_k in enumerate(keys) for key in at_k})
 
     def candidates(hashes: Column) -> Column:
-        """Structs (size, first shingle) of the windows in which a band meets a template's."""
-        found: list[Column] = []
-        single = [(s, keys) for s, _, keys in per_size if s == 1]
-        for _, keys in single:
-            marked = F.transform(hashes, lambda h, i: F.when(_among(h.bitwiseXOR(F.lit(masks[0])), keys), i))
-            found.append(F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.struct(F.lit(1).alias("size"), i.alias("at"))))
-        wide = [(s, bands, keys) for s, bands, keys in per_size if s > 1]
-        if wide:
-            def blocks_of(level: Column) -> Column:
-                parts = []
-                block = level
-                at = smallest
-                # coarser blocks take the lesser minimum of two finer ones
-                for s, bands, keys in wide:
-                    while at < s:
-                        block = _paired(block)
-                        at *= 2
-                    parts.append(_hits(block, s, bands, keys))
-                return F.flatten(F.array(*parts))
-
-            base_bands = max(b for _, b, _ in wide)
-            base = F.transform(
-                F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / smallest).cast("int")),
-                lambda b: _mins(F.slice(hashes, b * smallest + 1, smallest), masks[:base_bands]),
+        """Structs (size, at) of the windows in which a band meets a template's."""
+        marked = F.filter(
+            F.transform(hashes, lambda h, i: F.when(h.isin(behind), i)), lambda i: i.isNotNull()
+        )
+
+        def of_size(at: Column, size: int, keys: list[list[int]]) -> Column:
+            starts = (
+                at if size == 1
+                else F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(
+                    F.greatest(F.floor(i / size).cast("int") - 1, F.lit(0)) * size, F.floor(i / size).cast("int") * size
+                ))))
             )
-            found.append(_let(base, blocks_of))
-        return F.when(F.size(hashes) > 0, F.flatten(F.array(*found)))
+            met = F.filter(starts, lambda i: _let(
+                F.slice(hashes, i + 1, 1 if size == 1 else 2 * size),
+                lambda inside: functools.reduce(
+                    lambda x, y: x | y, [_least(inside, masks[k]).isin(at_k) for k, at_k in enumerate(keys)]
+                ),
+            ))
+            return F.transform(met, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
+
+        return _let(marked, lambda at: F.when(
+            F.size(at) > 0, F.flatten(F.array(*[of_size(at, size, keys) for size, keys in per_size]))
+        ))
 
     words = hashed.select("_row", F.explode(F.array(word_list(F.col("_text")))).alias("_words"))
     shingled = words.select("_row", "_words", F.explode(F.array(shingle_hashes(F.col("_words")))).alias("_hashes"))
@@ -195,33 +189,3 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
         matches.where(F.col("_match.shared_shingles") >= F.element_at(needed, F.col("_match.template_shingles")))
         .select(*[F.col("_row").getField(c).alias(c) for c in kept], "_match.*")
     )
-
-
-def _signed(value: int, mask: int) -> int:
-    return value ^ mask
-
-
-def _among(value: Column, keys: list[int]) -> Column:
-    # lists of more than ten literals become one hash set
-    return value.isin(keys)
-
-
-def _paired(blocks: Column) -> Column:
-    return _let(blocks, lambda b: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(b) - 1) / 2).cast("int")),
-        lambda i: F.zip_with(F.get(b, 2 * i), F.coalesce(F.get(b, 2 * i + 1), F.get(b, 2 * i)), lambda x, y: F.least(x, y)),
-    ))
-
-
-def _hits(blocks: Column, size: int, bands: int, keys: list[int]) -> Column:
-    """The two windows around each block of which a minimum is among the templates' minima."""
-    return _let(blocks, lambda b: F.transform(
-        F.array_distinct(F.flatten(F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.size(b) - 1),
-                lambda i: F.exists(F.slice(F.get(b, i), 1, bands), lambda m: _among(m, keys)),
-            ),
-            lambda i: F.array(F.greatest(i - 1, F.lit(0)), i),
-        ))),
-        lambda i: F.struct(F.lit(size).alias("size"), (i * size).alias("at")),
-    ))
