@@ -22,7 +22,7 @@ from incident_signals.llm.fm_index import FMIndex
 WINDOW = 13
 # Benchmark text held by a task at once; further text is searched in further passes over the same rows.
 BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
 # A text counts as contaminated if at least one word in this many is hit.
 WORDS_PER_HIT = 20
 

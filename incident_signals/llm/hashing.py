@@ -15,7 +15,7 @@ import pyarrow as pa
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _lowered = np.arange(256)
 _lowered[65:91] += 32
@@ -88,6 +88,7 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         last = min(max(last, first + 1), n)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    pa.default_memory_pool().release_unused()  # workers live on between stages
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

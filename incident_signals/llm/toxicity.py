@@ -58,7 +58,7 @@ def grams(data: np.ndarray, offsets: np.ndarray):
 
 def _present(texts: pa.Array, slots: np.ndarray | None):
     """(first row, text, bucket) of the distinct n-grams of each text; with ``slots`` only those it has, as its numbers."""
-    for first, last, data, offsets in hashing.text_chunks(texts, 1_000_000):
+    for first, last, data, offsets in hashing.text_chunks(texts, 500_000):
         keys = []
         for at, bucket, bounds in grams(data, offsets):
             if slots is not None:
