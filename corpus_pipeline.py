@@ -21,6 +21,15 @@ ORACLE_SQL = None
 SHINGLE, SIMILAR_PERCENT = 3, 85
 
 
+# Texts that a Python worker holds at once; workers of all stages share an executor with its heap.
+TEXTS_PER_BATCH, BYTES_PER_BATCH = 1_000, 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+
+
 def _apart(docs: DataFrame, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``run`` with columns of ``docs`` that would clash with its own set aside under other names."""
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in names}
@@ -30,12 +39,14 @@ def _apart(docs: DataFrame, names: list[str], run: Callable[[DataFrame], DataFra
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier fitted on ``labels.quality`` rejects; null texts count as empty."""
+    _small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _apart(docs, ["score", "predicted"], lambda d: quality.score(d, model).where("predicted = 1"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group, once; rows without doc_id or words belong to no group."""
+    _small_batches(spark)
     groups = near_dedup.near_duplicates(docs, width=SHINGLE, percent=SIMILAR_PERCENT)
     kept = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
@@ -46,6 +57,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least one word in twenty lies in benchmark passages; leaves the rest as they are."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _apart(
         docs, ["n_words", "word_spans", "byte_spans", "items"],
@@ -55,11 +67,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
+    _small_batches(spark)
     return mixing.mix(docs)
 
 
 def sharding_by_size(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds shard and slot; sizes of the shards are nearly equal."""
+    _small_batches(spark)
     return sharding.shard(docs)
 
 
