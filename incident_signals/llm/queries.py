@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_signals.llm import decontaminate, license_scan, mixing, near_dedup, quality, sharding, stream_dedup, toxicity, url_rules
+from incident_signals.llm import (
+    backoff_lm,
+    decontaminate,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    stream_dedup,
+    toxicity,
+    url_rules,
+)
 from incident_signals.llm.registry import CHECKS, LOWER, QUERIES, query, table
 from incident_signals.llm.text import plain_word_count
 
@@ -203,3 +214,34 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("key"), "source", plain_word_count(F.col("text")).alias("size")
     )
     return mixing.plan(rows).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_lm_scoring",
+    f"""
+    WITH texts AS (
+      SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+    ), tokens AS (
+      SELECT doc_id, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM texts)
+    ), own1 AS (SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY ALL
+    ), own2 AS (SELECT doc_id, v, w, count(*) AS n FROM tokens WHERE v IS NOT NULL GROUP BY ALL
+    ), all1 AS (SELECT w, sum(n) AS n FROM own1 GROUP BY ALL
+    ), all2 AS (SELECT v, w, sum(n) AS n FROM own2 GROUP BY ALL
+    ), lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY ALL
+    ), scored AS (
+      SELECT t.doc_id, a2.n - o2.n AS pair, ac.n - oc.n AS context,
+             greatest(a1.n - o1.n, 1) / greatest((SELECT count(*) FROM tokens) - l.n, 1) AS word, t.v
+      FROM tokens t JOIN lengths l USING (doc_id)
+      JOIN all1 a1 ON a1.w = t.w JOIN own1 o1 ON o1.doc_id = t.doc_id AND o1.w = t.w
+      LEFT JOIN all1 ac ON ac.w = t.v LEFT JOIN own1 oc ON oc.doc_id = t.doc_id AND oc.w = t.v
+      LEFT JOIN all2 a2 ON a2.v = t.v AND a2.w = t.w LEFT JOIN own2 o2 ON o2.doc_id = t.doc_id AND o2.v = t.v AND o2.w = t.w
+    )
+    SELECT doc_id, count(*) AS n_words,
+           round(avg(ln(CASE WHEN pair > 0 THEN pair / context WHEN v IS NULL THEN word ELSE 0.4 * word END)), 6) AS log_score
+    FROM scored GROUP BY doc_id
+    """,
+)
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff_lm.score(docs).withColumn("log_score", F.round("log_score", 6))
