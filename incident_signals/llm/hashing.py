@@ -124,7 +124,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     places = np.arange(len(words)) - np.repeat(offsets[:-1], counts)
     left = np.repeat(counts, counts) - places
     total = np.zeros(len(words), np.uint64)
-    for i in range(width):
+    for i in range(min(width, len(words))):
         part = np.zeros(len(words), np.uint64)
         part[: len(words) - i] = words[i:] * _ROLES[i]
         total += part * (left > i)
