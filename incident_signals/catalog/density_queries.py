@@ -50,17 +50,19 @@ def _listed(column: str):
     )
 
 
-for _column in (ACTIVITY, HAZARDS, BARRIERS, RULES, TAGS, CONSEQUENCES, "predicted_equipment"):
+EVERY = [ACTIVITY, HAZARDS, BARRIERS, RULES, TAGS, CONSEQUENCES, "predicted_equipment"]
+
+for _column in EVERY:
     _listed(_column)
 
 
 @query(
     "d2_density_all_dimensions",
-    with_sql(REPORTS_SQL, dims_sql(ACTIVITY, HAZARDS, BARRIERS, RULES))
+    with_sql(REPORTS_SQL, dims_sql(*EVERY))
     + f"SELECT dim, value AS name, {DENSITY_SELECT} FROM dims JOIN reports USING (report_id) GROUP BY dim, value",
 )
 def density_all(spark, sf):
-    columns = [ACTIVITY, HAZARDS, BARRIERS, RULES]
+    columns = EVERY
     return flat(d.density_of_all(reports(spark, sf, *columns), columns))
 
 
@@ -77,13 +79,13 @@ def probability_by_hazard(spark, sf):
 
 @query(
     "d4_top5_by_dimension",
-    with_sql(REPORTS_SQL, dims_sql(ACTIVITY, HAZARDS, BARRIERS, RULES))
+    with_sql(REPORTS_SQL, dims_sql(*EVERY))
     + f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY total_reports DESC, name) AS rank
        FROM (SELECT dim, value AS name, {DENSITY_SELECT} FROM dims JOIN reports USING (report_id) GROUP BY dim, value))
        WHERE rank <= 5""",
 )
 def top_by_dimension(spark, sf):
-    columns = [ACTIVITY, HAZARDS, BARRIERS, RULES]
+    columns = EVERY
     top = d.top_by_volume_per_dimension(d.density_of_all(reports(spark, sf, *columns), columns))
     return flat(top).withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -103,7 +103,7 @@ def every_pattern(spark, sf):
 
 @query(
     "p2_pattern_examples",
-    patterns_sql(fixed.PAIR_PATTERNS[:1], 5)
+    patterns_sql(p.ALL_PATTERNS, 5)
     + """, ranked AS (SELECT pattern_id, c.report_id, description,
         row_number() OVER (PARTITION BY pattern_id ORDER BY c.report_id) AS rank
       FROM combos c JOIN reports r ON c.report_id = r.report_id)
@@ -114,7 +114,7 @@ def every_pattern(spark, sf):
 )
 def examples(spark, sf):
     df = mined(spark, sf)
-    chosen = fixed.PAIR_PATTERNS[:1]
+    chosen = p.ALL_PATTERNS
     found = p.with_examples(p.count_patterns(df, definitions=chosen), df, chosen)
     excerpts = F.transform("example_reports", lambda x: F.concat_ws("=", x["report_id"], x["description_excerpt"]))
     return found.select(
@@ -164,9 +164,9 @@ def emerging_quarter(spark, sf):
     return e.in_status_order(_emerging(spark, sf, "quarter", p.ALL_PATTERNS))
 
 
-@query("p6_emerging_by_month", emerging_sql("month", fixed.PAIR_PATTERNS) + "SELECT * FROM emerging")
+@query("p6_emerging_by_month", emerging_sql("month", p.ALL_PATTERNS) + "SELECT * FROM emerging")
 def emerging_month(spark, sf):
-    return _emerging(spark, sf, "month", fixed.PAIR_PATTERNS)
+    return _emerging(spark, sf, "month", p.ALL_PATTERNS)
 
 
 @query(
@@ -174,11 +174,10 @@ def emerging_month(spark, sf):
     emerging_sql("quarter", p.ALL_PATTERNS)
     + """SELECT pattern_id, row_number() OVER (ORDER BY CASE status WHEN 'EMERGING' THEN 0 WHEN 'NEW_PATTERN' THEN 1
       WHEN 'INCREASING' THEN 2 WHEN 'STABLE' THEN 3 ELSE 4 END, absolute_change DESC, pattern_type, occurrences DESC,
-      pattern_id) AS position FROM emerging ORDER BY position LIMIT 100""",
+      pattern_id) AS position FROM emerging""",
 )
 def emerging_first(spark, sf):
-    top = e.in_status_order(_emerging(spark, sf, "quarter", p.ALL_PATTERNS)).limit(100)
-    return top.select("pattern_id", (F.monotonically_increasing_id() + 1).alias("position"))
+    return e.status_positions(_emerging(spark, sf, "quarter", p.ALL_PATTERNS)).select("pattern_id", "position")
 
 
 SCORED_SQL = (
@@ -259,10 +258,10 @@ def pattern_table(spark, sf):
 
 @query(
     "c13_short_labels",
-    patterns_sql(fixed.PAIR_PATTERNS[:1], 5)
-    + """SELECT pattern_id, regexp_replace(replace(label, 'Activity: ', ''), ' \\| Barrier Failures: ', ' + ') AS label
-      FROM patterns""",
+    patterns_sql(p.ALL_PATTERNS, 5)
+    + """SELECT pattern_id, array_to_string(list_transform(string_split(label, ' | '),
+        lambda part: substr(part, instr(part, ': ') + 2)), ' + ') AS label FROM patterns""",
 )
 def short_labels(spark, sf):
-    found = p.count_patterns(mined(spark, sf), definitions=fixed.PAIR_PATTERNS[:1])
+    found = p.count_patterns(mined(spark, sf))
     return found.select("pattern_id", p.short_label(F.col("components")).alias("label"))

@@ -14,7 +14,7 @@ from incident_signals.functions.text import normalize_text
 from incident_signals.models import features as ft
 from incident_signals.models.classifiers import RuleClassifier, SifClassifier
 from incident_signals.models.inference import enrich, predict_reports
-from incident_signals.models.itemsets import frequent_itemsets
+from incident_signals.models.itemsets import DIMENSIONS, association_rules, frequent_itemsets
 from incident_signals.models.semantic import add_semantic_hazards
 from incident_signals.models.split import stratified_split
 from incident_signals.operators import extraction as x
@@ -59,7 +59,7 @@ def json_scan(spark, sf):
     path = new_path(spark, "reports-json")
     _plain(spark, sf).select("report_id", "site", "report_type", "description").write.json(path)
     schema = "report_id string, site string, report_type string, description string"
-    return spark.read.schema(schema).json(path)
+    return source.read_reports_json(spark, path, schema, lines=True)
 
 
 @query(
@@ -97,10 +97,10 @@ def published(spark, sf):
     "s7_vector_table",
     with_sql(REPORTS_SQL)
     + """SELECT row_number() OVER (ORDER BY report_id) - 1 AS vector_id, report_id, CAST(date AS VARCHAR) AS date, site, location,
-      report_type, description, 64 AS dimension FROM reports""",
+      report_type, description, 384 AS dimension FROM reports""",
 )
 def vector_table(spark, sf):
-    built = build_vectors(reports(spark, sf), ft.HashingEmbedder(64))
+    built = build_vectors(reports(spark, sf), ft.HashingEmbedder())
     return built.select(
         "vector_id", "report_id", "date", "site", "location", "report_type", "description",
         F.size("embedding").alias("dimension"),
@@ -130,17 +130,17 @@ def split_sizes(spark, sf):
 
 
 def _training_reports(spark, sf) -> DataFrame:
-    """Clean text with a risk label and a rule label that depend on the narrative."""
-    df = reports(spark, sf, "predicted_lsr")
-    low = F.lower("description")
-    risky = (low.contains("suspended load") | low.contains("residual pressure") | low.contains("flash fire")).cast("int")
-    return df.select(
-        "report_id", "date", "site", "location", "report_type", "description", risky.alias("sif_label"),
-        "predicted_lsr", normalize_text(F.col("description")).alias("description_clean"),
+    """Labelled documents as reports; the given labels are the classes."""
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "report_id")
+    df = table(spark, sf, "documents").withColumnsRenamed({"doc_id": "report_id", "text": "description", "lang": "site"})
+    given = F.array(F.when(F.col("quality") == 1, RULES[0]), F.when(F.col("toxic") == 1, RULES[1]))
+    return df.join(labels, "report_id").select(
+        "report_id", "site", "description", F.col("toxic").alias("sif_label"),
+        F.filter(given, lambda r: r.isNotNull()).alias("labels"), normalize_text(F.col("description")).alias("description_clean"),
     )
 
 
-RULES = ["Hot Work", "Driving", "Confined Space"]
+RULES = ["quality", "toxic"]
 # models already fitted by this application, per data and feature mode
 _FITTED: dict[tuple[str, str, str], tuple] = {}
 
@@ -154,21 +154,14 @@ def _models(spark, sf, features):
 
 def _fit_models(spark, sf, features):
     data = stratified_split(_training_reports(spark, sf), "sif_label")
-    low = F.lower("description")
-    labels = F.filter(
-        F.array(
-            F.when(low.contains("welder"), RULES[0]), F.when(low.contains("truck"), RULES[1]), F.when(low.contains("vessel"), RULES[2])
-        ),
-        lambda r: r.isNotNull(),
-    )
-    data = cut_lineage(data.withColumn("labels", labels))
+    data = cut_lineage(data)
     train = data.where(F.col("split") == "train")
     fitted = features.fit(train)
     vectors = cut_lineage(fitted.transform(data))
     train_vectors = vectors.where(F.col("split") == "train")
     vocabulary = getattr(fitted, "vocabulary", None)
-    sif = SifClassifier(max_iter=100).fit(train_vectors, vocabulary=vocabulary)
-    rules = RuleClassifier(RULES, max_iter=100).fit(train_vectors, "labels")
+    sif = SifClassifier().fit(train_vectors, vocabulary=vocabulary)
+    rules = RuleClassifier(RULES).fit(train_vectors, "labels")
     grid = q.threshold_metrics(sif.predict(vectors.where(F.col("split") == "validation")), "sif_label", "sif_probability")
     sif.threshold = q.choose_threshold(grid).first()["threshold"]
     return fitted, sif, rules, vectors
@@ -210,7 +203,7 @@ def inference(spark, sf):
 @query("q12_model_comparison")
 def comparison(spark, sf):
     results = []
-    for mode, features in (("tfidf", ft.TfidfFeatures()), ("embedding", ft.EmbeddingFeatures(ft.HashingEmbedder(128)))):
+    for mode, features in (("tfidf", ft.TfidfFeatures()), ("embedding", ft.EmbeddingFeatures(ft.HashingEmbedder()))):
         _, sif, _, vectors = _models(spark, sf, features)
         for split in ("validation", "test"):
             scored = sif.predict(vectors.where(F.col("split") == split))
@@ -227,7 +220,7 @@ def false_negatives(spark, sf):
 
 @query("x10_semantic_hazards")
 def semantic(spark, sf):
-    found = add_semantic_hazards(x.extract(reports(spark, sf)), ft.HashingEmbedder(128), threshold=0.25)
+    found = add_semantic_hazards(x.extract(reports(spark, sf)), ft.HashingEmbedder())
     rows = found.select("report_id", F.inline("hazards")).where(F.col("match_method") == "semantic")
     return rows.select("report_id", "value", "evidence", "similarity_score")
 
@@ -245,10 +238,10 @@ def refreshed(spark, sf):
     features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
     df = reports(spark, sf).select("report_id", "date", "site", "location", "report_type", "description")
     root = new_path(spark, "refresh")
-    return refresh.refresh(df, root, features, sif, rules, ft.HashingEmbedder(64), version="first")
+    return refresh.refresh(df, root, features, sif, rules, ft.HashingEmbedder(), version="first")
 
 
-ITEM_DIMS = ["predicted_activity", "predicted_barrier_failures", "predicted_lsr"]
+ITEM_DIMS = list(DIMENSIONS)
 
 
 def _itemsets_sql(sizes: int, share: float) -> str:
@@ -287,3 +280,34 @@ def required(spark, sf):
     missing = missing_columns(docs, wanted)
     flags = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n in missing).alias("missing")) for n in wanted])
     return docs.agg(F.count(F.lit(1)).alias("documents")).select(F.inline(flags), "documents")
+
+
+@query(
+    "p12_association_rules",
+    f"WITH found AS ({_itemsets_sql(2, 0.25)}) "
+    + """SELECT a.items AS antecedent, part AS consequent, round(CAST(pair.reports AS DOUBLE) / a.reports, 6) AS confidence
+      FROM (SELECT items, reports, unnest(string_split(items, '|')) AS part FROM found WHERE items LIKE '%|%') pair
+      JOIN found a ON a.items = replace(replace(pair.items, part || '|', ''), '|' || part, '')
+      WHERE CAST(pair.reports AS DOUBLE) / a.reports >= 0.5""",
+)
+def rules_of_items(spark, sf):
+    """Rules of one item each way."""
+    found = association_rules(reports(spark, sf, *ITEM_DIMS), columns=ITEM_DIMS, min_support=0.25)
+    return found.where(F.size("antecedent") == 1).select(
+        F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), F.round("confidence", 6).alias("confidence")
+    )
+
+
+@query("m9_saved_models", "SELECT CAST(0 AS BIGINT) AS different, count(*) AS reports FROM documents JOIN labels USING (doc_id)")
+def saved_models(spark, sf):
+    """Saved and loaded again, features and model give every labelled document the same probability."""
+    features, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
+    path = new_path(spark, "models")
+    features.save(f"{path}/features")
+    sif.save(f"{path}/sif", spark)
+    data = _training_reports(spark, sf)
+    loaded = SifClassifier.load(f"{path}/sif", spark).predict(ft.TfidfFeatures.load(f"{path}/features").transform(data))
+    pairs = loaded.select("report_id", F.col("sif_probability").alias("again")).join(sif.predict(features.transform(data)), "report_id")
+    return pairs.agg(
+        F.count_if(F.abs(F.col("again") - F.col("sif_probability")) > 1e-12).alias("different"), F.count(F.lit(1)).alias("reports")
+    )

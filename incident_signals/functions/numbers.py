@@ -31,11 +31,29 @@ def unit_interval(value: Column) -> Column:
 
 
 def finite_or_null(df: DataFrame) -> DataFrame:
-    """NaN and infinite values become null in every floating-point column."""
-    out = []
-    for field in df.schema.fields:
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value).alias(field.name)
-        out.append(value)
-    return df.select(*out)
+    """NaN and infinite values become null in every floating-point column, nested ones too."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _finite(value: Column, kind: T.DataType) -> Column:
+    """The value with non-finite numbers nulled, inside structs, arrays and map values too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if not _holds_floats(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_finite(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+
+
+def _holds_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_floats(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_floats(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))

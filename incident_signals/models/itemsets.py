@@ -26,6 +26,12 @@ def _items(df: DataFrame, column: str):
     return F.transform(values_of(df, column), lambda v: F.concat(prefix, v))
 
 
+def association_rules(df: DataFrame, **options) -> DataFrame:
+    """Rules ``antecedent`` => ``consequent`` with the number of reports' share (``support``), ``confidence`` and ``lift``."""
+    found = fit_itemsets(df, **options).associationRules
+    return found.select(F.array_sort("antecedent").alias("antecedent"), "consequent", "confidence", "lift", "support")
+
+
 def frequent_itemsets(df: DataFrame, **options) -> DataFrame:
     """Itemsets in sorted order with the number of reports holding them."""
     found = fit_itemsets(df, **options).freqItemsets

@@ -168,7 +168,10 @@ def with_examples(patterns: DataFrame, df: DataFrame, definitions=ALL_PATTERNS,
     wanted = first.join(keyed.select(*KEY), KEY, "left_semi")
     shown = F.lit("")
     if "description" in df.columns:
-        texts = df.select("report_id", excerpt(F.col("description")).alias("text"))
+        # a few ids per pattern pick the texts before any of them is moved
+        texts = df.select("report_id", excerpt(F.col("description")).alias("text")).join(
+            wanted.select("report_id").distinct(), "report_id", "left_semi"
+        )
         wanted = wanted.join(texts, "report_id", "left")
         shown = F.coalesce("text", F.lit(""))
     examples = wanted.groupBy(*KEY).agg(

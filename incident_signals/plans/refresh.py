@@ -78,7 +78,7 @@ def refresh(
         published = publish(run_analytics(enriched), metadata(enriched, source), f"{path}/analytics")
         _verify(reports, enriched, vectors, published)
     except Exception as error:
-        _append(spark, root, version, source, "failed", str(error)[:500])
+        _append(spark, root, version, source, "failed", str(error))
         raise
     _append(spark, root, version, source, "good")
     return summary(df, enriched, vectors, version)

@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is collected or broadcast by hand only below these sizes.
-MAX_BROADCAST_ROWS = 100_000
+# A side is collected or broadcast by hand only below this size.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -61,7 +60,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
-
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Bounded size check; stops reading after ``rows + 1`` rows."""
-    return df.limit(rows + 1).count() <= rows

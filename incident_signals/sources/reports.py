@@ -36,9 +36,11 @@ def read_reports_csv(
     return require(out, required) if required else out
 
 
-def read_reports_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON array of reports; without a schema the types are inferred."""
-    reader = spark.read.option("multiLine", True)
+def read_reports_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
+) -> DataFrame:
+    """JSON array of reports, one task per file, or with ``lines`` one report per line, which splits; types are inferred without a schema."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -4,10 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
-
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
-# Fitting and refreshing are covered by test_models; their queries run in compare.py.
-SLOW = ("m1_", "m4_", "m5_", "m7_", "q12_", "q13_", "x10_", "x16_", "s10_", "s5_")
+from incident_signals.catalog import CHECKS, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +12,7 @@ def connection(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(SLOW)])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, connection, name):
     ok, message = compare(spark, sf_dir, name, QUERIES, CHECKS, connection)
     assert ok, message
