@@ -129,20 +129,21 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({_TEXT: plain, _LOWER: F.lower(plain)})
 
 
-def _settled(column: str) -> Column:
-    """The column itself, fixed at this point of the plan.
+def _settled(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows, with the named columns as the output of a generator.
 
-    A filter on an extracted column would otherwise be moved below the
-    extraction by copying the whole extraction into the condition.
+    A filter on them is not moved below the extraction, which would copy the
+    whole extraction into its condition; a filter on any other column is.
     """
-    return F.expr(f"if(spark_partition_id() >= 0, {column}, NULL)")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def match_rules(df: DataFrame, text: str, rules: list[Rule], output: str) -> DataFrame:
     """Adds an array of extraction items: per value the best evidence, in rule order."""
     staged = _prepared(df, text).withColumn("_found", _matched(rules))
     named = staged.withColumn(output, _items("_found")).drop(_TEXT, _LOWER, "_found")
-    return named.withColumn(output, _settled(output))
+    return _settled(named, [output])
 
 
 # --- hazards ------------------------------------------------------------------------------
@@ -293,7 +294,7 @@ def extract(df: DataFrame, text: str = "description") -> DataFrame:
         .withColumn("equipment", _equipment_items("equipment"))
     )
     done = with_derived(named.drop(_TEXT, _LOWER, *working))
-    return done.withColumns({name: _settled(name) for name in [*ENTITY_COLUMNS, "precursor_tags"]})
+    return _settled(done, [*ENTITY_COLUMNS, "precursor_tags"])
 
 
 def with_derived(df: DataFrame) -> DataFrame:

@@ -128,3 +128,11 @@ def test_long_entities(spark):
     df = x.extract(spark.createDataFrame([(1, "Repair of the crane")], "report_id int, description string"))
     rows = x.long_entities(df).where(F.col("category") == "activities").collect()
     assert {r["value"] for r in rows} == {"Maintenance", "Crane Operation"}
+
+
+def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "a")], "report_id long, site string, description string").write.parquet(f"{tmp_path}/r")
+    reports = spark.read.parquet(f"{tmp_path}/r")
+    for found in (x.extract(reports), x.match_rules(reports, "description", x.ACTIVITY_RULES, "activities")):
+        plan = found.where("site = 'en' AND size(activities) > 0")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(site,en)" in plan
