@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incident_signals.catalog.adapter import REPORTS_SQL, TRUTH_SQL, dims_sql, reports, table, with_sql
 from incident_signals.catalog.registry import query
+from incident_signals.models.features import ModelEmbedder
 from incident_signals.operators import agreement as a
 from incident_signals.operators import similarity as v
 
@@ -185,3 +186,42 @@ def valid_citations(spark, sf):
 )
 def citation_warnings(spark, sf):
     return _citations(spark, sf)[1]
+
+
+def _letter_model():
+    """A caller's sentence model: counts of the letters a to z."""
+
+    class Letters:
+        def encode(self, texts):
+            return [[float(t.lower().count(chr(97 + i))) for i in range(26)] for t in texts]
+
+    return Letters()
+
+
+_COUNTS = "[" + ", ".join(
+    f"CAST(length(t) - length(replace(t, '{chr(97 + i)}', '')) AS DOUBLE)" for i in range(26)
+) + "]"
+
+
+@query(
+    "m2_v5_retrieval_by_model",
+    f"""
+    WITH docs AS (SELECT doc_id, {_COUNTS} AS e FROM (SELECT doc_id, lower(text) AS t FROM documents)),
+    asked AS (SELECT item_id, {_COUNTS} AS e FROM (SELECT item_id, strip_accents(lower(text)) AS t FROM benchmark)),
+    scored AS (
+      SELECT item_id AS query_id, doc_id, list_cosine_similarity(asked.e, docs.e) AS score FROM asked, docs WHERE list_sum(docs.e) > 0
+    )
+    SELECT query_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored
+    ) WHERE rank <= 5
+    """,
+)
+def retrieval_by_model(spark, sf):
+    """Free-text queries, embedded by a caller's model, against the vectors of all documents."""
+    embedder = ModelEmbedder(_letter_model)
+    docs = table(spark, sf, "documents").where("text RLIKE '[A-Za-z]'")
+    numbered_docs = docs.select(F.col("doc_id").alias("vector_id"), F.col("doc_id").alias("report_id"), "text")
+    vectors = embedder.embed(numbered_docs, "text").drop("text")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = v.retrieve(vectors, asked, embedder)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("similarity_score").alias("score"))

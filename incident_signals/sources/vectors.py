@@ -24,6 +24,7 @@ def build_vectors(df: DataFrame, embedder, text: str = "description") -> DataFra
     stated = rows.withColumn(
         "clean_description", F.when(F.col("_clean") == "", F.col("description")).otherwise(F.col("_clean"))
     ).drop("_clean")
-    embedded = embedder.embed(stated, "clean_description", "embedding")
-    small = embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    return numbered(small, ["report_id"], "vector_id")
+    # numbered before the vectors are made: sorting neither moves them nor computes them twice
+    placed = numbered(stated, ["report_id"], "vector_id")
+    embedded = embedder.embed(placed, "clean_description", "embedding")
+    return embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))
