@@ -116,7 +116,7 @@ def hazards_sql() -> str:
 
 @query("x5_hazards", with_sql(REPORTS_SQL) + f"SELECT * FROM {hazards_sql()}")
 def hazards(spark, sf):
-    found = x.extract(reports(spark, sf))
+    found = x.extract(reports(spark, sf), only=["hazards"])
     return x.long_entities(found, ["hazards"]).drop("category", "match_method")
 
 
@@ -140,7 +140,7 @@ def equipment_sql() -> str:
 
 @query("x7_equipment", with_sql(REPORTS_SQL, equipment_sql()) + "SELECT * FROM typed")
 def equipment(spark, sf):
-    found = x.extract(reports(spark, sf)).select("report_id", F.inline("equipment"))
+    found = x.extract(reports(spark, sf), only=["equipment"]).select("report_id", F.inline("equipment"))
     known = [kind for kind, _ in fixed.table(fixed.EQUIPMENT_TYPES)]
     kind = F.when(F.col("type").isin(known), F.col("type")).otherwise("other")
     return found.select("report_id", F.lower("value").alias("low"), kind.alias("type"))
@@ -168,7 +168,7 @@ CONSEQUENCES_SQL = with_sql(
       WHERE NOT EXISTS (SELECT 1 FROM stated s WHERE s.report_id = i.report_id AND s.value = i.value)""",
 )
 def consequences(spark, sf):
-    found = x.long_entities(x.extract(reports(spark, sf)), ["potential_consequences"])
+    found = x.long_entities(x.extract(reports(spark, sf), only=["potential_consequences"]), ["potential_consequences"])
     return found.select("report_id", "value", "confidence", "match_method")
 
 
@@ -188,7 +188,7 @@ TAGS_SQL = with_sql(
     TAGS_SQL + "SELECT report_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY report_id",
 )
 def tags(spark, sf):
-    found = x.extract(reports(spark, sf))
+    found = x.extract(reports(spark, sf), only=["precursor_tags"])
     return found.where(F.size("precursor_tags") > 0).select("report_id", F.array_join("precursor_tags", ",").alias("tags"))
 
 
@@ -205,7 +205,7 @@ def tags(spark, sf):
       FROM reports LEFT JOIN every ON every.report_id = reports.report_id GROUP BY reports.report_id""",
 )
 def entity_counts(spark, sf):
-    found = x.extract(reports(spark, sf))
+    found = x.extract(reports(spark, sf), only=["activities", "hazards", "barrier_failures", "potential_consequences"])
     names = ["activities", "hazards", "barrier_failures", "potential_consequences"]
     return found.select("report_id", *[F.size(c).cast("bigint").alias(c) for c in names])
 

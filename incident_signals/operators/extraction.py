@@ -266,8 +266,11 @@ def precursor_tags(hazards: str, barriers: str, conditions: str) -> Column:
     return F.expr(f"array_sort(array_distinct(filter(array({', '.join(found)}), t -> t IS NOT NULL)))")
 
 
-def extract(df: DataFrame, text: str = "description") -> DataFrame:
-    """Adds the seven entity arrays and ``precursor_tags``; no shuffle, one pass over the text."""
+def extract(df: DataFrame, text: str = "description", only: list[str] | None = None) -> DataFrame:
+    """Adds the seven entity arrays and ``precursor_tags``; no shuffle, one pass over the text.
+
+    With ``only``, those of them that are named, and the work for the others is left out.
+    """
     working = {
         "_activities": _matched(ACTIVITY_RULES),
         "_hazards": _hazard_candidates(),
@@ -294,7 +297,9 @@ def extract(df: DataFrame, text: str = "description") -> DataFrame:
         .withColumn("equipment", _equipment_items("equipment"))
     )
     done = with_derived(named.drop(_TEXT, _LOWER, *working))
-    return _settled(done, [*ENTITY_COLUMNS, "precursor_tags"])
+    every = [*ENTITY_COLUMNS, "precursor_tags"]
+    wanted = [c for c in every if only is None or c in only]
+    return _settled(done.drop(*[c for c in every if c not in wanted]), wanted)
 
 
 def with_derived(df: DataFrame) -> DataFrame:
