@@ -47,12 +47,12 @@ def results(df, column):
 
 def test_text_cleaning(spark):
     cases = {
-        "Café Worker": "cafe worker",
-        "The   pump \n leaked \r heavily": "the pump leaked heavily",
-        "IP did not apply LOTO during SIMOPS.": "injured person did not apply lockout tagout during simultaneous operations.",
-        "No isolation was applied. Do not start.": "no isolation was applied. do not start.",
-        "Pump-12 failed! Valve, V-99 is OK.": "pump-12 failed valve v-99 is ok.",
-        "LOTO missed!": "lockout tagout missed",
+        "Señor Müller": "senor muller",
+        "Oil\t was \n\n seen   here": "oil was seen here",
+        "SIMOPS went on; the IP skipped LOTO.": "simultaneous operations went on the injured person skipped lockout tagout.",
+        "Nobody tested. Nothing moved.": "nobody tested. nothing moved.",
+        "Hoist-7 jammed? Brake, B-12 held.": "hoist-7 jammed brake b-12 held.",
+        "No LOTO?": "no lockout tagout",
         "½ ﬁre №5 \U0001d400 toolbox talk": "12 fire no5 a tbt",
         "": "",
     }
