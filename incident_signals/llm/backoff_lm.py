@@ -1,91 +1,157 @@
 """Stupid-backoff scores by joins with n-gram count tables.
 
-Count tables are aggregated over all texts and hash-partitioned by the n-gram.
-The distinct n-grams of each text are joined to them, order by order, and the
-logarithms are summed per text.  A text's own occurrences are taken off the
-counts, so that a text is scored by the others and backing off really occurs.
+Texts are dealt into blocks of bounded size by hash.  Each block explodes its
+n-grams and counts them; the counts meet in tables partitioned by n-gram hash,
+where every n-gram that several blocks hold finds its occurrences in all texts.
+These return to the blocks that asked, where they are joined to the n-grams of
+each text, and the logarithms are summed per text.  A text's own occurrences are
+taken off the counts, so that a text is scored by the others and backing off
+really occurs.
+
+A block sends an n-gram once however many of its texts hold it, an n-gram of one
+block only is not sent back, and each text is shuffled once: a frequent n-gram
+has as many rows as there are blocks, and no row per word leaves a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals.llm import hashing
 
 ORDER = 2
 BACKOFF = 0.4
-
-
-def _by_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """How often each hash occurs in its own text."""
-    order = np.lexsort((hashes, text))
-    h, t = hashes[order], text[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+# Bytes of text that one task explodes at once.
+BLOCK_BYTES = 16 << 20
+# Count tables: so many, and one more for so many blocks.
+TABLES, BLOCKS_PER_TABLE = 64, 16
+# Stands for any word: its count is the number of words.
+ANY_WORD = 0
+
+
+def _ngrams(words: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the n-grams of 1, 2 ... ``order`` words that end at each word, and whether the text reaches back so far."""
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    grams, known = [words], [np.ones(len(words), bool)]
+    for size in range(2, order + 1):
+        longer = np.zeros(len(words), np.uint64)
+        before = grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15)
+        longer[1:] = hashing.mix(before + words[1:] * np.uint64(2 * size + 1))
+        grams.append(longer)
+        known.append(place >= size - 1)
+    return grams, known
+
+
+def _chunks(column: pa.Array, order: int):
+    """(first text, words of each text, n-grams, known) of runs of texts."""
+    for first, _, data, offsets in hashing.text_chunks(column):
+        words, bounds, _, _ = hashing.word_hashes(data, offsets, hashing.LETTER_WORDS)
+        yield first, np.diff(bounds), *_ngrams(words, bounds, order)
+
+
+def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams and the sums of their counts."""
+    gram, count = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(gram)
+    gram, count = gram[order], count[order]
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    return gram[starts], np.add.reduceat(count, starts)
+
+
+def _block_counts(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a block, ``ANY_WORD`` first, and their occurrences in it."""
+    grams, counts, n_words = [], [], 0
+    for _, sizes, by_size, known in _chunks(column, order):
+        gram, count = np.unique(np.concatenate([g[k] for g, k in zip(by_size, known)]), return_counts=True)
+        grams.append(gram)
+        counts.append(count)
+        n_words += int(sizes.sum())
+    return _merged([np.array([ANY_WORD], np.uint64), *grams], [np.array([n_words]), *counts])
+
+
+def _own(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs in its own text."""
+    order = np.lexsort((grams, text))
+    g, t = grams[order], text[order]
+    fresh = np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]))[: len(g)]
     group = np.cumsum(fresh) - 1
-    out = np.empty(len(h), np.int64)
-    out[order] = np.bincount(group)[group] if len(h) else 0
+    out = np.empty(len(g), np.int64)
+    out[order] = np.bincount(group)[group] if len(g) else 0
     return out
 
 
-def exploded(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
-    """One row per text and distinct n-gram of up to ``order`` words that ends at a word.
+def counted(texts: DataFrame, order: int, tables: int) -> DataFrame:
+    """``table, block, grams, counts``: the distinct n-grams of each block and their occurrences in it, by table."""
 
-    ``row`` numbers the text, ``n`` its occurrences; ``gram1`` ... are the hashes
-    of the last words, null where the text does not reach back so far, ``own1`` ...
-    their occurrences in the text, and ``total`` its words.
-    """
+    def run(group: pa.Table) -> pa.Table:
+        grams, counts = _block_counts(group.column("text"), order)
+        table = (grams % np.uint64(tables)).astype(np.int32)
+        by_table = np.argsort(table, kind="stable")
+        bounds = np.searchsorted(table[by_table], np.arange(tables + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        offsets = pa.array(np.append(bounds[full], len(grams)), pa.int32())
+        return pa.table({
+            "table": pa.array(full, pa.int32()),
+            "block": pa.array(np.full(len(full), group.column("block")[0].as_py()), pa.int32()),
+            "grams": pa.ListArray.from_arrays(offsets, pa.array(grams[by_table].view(np.int64))),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[by_table], pa.int64())),
+        })
+
+    return texts.groupBy("block").applyInArrow(run, "table int, block int, grams array<long>, counts array<long>")
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column(1)
-            for first, last, data, offsets in hashing.text_chunks(column):
-                words, bounds, _, _ = hashing.word_hashes(data, offsets, hashing.LETTER_WORDS)
-                counts = np.diff(bounds)
-                text_of = np.repeat(np.arange(last - first), counts)
-                place = np.arange(len(words)) - np.repeat(bounds[:-1], counts)
-                grams, known = [words], [np.ones(len(words), bool)]
-                for size in range(2, order + 1):
-                    longer = np.zeros(len(words), np.uint64)
-                    longer[size - 1 :] = hashing.mix(grams[-1][size - 1 :] * np.uint64(0x9E3779B97F4A7C15) + words[: len(words) - size + 1])
-                    grams.append(longer)
-                    known.append(place >= size - 1)
-                last_known = np.sum(known, axis=0)
-                longest = np.choose(last_known - 1, grams) if len(words) else words
-                # the context of an n-gram is the shorter n-gram that ends one word earlier
-                contexts = [np.concatenate([[np.uint64(0)], g[:-1]]) if len(g) else g for g in grams[:-1]]
-                owns = [np.where(k, _by_text(np.where(k, g, np.uint64(0)), text_of), 0) for g, k in zip(grams, known)]
-                own_contexts = [np.concatenate([[0], o[:-1]]) if len(o) else o for o in owns[:-1]]
-                pick = np.lexsort((last_known, longest, text_of))
-                fresh = np.ones(len(pick), bool)
-                fresh[1:] = (longest[pick][1:] != longest[pick][:-1]) | (text_of[pick][1:] != text_of[pick][:-1])
-                n = np.diff(np.append(np.flatnonzero(fresh), len(pick)))
-                at = pick[fresh]
-                columns = {"row": batch.column(0).take(pa.array(first + text_of[at])), "n": pa.array(n, pa.int64()),
-                           "total": pa.array(counts[text_of[at]], pa.int64())}
-                for i in range(order):
-                    missing = ~known[i][at]
-                    columns[f"gram{i + 1}"] = pa.array(grams[i][at].view(np.int64), mask=missing)
-                    columns[f"own{i + 1}"] = pa.array(owns[i][at], pa.int64(), mask=missing)
-                    if i + 1 < order:
-                        missing = ~known[i + 1][at]
-                        columns[f"context{i + 1}"] = pa.array(contexts[i][at].view(np.int64), mask=missing)
-                        columns[f"own_context{i + 1}"] = pa.array(own_contexts[i][at], pa.int64(), mask=missing)
-                yield pa.RecordBatch.from_pydict({name: columns[name] for name in names})
-
-    names = ["row", "n", "total"]
-    for i in range(1, order + 1):
-        names += [f"gram{i}", f"own{i}"] + ([f"context{i}", f"own_context{i}"] if i < order else [])
-    schema = ", ".join(f"{name} long" for name in names)
-    return docs.select(F.col(f"`{key}`").cast("long").alias("row"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
-
-
-def counts(rows: DataFrame, size: int) -> DataFrame:
-    """Occurrences of each n-gram of ``size`` words over all texts."""
-    return rows.where(F.col(f"gram{size}").isNotNull()).groupBy(F.col(f"gram{size}").alias("gram")).agg(F.sum("n").alias("count"))
+
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """``block, grams, counts``: occurrences in all texts of the n-grams that more than one block holds.
+
+    Rows of ``counted`` are shuffled once, by table; what follows keeps that partitioning.
+    """
+    each = rows.repartition("table").select("table", "block", F.explode(F.arrays_zip("grams", "counts")).alias("_"))
+    same = Window.partitionBy("table", "gram")
+    met = each.select("table", "block", F.col("_.grams").alias("gram"), F.col("_.counts").alias("own"))
+    met = met.withColumn("count", F.sum("own").over(same)).withColumn("blocks", F.count("*").over(same)).where("blocks > 1")
+    return met.groupBy("table", "block").agg(F.collect_list("gram").alias("grams"), F.collect_list("count").alias("counts")).drop("table")
+
+
+def _scored(texts: pa.Table, shared: pa.Table, order: int, backoff: float) -> pa.Table:
+    """``row, n_words, log_sum`` of each text of a block that has words."""
+    column = texts.column("text")
+    grams, counts = _block_counts(column, order)
+    for found, count in zip(shared.column("grams").chunks, shared.column("counts").chunks):
+        gram = found.flatten().to_numpy().view(np.uint64)
+        at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+        if not np.array_equal(grams[at], gram):
+            raise RuntimeError("a block of texts changed between counting and scoring")
+        counts[at] = count.flatten().to_numpy()
+    total = counts[0]
+    rows, words, sums = [], [], []
+    for first, sizes, by_size, known in _chunks(column, order):
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        value, before = None, None
+        for gram, there in zip(by_size, known):
+            gram = np.where(there, gram, np.uint64(ANY_WORD))
+            distinct, back = np.unique(gram, return_inverse=True)
+            others = counts[np.searchsorted(grams, distinct)][back] - _own(gram, text)
+            if value is None:
+                value = np.maximum(others, 1) / np.maximum(total - sizes[text], 1)
+            else:
+                # the context of an n-gram is the shorter n-gram that ends one word earlier;
+                # where the text does not reach back so far, nothing is given up
+                context = np.append(1, before[:-1])[: len(before)]
+                longer = np.where(others > 0, others / np.maximum(context, 1), backoff * value)
+                value = np.where(there, longer, value)
+            before = others
+        full = np.flatnonzero(sizes)
+        rows.append(first + full)
+        words.append(sizes[full])
+        sums.append(np.bincount(text, np.log(value), len(sizes))[full])
+    return pa.table({
+        "row": texts.column("row").take(pa.array(np.concatenate([np.empty(0, np.int64), *rows]))),
+        "n_words": pa.array(np.concatenate([np.empty(0, np.int64), *words]), pa.int64()),
+        "log_sum": pa.array(np.concatenate([np.empty(0), *sums])),
+    })
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -98,26 +164,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     have no row.  Rows that repeat a key are scored as one text's parts: their
     words add up.  No texts, no rows; other columns are not read.
     """
-    rows = exploded(docs, key, text, order)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tables = {size: counts(rows, size) for size in range(1, order + 1)}
-    joined = rows
-
-    def others(column: str, own: str, size: int) -> None:
-        nonlocal joined
-        table = tables[size].select(F.col("gram").alias(column), F.col("count").alias(f"_{column}"))
-        joined = joined.join(table.hint("merge"), column, "left").withColumn(f"_{column}", F.col(f"_{column}") - F.col(own)).drop(column, own)
-
-    for size in range(order, 0, -1):
-        others(f"gram{size}", f"own{size}", size)
-        if size < order:
-            others(f"context{size}", f"own_context{size}", size)
-    value: Column = F.greatest(F.col("_gram1"), F.lit(1)) / F.greatest(F.lit(total) - F.col("total"), F.lit(1))
-    for size in range(2, order + 1):
-        longer = F.col(f"_gram{size}") / F.col(f"_context{size - 1}")
-        # where the text does not reach back so far, nothing is given up
-        short = F.col(f"_context{size - 1}").isNull()
-        value = F.when(F.col(f"_gram{size}") > 0, longer).when(short, value).otherwise(F.lit(backoff) * value)
-    return joined.groupBy(F.col("row").alias(key)).agg(
-        F.sum("n").alias("n_words"), (F.sum(F.col("n") * F.log(value)) / F.sum("n")).alias("log_score")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("row"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = size // BLOCK_BYTES + 1
+    # rows equal in key and text part by where they are read
+    block = F.pmod(F.xxhash64("row", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    texts = rows.withColumn("block", block)
+    shared = shared_counts(counted(texts, order, TABLES + blocks // BLOCKS_PER_TABLE))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _scored(left, right, order, backoff)
+
+    scored = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "row long, n_words long, log_sum double")
+    return scored.groupBy(F.col("row").alias(key)).agg(
+        F.sum("n_words").alias("n_words"), (F.sum("log_sum") / F.sum("n_words")).alias("log_score")
     )

@@ -320,7 +320,10 @@ def test_shards_are_even_whole_and_gapless(spark, docs, monkeypatch):
 
 # 9 language model
 
-def test_backoff_scores_like_brute_force(spark, docs):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 200, 1])
+def test_backoff_scores_like_brute_force(spark, docs, monkeypatch, block_bytes):
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(backoff_lm, "TABLES", 3)
     texts = {1: "a b c a b", 2: "A b d", 3: "z", 4: "", 5: None, 6: "b c b c"}
     tokens = {k: re.findall(r"[a-z]+", (t or "").lower()) for k, t in texts.items()}
 
