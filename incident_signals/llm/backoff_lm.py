@@ -1,23 +1,22 @@
 """Stupid-backoff scores by joins with n-gram count tables.
 
 Texts are dealt into blocks of bounded size by hash.  Each block explodes its
-n-grams and counts them; the counts meet in tables partitioned by n-gram hash,
-where every n-gram that several blocks hold finds its occurrences in all texts.
-These return to the blocks that asked, where they are joined to the n-grams of
-each text, and the logarithms are summed per text.  A text's own occurrences are
-taken off the counts, so that a text is scored by the others and backing off
-really occurs.
-
-A block sends an n-gram once however many of its texts hold it, an n-gram of one
-block only is not sent back, and each text is shuffled once: a frequent n-gram
-has as many rows as there are blocks, and no row per word leaves a block.
+n-grams and counts them; the counts meet in tables partitioned by ranges of the
+n-gram hash, where each is joined to its occurrences in all texts.  These return
+to the blocks, where they are joined to the n-grams of each text, and the
+logarithms are summed per text.  A text's own occurrences are taken off the
+counts, so that a text is scored by the others and backing off really occurs.
+
+A block sends an n-gram once however many of its texts hold it, and gets counts
+back in the order it sent them: a frequent n-gram has as many entries as there
+are blocks, no row per word leaves a block, and each text is shuffled once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals.llm import hashing
@@ -25,9 +24,9 @@ from incident_signals.llm import hashing
 ORDER = 2
 BACKOFF = 0.4
 # Bytes of text that one task explodes at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 # Count tables: so many, and one more for so many blocks.
-TABLES, BLOCKS_PER_TABLE = 64, 16
+TABLES, BLOCKS_PER_TABLE = 64, 4
 # Stands for any word: its count is the number of words.
 ANY_WORD = 0
 
@@ -83,49 +82,69 @@ def _own(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers with bytes of equal weight side by side: small ones shrink under the compression of shuffles."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def counted(texts: DataFrame, order: int, tables: int) -> DataFrame:
-    """``table, block, grams, counts``: the distinct n-grams of each block and their occurrences in it, by table."""
+    """``table, block, grams, counts``: the distinct n-grams of each block (as steps from one to the next) and their
+    occurrences in it, packed; a table is a range of hashes."""
+    width = np.uint64((1 << 64) // tables + 1)
 
     def run(group: pa.Table) -> pa.Table:
         grams, counts = _block_counts(group.column("text"), order)
-        table = (grams % np.uint64(tables)).astype(np.int32)
-        by_table = np.argsort(table, kind="stable")
-        bounds = np.searchsorted(table[by_table], np.arange(tables + 1))
+        bounds = np.searchsorted(grams // width, np.arange(tables + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(bounds))
-        offsets = pa.array(np.append(bounds[full], len(grams)), pa.int32())
+        slices = [slice(bounds[t], bounds[t + 1]) for t in full]
         return pa.table({
             "table": pa.array(full, pa.int32()),
             "block": pa.array(np.full(len(full), group.column("block")[0].as_py()), pa.int32()),
-            "grams": pa.ListArray.from_arrays(offsets, pa.array(grams[by_table].view(np.int64))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[by_table], pa.int64())),
+            "grams": pa.array([_packed(np.diff(grams[s], prepend=np.uint64(0))) for s in slices], pa.binary()),
+            "counts": pa.array([_packed(counts[s]) for s in slices], pa.binary()),
         })
 
-    return texts.groupBy("block").applyInArrow(run, "table int, block int, grams array<long>, counts array<long>")
+    return texts.groupBy("block").applyInArrow(run, "table int, block int, grams binary, counts binary")
 
 
-def shared_counts(rows: DataFrame) -> DataFrame:
-    """``block, grams, counts``: occurrences in all texts of the n-grams that more than one block holds.
+def totalled(rows: DataFrame) -> DataFrame:
+    """``table, block, counts``: for the n-grams of each row of ``counted``, in their order, the occurrences in all texts."""
 
-    Rows of ``counted`` are shuffled once, by table; what follows keeps that partitioning.
-    """
-    each = rows.repartition("table").select("table", "block", F.explode(F.arrays_zip("grams", "counts")).alias("_"))
-    same = Window.partitionBy("table", "gram")
-    met = each.select("table", "block", F.col("_.grams").alias("gram"), F.col("_.counts").alias("own"))
-    met = met.withColumn("count", F.sum("own").over(same)).withColumn("blocks", F.count("*").over(same)).where("blocks > 1")
-    return met.groupBy("table", "block").agg(F.collect_list("gram").alias("grams"), F.collect_list("count").alias("counts")).drop("table")
+    def run(group: pa.Table) -> pa.Table:
+        parts = [np.cumsum(_unpacked(g)) for g in group.column("grams")]
+        grams = np.concatenate(parts)
+        order = np.argsort(grams, kind="stable")  # merges the sorted parts
+        grams = grams[order]
+        starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        del grams
+        counts = np.concatenate([_unpacked(c) for c in group.column("counts")])
+        sums = np.add.reduceat(counts[order], starts)
+        counts[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        return pa.table({
+            "table": group.column("table"),
+            "block": group.column("block"),
+            "counts": pa.array([_packed(c) for c in np.split(counts, ends)], pa.binary()),
+        })
+
+    return rows.groupBy("table").applyInArrow(run, "table int, block int, counts binary")
 
 
-def _scored(texts: pa.Table, shared: pa.Table, order: int, backoff: float) -> pa.Table:
+def _scored(texts: pa.Table, totals: pa.Table, order: int, backoff: float) -> pa.Table:
     """``row, n_words, log_sum`` of each text of a block that has words."""
     column = texts.column("text")
-    grams, counts = _block_counts(column, order)
-    for found, count in zip(shared.column("grams").chunks, shared.column("counts").chunks):
-        gram = found.flatten().to_numpy().view(np.uint64)
-        at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-        if not np.array_equal(grams[at], gram):
-            raise RuntimeError("a block of texts changed between counting and scoring")
-        counts[at] = count.flatten().to_numpy()
+    grams, own = _block_counts(column, order)
+    totals = totals.sort_by("table")
+    counts = np.concatenate([_unpacked(c) for c in totals.column("counts")] or [np.empty(0, np.uint64)]).astype(np.int64)
+    if len(counts) != len(own) or (counts < own).any():
+        raise RuntimeError("a block of texts changed between counting and scoring")
     total = counts[0]
+    del own
     rows, words, sums = [], [], []
     for first, sizes, by_size, known in _chunks(column, order):
         text = np.repeat(np.arange(len(sizes)), sizes)
@@ -170,12 +189,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     # rows equal in key and text part by where they are read
     block = F.pmod(F.xxhash64("row", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
     texts = rows.withColumn("block", block)
-    shared = shared_counts(counted(texts, order, TABLES + blocks // BLOCKS_PER_TABLE))
+    totals = totalled(counted(texts, order, TABLES + blocks // BLOCKS_PER_TABLE))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _scored(left, right, order, backoff)
 
-    scored = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "row long, n_words long, log_sum double")
+    scored = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, "row long, n_words long, log_sum double")
     return scored.groupBy(F.col("row").alias(key)).agg(
         F.sum("n_words").alias("n_words"), (F.sum("log_sum") / F.sum("n_words")).alias("log_score")
     )
