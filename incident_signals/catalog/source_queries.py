@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
@@ -13,7 +13,7 @@ from incident_signals.catalog.registry import query
 from incident_signals.functions.text import normalize_text
 from incident_signals.models import features as ft
 from incident_signals.models.classifiers import RuleClassifier, SifClassifier
-from incident_signals.models.inference import enrich, predict_reports
+from incident_signals.models.inference import EMPTY_ERROR, enrich, predict_reports
 from incident_signals.models.itemsets import DIMENSIONS, association_rules, frequent_itemsets
 from incident_signals.models.semantic import add_semantic_hazards
 from incident_signals.models.split import stratified_split
@@ -191,13 +191,28 @@ def rule_predictions(spark, sf):
 
 @query("m7_batch_inference")
 def inference(spark, sf):
+    return _inferred(spark, sf).select("report_id", "sif_label_text", "primary_rule", F.size("hazards").alias("hazards"), "error")
+
+
+def _inferred(spark, sf) -> DataFrame:
+    """Predictions of all reports, of which every tenth has no text."""
     features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
     df = reports(spark, sf)
     some_blank = df.withColumn("description", F.when(F.col("report_id") % 10 == 0, " ").otherwise(F.col("description")))
-    done = predict_reports(some_blank, features, sif, rules)
-    return done.select(
-        "report_id", "sif_label_text", "primary_rule", F.size("hazards").alias("hazards"), "error"
-    )
+    return predict_reports(some_blank, features, sif, rules)
+
+
+@query(
+    "m7_inference_errors",
+    with_sql(REPORTS_SQL)
+    + f"""SELECT report_id, report_id % 10 <> 0 AS predicted, CASE WHEN report_id % 10 = 0 THEN '{EMPTY_ERROR}' END AS error
+      FROM reports""",
+)
+def inference_errors(spark, sf):
+    """Reports with text have a probability and a class that agrees with it; the others have an error."""
+    inferred = _inferred(spark, sf)
+    predicted = F.col("sif_probability").between(0, 1) & F.col("sif_prediction").isin(0, 1)
+    return inferred.select("report_id", F.coalesce(predicted, F.lit(False)).alias("predicted"), "error")
 
 
 @query("q12_model_comparison")
@@ -241,6 +256,32 @@ def refreshed(spark, sf):
     return refresh.refresh(df, root, features, sif, rules, ft.HashingEmbedder(), version="first")
 
 
+@query(
+    "s10_s11_versions",
+    with_sql(REPORTS_SQL, "n AS (SELECT count(*) AS n FROM reports)")
+    + """SELECT place, version, source, status, n AS current_reports, n AS current_vectors
+      FROM n, (VALUES (1, 'first', 'uploaded_reports.csv', 'good'), (2, 'second', 'uploaded_reports.csv', 'failed'),
+                      (3, 'first', 'restored', 'good')) v(place, version, source, status)""",
+)
+def versions(spark, sf):
+    """A refresh, a refresh that fails for want of text, and the first version restored: manifest and current tables."""
+    features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
+    df = reports(spark, sf).select("report_id", "date", "site", "location", "report_type", "description")
+    root, embedder = new_path(spark, "versions"), ft.HashingEmbedder()
+    refresh.refresh(df, root, features, sif, rules, embedder, version="first")
+    try:
+        refresh.refresh(df.withColumn("description", F.lit(" ")), root, features, sif, rules, embedder, version="second")
+    except ValueError:
+        refresh.restore(spark, root, "first")
+    current = refresh.version_path(root, refresh.current_version(spark, root))
+    counts = [spark.read.parquet(f"{current}/{name}").agg(F.count(F.lit(1))).scalar() for name in ("enriched", "vectors")]
+    manifest = spark.read.schema(refresh.MANIFEST).parquet(f"{root}/manifest")
+    # a few rows: one per refresh or restore
+    place = F.row_number().over(Window.orderBy("created_at"))
+    return manifest.select(place.alias("place"), "version", "source", "status",
+                           counts[0].alias("current_reports"), counts[1].alias("current_vectors"))
+
+
 ITEM_DIMS = list(DIMENSIONS)
 
 
