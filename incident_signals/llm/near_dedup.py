@@ -5,13 +5,15 @@ representatives stand in 24 sorted signature orders, dealt out by range, so a
 hot region is shared by several tasks; neighbours with a long common prefix
 are candidates, and regions of many rows are compared at a deeper prefix.
 Candidates are confirmed on the full shingle sets.  Where a region holds too
-many pairs, a spanning forest of them is confirmed first and a second pass
-looks at all its pairs that still lie between different components.
+many rows or pairs, or goes on in another task, a spanning forest of candidates
+is confirmed first.  A second pass then cuts these regions into blocks and
+compares the full sets of all pairs that still lie between different components.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,34 +36,65 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _candidates(chosen: DataFrame) -> DataFrame:
-    """Pairs of neighbours in the trees' orders; ``chosen`` has ``id, sign, sketch`` and, in a later pass, ``label``."""
-    labelled = "label" in chosen.columns
+    """Pairs of neighbours in the trees' orders, and rows with pairs left; ``chosen`` has ``id, sign, sketch``."""
     size = 2 * forest.DEPTH
     rows = chosen.select(
-        F.explode(F.sequence(F.lit(0), F.lit(forest.TREES - 1))).alias("tree"), "id", "sign", "sketch", *(["label"] if labelled else [])
-    ).select(
-        "tree", F.substr("sign", F.col("tree") * size + 1, F.lit(size)).alias("key"), "id",
-        "sketch", *(["label"] if labelled else []),
-    )
+        F.explode(F.sequence(F.lit(0), F.lit(forest.TREES - 1))).alias("tree"), "id", "sign", "sketch"
+    ).select("tree", F.substr("sign", F.col("tree") * size + 1, F.lit(size)).alias("key"), "id", "sketch")
     # rows of one key stand in another order in each tree
     order = ["tree", "key", F.xxhash64("tree", "id")]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_.mapInArrow(lambda batches: forest.candidates(batches, labelled), "a long, b long")
+    return sorted_.mapInArrow(forest.candidates, "a long, b long, tree int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``id``, full shingle set, signature and wide sketch of the given ids."""
+    """``id`` and full shingle set of the given ids."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            found = forest.shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], names=["id", *found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), forest.shingle_sets(batch.column(1), width)], names=["id", "set"])
 
     # the ids grow with the texts: never a broadcast
-    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
-        run, "id long, set array<long>, sign binary, sketch binary"
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, set array<long>")
+
+
+def _rest(left: DataFrame, chosen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in the regions of the rows ``tree, id`` of ``left``.
+
+    All pairs of a region are compared on full sets, but those of two blocks
+    whose rows all belong to one component.
+    """
+    size = 2 * forest.DEPTH
+    rows = (
+        left.join(chosen.select("id", "sign", "n_shingles"), "id").join(labels, "id", "left")
+        .select("tree", F.substr("sign", F.col("tree") * size + 1, F.lit(2 * forest.LEAST_DEPTH)).alias("key"), "id",
+                F.coalesce("label", "id").alias("label"), F.col("n_shingles").alias("n"))
+    )
+    rows = settled(rows, "left")
+    mixed = rows.groupBy("tree", "key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    order = ["tree", "key", "label", "id"]
+    sorted_ = rows.join(mixed, ["tree", "key"], "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    members = settled(
+        sorted_.mapInArrow(
+            lambda batches: forest.numbered(batches, TaskContext.get().partitionId()),
+            "tree int, key binary, id long, label long, block long",
+        ),
+        "blocks",
+    )
+    blocks = members.groupBy("tree", "key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = blocks.select("tree", "key", F.col("block").alias("_block"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    pairs = (
+        blocks.join(other, ["tree", "key"])
+        .where("block <= _block AND NOT (low = high AND _low = _high AND low = _low)")
+        .select(F.col("block").alias("pair_a"), F.col("_block").alias("pair_b"))
     )
+    pairs = settled(pairs, "pairs")
+    sides = pairs.select("pair_a", "pair_b", F.explode(F.array_distinct(F.array("pair_a", "pair_b"))).alias("block"))
+    both = sides.join(members.select("block", "id", "label"), "block").join(sets.hint("merge"), "id")
+    at = ["pair_a", "pair_b"]
+    dealt = both.select(*at, "block", "id", "label", "set").repartition(*at).sortWithinPartitions(*at, "block")
+    return dealt.mapInArrow(lambda batches: forest.between(batches, percent), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -95,25 +128,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     same = settled(same, "sets")
     chosen = (
         sets.join(same.select(F.col("rep").alias("id"), F.col("digest").alias("_digest")), "id")
-        .where("digest = _digest").dropDuplicates(["id"]).select("id", "sign", "sketch")
+        .where("digest = _digest").dropDuplicates(["id"]).select("id", "n_shingles", "sign", "sketch")
     )
     chosen = settled(chosen, "chosen")
     found = settled(_candidates(chosen).distinct(), "pairs")
-    pairs = found.where("b IS NOT NULL")
+    pairs = found.where("b IS NOT NULL").select("a", "b")
     ends = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     held = settled(_sets(docs, ends, key, text, width), "sets")
     links = settled(_confirmed(pairs, held, percent), "links")
     labels = components(links)
-    rest = found.where("b IS NULL").select(F.col("a").alias("id"))
-    if not rest.isEmpty():
-        again = (
-            held.select("id", "sign", "sketch").join(rest, "id", "left_semi")
-            .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        )
-        more = settled(_candidates(again).where("b IS NOT NULL").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.union(_confirmed(more, held, percent))
-            labels = components(links)
+    left = found.where("b IS NULL").select(F.col("a").alias("id"), "tree")
+    more = settled(_rest(left, chosen, labels, held, percent), "more")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
     # a repeated key joins the representatives of its texts
     texts = sets.join(same, ["digest", "n_shingles"]).select("id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     classes = texts.select("id", F.coalesce("label", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))

@@ -264,6 +264,37 @@ def test_near_duplicates_like_brute_force(spark, docs, monkeypatch, region):
     assert got == near_brute(rows, 3, 85)
 
 
+def test_near_duplicates_in_a_dense_region_like_brute_force(spark, docs):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 8))
+    template, rows, key = [word() for _ in range(180)], [], 0
+
+    # rows 0.84 alike to one another, but for pairs 0.86 alike
+    for at in range(3_000):
+        text = [word() for _ in range(15)] + template[15:]
+        rows.append((key, " ".join(text)))
+        key += 1
+        if at % 10 == 0:
+            rows.append((key, " ".join(text[:4] + [word() for _ in range(11)] + template[15:])))
+            key += 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(rows), width=3, percent=85).collect()}
+    names = {}
+    grams = [[names.setdefault(g, len(names)) for g in {tuple(w[i : i + 3]) for i in range(len(w) - 2)}] for w in (t.split() for _, t in rows)]
+    often = np.bincount(np.concatenate(grams)) > 1
+    column = np.cumsum(often) - 1
+    met = np.zeros((len(rows), int(often.sum())), np.float32)
+    for i, g in enumerate(grams):
+        met[i, column[[x for x in g if often[x]]]] = 1
+    shared, sizes = met @ met.T, np.array([len(g) for g in grams])
+    x, y = np.nonzero(np.triu(shared * 100 >= (sizes[:, None] + sizes - shared) * 85, 1))
+    assert len(x) >= 300
+    want = list(range(len(rows)))
+    for a, b in zip(x.tolist(), y.tolist()):
+        low, high = sorted((want[a], want[b]))
+        want = [low if v == high else v for v in want] if low != high else want
+    assert got == {i: (int(n), c) for i, (n, c) in enumerate(zip(sizes, want))}
+
+
 def test_near_duplicates_nulls_repeats_and_nothing(spark, docs):
     got = near_dedup.near_duplicates(docs([(None, "a b c"), (2, "a b c"), (2, "a b c"), (1, "a  B c")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [
