@@ -6,6 +6,8 @@ Everything here runs inside tasks, over Arrow batches.
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +15,12 @@ import pyarrow as pa
 from incident_signals.llm import hashing
 
 TREES = 24
+MOST_TREES = 40
 DEPTH = 8
 LEAST_DEPTH = 4
 SKETCH = 64
-# Equal sketch bytes of a candidate pair; at similarity 0.85 fewer turn up once in a million pairs.
-LEAST_EQUAL = 40
+# Pairs at the limit that the trees miss, or the sketches, at most.
+MISSED = 1e-6
 # A region of more rows goes one level deeper; at full depth it is walked in overlapping blocks.
 # Its other pairs are left for the second pass.
 REGION = 256
@@ -28,15 +31,45 @@ HELD = 65_536
 BLOCK = 1_024
 BLOCK_SHINGLES = 1_000_000
 _COLUMNS = 2_048
-_STEPS = hashing.constants(TREES * DEPTH, 3) | np.uint64(1)
-_MASKS = hashing.constants(TREES * DEPTH, 4)
 _PIECE = 100_000
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits of ``TREES * DEPTH`` and 8 bits of ``SKETCH`` MinHash values per row; zeros without shingles."""
+@dataclass(frozen=True)
+class Plan:
+    """Trees, shared values of neighbours and equal sketch bytes of candidates."""
+
+    trees: int
+    least_depth: int
+    least_equal: int
+
+
+def plan(percent: int) -> Plan:
+    """Limits by which a pair of ``percent`` similarity is missed at most ``MISSED`` of the time.
+
+    Less similar texts are neighbours by fewer values, and stand in more trees if one value is too many.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent {percent} is not above 0 and up to 100")
+    alike = percent / 100
+    for depth in range(LEAST_DEPTH, 0, -1):
+        trees = TREES if alike == 1 else max(TREES, math.ceil(math.log(MISSED) / math.log1p(-(alike**depth))))
+        if trees <= MOST_TREES:
+            break
+    fewer, least = 0.0, 0
+    while least < SKETCH:
+        fewer += math.comb(SKETCH, least) * alike**least * (1 - alike) ** (SKETCH - least)
+        if fewer > MISSED:
+            break
+        least += 1
+    return Plan(trees, depth, least)
+
+
+def signatures(sets: np.ndarray, offsets: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of ``trees * DEPTH`` and 8 bits of ``SKETCH`` MinHash values per row; zeros without shingles."""
     n = len(offsets) - 1
-    keys, sketch = np.zeros((n, TREES * DEPTH), ">u2"), np.zeros((n, SKETCH), np.uint8)
+    values = trees * DEPTH
+    steps, masks = hashing.constants(values, 3) | np.uint64(1), hashing.constants(values, 4)
+    keys, sketch = np.zeros((n, values), ">u2"), np.zeros((n, SKETCH), np.uint8)
     full = np.flatnonzero(np.diff(offsets) > 0)
     first = 0
     while first < len(full):
@@ -46,9 +79,9 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         part = sets[offsets[rows[0]] : offsets[rows[-1] + 1]]
         starts = offsets[rows] - offsets[rows[0]]
         work = np.empty(len(part), np.uint64)
-        for k in range(TREES * DEPTH):
-            np.bitwise_xor(part, _MASKS[k], out=work)
-            np.multiply(work, _STEPS[k], out=work)
+        for k in range(values):
+            np.bitwise_xor(part, masks[k], out=work)
+            np.multiply(work, steps[k], out=work)
             least = hashing.mix(np.minimum.reduceat(work, starts)) >> np.uint64(48)
             keys[rows, k] = least.astype(">u2")
             if k < SKETCH:
@@ -57,7 +90,7 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, sketch
 
 
-def sign(texts: pa.Array, width: int) -> dict[str, pa.Array]:
+def sign(texts: pa.Array, width: int, trees: int) -> dict[str, pa.Array]:
     """Set size, digest of the set, signature and sketch of each text."""
     sizes, digests = [], []
     parts: dict[str, list[bytes]] = {"sign": [], "sketch": []}
@@ -67,7 +100,7 @@ def sign(texts: pa.Array, width: int) -> dict[str, pa.Array]:
         sizes.append(np.diff(ends))
         raw = sets.tobytes()
         digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
-        for name, values in zip(parts, signatures(sets, ends)):
+        for name, values in zip(parts, signatures(sets, ends, trees)):
             parts[name] += [row.tobytes() for row in values]
     return {
         "n_shingles": pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64), pa.int64()),
@@ -119,8 +152,8 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> list[int]:
 class Region:
     """Pairs of one batch of rows in (tree, key) order."""
 
-    def __init__(self, trees: np.ndarray, ids: np.ndarray, sketches: np.ndarray):
-        self.trees, self.ids, self.sketches = trees, ids, sketches
+    def __init__(self, trees: np.ndarray, ids: np.ndarray, sketches: np.ndarray, limits: Plan):
+        self.trees, self.ids, self.sketches, self.limits = trees, ids, sketches, limits
         self.pairs: list[np.ndarray] = []
         self.rest: list[np.ndarray] = []
 
@@ -139,7 +172,7 @@ class Region:
         for i in range(b - a):
             bits = np.packbits(sketch[i] == sketch, axis=1)
             equal[i] = np.bitwise_count(bits.view(np.uint64)).sum(axis=1)
-        left, right = np.nonzero(np.triu(equal >= LEAST_EQUAL, 1))
+        left, right = np.nonzero(np.triu(equal >= self.limits.least_equal, 1))
         apart = ids[left] != ids[right]
         left, right = left[apart], right[apart]
         if len(left) > 4 * (b - a):
@@ -156,7 +189,7 @@ class Region:
         if b - a <= REGION:
             self.compare(a, b)
             return
-        if depth == LEAST_DEPTH:
+        if depth == self.limits.least_depth:
             self.leave(np.arange(a, b))
         if depth < DEPTH:
             cuts = np.flatnonzero((keys[a + 1 : b, 2 * depth : 2 * depth + 2] != keys[a : b - 1, 2 * depth : 2 * depth + 2]).any(axis=1)) + a + 1
@@ -173,7 +206,7 @@ class Region:
                     break
 
 
-def candidates(batches):
+def candidates(batches, limits: Plan):
     """Rows ``a, b`` of candidate pairs, and rows ``a, null, tree`` of rows with pairs left for a later pass.
 
     Batches hold ``tree, key, id, sketch`` in sorted order.  The first and the
@@ -190,12 +223,12 @@ def candidates(batches):
             return None, n
         tree = column["tree"].to_numpy(zero_copy_only=False)
         keys = _fixed(column["key"], 2 * DEPTH)
-        head = keys[:, : 2 * LEAST_DEPTH]
+        head = keys[:, : 2 * limits.least_depth]
         cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(axis=1)) + 1
         edges = np.concatenate([[0], cuts, [n]])
         full = n - edges[-2] >= HELD
         done = n if last or full else int(edges[-2])
-        region = Region(tree, column["id"].to_numpy(zero_copy_only=False), _fixed(column["sketch"], SKETCH))
+        region = Region(tree, column["id"].to_numpy(zero_copy_only=False), _fixed(column["sketch"], SKETCH), limits)
         if done and goes_on:
             region.leave(np.arange(edges[0], edges[1]))
         if done == n:
@@ -204,7 +237,7 @@ def candidates(batches):
             goes_on = done == n
         for at in np.flatnonzero(np.diff(edges) > 1):
             if edges[at + 1] <= done:
-                region.split(keys, int(edges[at]), int(edges[at + 1]), LEAST_DEPTH)
+                region.split(keys, int(edges[at]), int(edges[at + 1]), limits.least_depth)
         pairs = np.unique(np.concatenate(region.pairs), axis=0) if region.pairs else np.empty((0, 2), np.int64)
         rest = np.unique(np.concatenate(region.rest), axis=0) if region.rest else np.empty((0, 2), np.int64)
         batch = pa.RecordBatch.from_arrays(

@@ -1,9 +1,10 @@
 """Near-duplicate groups by an LSH forest and exact set similarity.
 
 Texts with the same shingle set are one representative from the start.  The
-representatives stand in 24 sorted signature orders, dealt out by range, so a
+representatives stand in 24 or more sorted signature orders, dealt out by range, so a
 hot region is shared by several tasks; neighbours with a long common prefix
 are candidates, and regions of many rows are compared at a deeper prefix.
+How many orders, and how long a prefix, follows from the similarity asked for.
 Candidates are confirmed on the full shingle sets.  Where a region holds too
 many rows or pairs, or goes on in another task, a spanning forest of candidates
 is confirmed first.  A second pass then cuts these regions into blocks and
@@ -24,10 +25,10 @@ SHINGLE = 5
 SIMILAR_PERCENT = 80
 
 
-def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def signed(docs: DataFrame, key: str, text: str, width: int, trees: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            found = forest.sign(batch.column(1), width)
+            found = forest.sign(batch.column(1), width, trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], names=["id", *found])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text")).mapInArrow(
@@ -35,16 +36,16 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     )
 
 
-def _candidates(chosen: DataFrame) -> DataFrame:
+def _candidates(chosen: DataFrame, limits: forest.Plan) -> DataFrame:
     """Pairs of neighbours in the trees' orders, and rows with pairs left; ``chosen`` has ``id, sign, sketch``."""
     size = 2 * forest.DEPTH
     rows = chosen.select(
-        F.explode(F.sequence(F.lit(0), F.lit(forest.TREES - 1))).alias("tree"), "id", "sign", "sketch"
+        F.explode(F.sequence(F.lit(0), F.lit(limits.trees - 1))).alias("tree"), "id", "sign", "sketch"
     ).select("tree", F.substr("sign", F.col("tree") * size + 1, F.lit(size)).alias("key"), "id", "sketch")
     # rows of one key stand in another order in each tree
     order = ["tree", "key", F.xxhash64("tree", "id")]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_.mapInArrow(forest.candidates, "a long, b long, tree int")
+    return sorted_.mapInArrow(lambda batches: forest.candidates(batches, limits), "a long, b long, tree int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -59,7 +60,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> D
     return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, set array<long>")
 
 
-def _rest(left: DataFrame, chosen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(left: DataFrame, chosen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, limits: forest.Plan) -> DataFrame:
     """Links between different components in the regions of the rows ``tree, id`` of ``left``.
 
     All pairs of a region are compared on full sets, but those of two blocks
@@ -68,7 +69,7 @@ def _rest(left: DataFrame, chosen: DataFrame, labels: DataFrame, sets: DataFrame
     size = 2 * forest.DEPTH
     rows = (
         left.join(chosen.select("id", "sign", "n_shingles"), "id").join(labels, "id", "left")
-        .select("tree", F.substr("sign", F.col("tree") * size + 1, F.lit(2 * forest.LEAST_DEPTH)).alias("key"), "id",
+        .select("tree", F.substr("sign", F.col("tree") * size + 1, F.lit(2 * limits.least_depth)).alias("key"), "id",
                 F.coalesce("label", "id").alias("label"), F.col("n_shingles").alias("n"))
     )
     rows = settled(rows, "left")
@@ -122,7 +123,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     with different texts count as linked (they are one document); only one of
     the texts is compared further.  No rows in, no rows out; other columns are not read.
     """
-    marks = settled(signed(docs, key, text, width), "signs")
+    limits = forest.plan(percent)
+    marks = settled(signed(docs, key, text, width, limits.trees), "signs")
     sets = marks.where("id IS NOT NULL AND n_shingles > 0")
     same = sets.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"))
     same = settled(same, "sets")
@@ -131,14 +133,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         .where("digest = _digest").dropDuplicates(["id"]).select("id", "n_shingles", "sign", "sketch")
     )
     chosen = settled(chosen, "chosen")
-    found = settled(_candidates(chosen).distinct(), "pairs")
+    found = settled(_candidates(chosen, limits).distinct(), "pairs")
     pairs = found.where("b IS NOT NULL").select("a", "b")
     ends = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     held = settled(_sets(docs, ends, key, text, width), "sets")
     links = settled(_confirmed(pairs, held, percent), "links")
     labels = components(links)
     left = found.where("b IS NULL").select(F.col("a").alias("id"), "tree")
-    more = settled(_rest(left, chosen, labels, held, percent), "more")
+    more = settled(_rest(left, chosen, labels, held, percent, limits), "more")
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)

@@ -295,6 +295,34 @@ def test_near_duplicates_in_a_dense_region_like_brute_force(spark, docs):
     assert got == {i: (int(n), c) for i, (n, c) in enumerate(zip(sizes, want))}
 
 
+def test_near_duplicates_limits_follow_the_percent():
+    assert lsh_forest.plan(85) == lsh_forest.Plan(24, 4, 39)
+    rng = np.random.default_rng(1)
+    for percent in (1, 10, 30, 50, 70, 75, 80, 90, 99, 100):
+        limits = lsh_forest.plan(percent)
+        assert (1 - (percent / 100) ** limits.least_depth) ** limits.trees <= 1e-6
+        assert (rng.binomial(64, percent / 100, 100_000) >= limits.least_equal).mean() > 0.9999
+
+
+@pytest.mark.parametrize("percent", [80, 50])
+def test_near_duplicates_of_other_percents_like_brute_force(spark, docs, monkeypatch, percent):
+    monkeypatch.setattr(lsh_forest, "REGION", 16)
+    monkeypatch.setattr(lsh_forest, "OVERLAP", 2)
+    rng = np.random.default_rng(6)
+    rows = []
+    for base in range(3):
+        words = words_of(105, 300 + base)
+        own = 11 if percent == 80 else 34
+        # nearly at the limit: some pairs share a few words of their own
+        for at in range(60):
+            mine = words_of(own, int(rng.integers(10**6)))
+            rows.append((len(rows), " ".join(mine + words[own:])))
+            if at % 6 == 0:
+                rows.append((len(rows), " ".join(mine[:7] + words_of(own - 7, int(rng.integers(10**6))) + words[own:])))
+    found = near_dedup.near_duplicates(docs(rows), **({} if percent == 80 else {"percent": percent})).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_brute(rows, 5, percent)
+
+
 def test_near_duplicates_nulls_repeats_and_nothing(spark, docs):
     got = near_dedup.near_duplicates(docs([(None, "a b c"), (2, "a b c"), (2, "a b c"), (1, "a  B c")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [
