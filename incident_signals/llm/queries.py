@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incident_signals.llm import (
     backoff_lm,
+    byte_bpe,
     decontaminate,
     license_scan,
     mixing,
@@ -245,3 +246,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return backoff_lm.score(docs).withColumn("log_score", F.round("log_score", 6))
+
+
+@query("op13_byte_bpe_round_trip")
+def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = byte_bpe.Vocabulary.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = byte_bpe.decode(encoded.select("doc_id", "ids"), vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
