@@ -15,6 +15,7 @@ from incident_signals.llm import (
     quality,
     sharding,
     stream_dedup,
+    token_alignment,
     toxicity,
     url_rules,
 )
@@ -260,3 +261,15 @@ def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = byte_bpe.Vocabulary.from_tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+    b = token_alignment.Pieces.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    found = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, digest=True)
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
