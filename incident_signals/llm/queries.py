@@ -18,6 +18,7 @@ from incident_signals.llm import (
     token_alignment,
     toxicity,
     url_rules,
+    vector_codes,
 )
 from incident_signals.llm.registry import CHECKS, LOWER, QUERIES, query, table
 from incident_signals.llm.text import plain_word_count
@@ -273,3 +274,52 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
     )
+
+
+def _codes_check() -> str:
+    rounds = []
+    for t in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""a{t} AS MATERIALIZED (
+      SELECT vec_id, label, p, x, min(16 * d + e) AS m FROM (
+        SELECT vec_id, label, parts.p, x, e,
+               CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM parts JOIN c{t} ON parts.p = c{t}.p)
+      GROUP BY ALL
+    )""")
+        if t < vector_codes.ROUNDS:
+            rounds.append(f"""c{t + 1} AS MATERIALIZED (
+      SELECT p, e, coalesce(mean, c) AS c FROM c{t} LEFT JOIN (
+        SELECT p, e, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS mean FROM (
+          SELECT p, m % 16 AS e, i, sum(x[i]) AS total, count(*) AS n
+          FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{t}) GROUP BY ALL)
+        GROUP BY p, e) USING (p, e)
+    )""")
+    last = vector_codes.ROUNDS
+    joined = ", ".join(rounds)
+    return f"""
+    WITH ints AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), parts AS MATERIALIZED (
+      SELECT vec_id, label, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x
+      FROM (SELECT *, unnest(range(8)) AS p FROM ints)
+    ), c0 AS (
+      SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 16
+    ), {joined}, coded AS (
+      SELECT vec_id, label, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error
+      FROM a{last} GROUP BY vec_id, label
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i))
+            FROM (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM c{last})) AS codebooks_sha256
+    FROM coded
+    """
+
+
+@query("op12_vector_code_compression", _codes_check())
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")
+    )
