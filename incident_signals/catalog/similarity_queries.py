@@ -188,7 +188,7 @@ def citation_warnings(spark, sf):
     return _citations(spark, sf)[1]
 
 
-def _letter_model():
+def letter_model():
     """A caller's sentence model: counts of the letters a to z."""
 
     class Letters:
@@ -198,7 +198,7 @@ def _letter_model():
     return Letters()
 
 
-_COUNTS = "[" + ", ".join(
+LETTER_COUNTS = "[" + ", ".join(
     f"CAST(length(t) - length(replace(t, '{chr(97 + i)}', '')) AS DOUBLE)" for i in range(26)
 ) + "]"
 
@@ -206,8 +206,8 @@ _COUNTS = "[" + ", ".join(
 @query(
     "m2_v5_retrieval_by_model",
     f"""
-    WITH docs AS (SELECT doc_id, {_COUNTS} AS e FROM (SELECT doc_id, lower(text) AS t FROM documents)),
-    asked AS (SELECT item_id, {_COUNTS} AS e FROM (SELECT item_id, strip_accents(lower(text)) AS t FROM benchmark)),
+    WITH docs AS (SELECT doc_id, {LETTER_COUNTS} AS e FROM (SELECT doc_id, lower(text) AS t FROM documents)),
+    asked AS (SELECT item_id, {LETTER_COUNTS} AS e FROM (SELECT item_id, strip_accents(lower(text)) AS t FROM benchmark)),
     scored AS (
       SELECT item_id AS query_id, doc_id, list_cosine_similarity(asked.e, docs.e) AS score FROM asked, docs WHERE list_sum(docs.e) > 0
     )
@@ -218,7 +218,7 @@ _COUNTS = "[" + ", ".join(
 )
 def retrieval_by_model(spark, sf):
     """Free-text queries, embedded by a caller's model, against the vectors of all documents."""
-    embedder = ModelEmbedder(_letter_model)
+    embedder = ModelEmbedder(letter_model)
     docs = table(spark, sf, "documents").where("text RLIKE '[A-Za-z]'")
     numbered_docs = docs.select(F.col("doc_id").alias("vector_id"), F.col("doc_id").alias("report_id"), "text")
     vectors = embedder.embed(numbered_docs, "text").drop("text")

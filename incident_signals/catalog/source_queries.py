@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
 from incident_signals.catalog.adapter import REPORTS_SQL, TRUTH_SQL, dims_sql, reports, table, with_sql
 from incident_signals.catalog.density_queries import DENSITY_SELECT, flat
+from incident_signals.catalog.extraction_queries import hazards_sql, quoted
 from incident_signals.catalog.quality_queries import rounded
 from incident_signals.catalog.registry import query
+from incident_signals.catalog.similarity_queries import LETTER_COUNTS, letter_model
 from incident_signals.functions.text import normalize_text
 from incident_signals.models import features as ft
 from incident_signals.models.classifiers import RuleClassifier, SifClassifier
@@ -233,11 +239,101 @@ def false_negatives(spark, sf):
     return missed.select("report_id", "sif_probability", F.array_join(F.col("terms.term"), ",").alias("terms"))
 
 
-@query("x10_semantic_hazards")
+class _WordModel:
+    """A caller's sentence model: how often a text holds each word of the hazard descriptions."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+
+    def encode(self, texts):
+        held = [Counter(re.findall(r"\w+", t.lower(), re.ASCII)) for t in texts]
+        return [[float(words[w]) for w in self.words] for words in held]
+
+
+class _CallersEmbedder:
+    def __init__(self, factory):
+        self.factory = factory
+
+
+MEANINGS = fixed.pairs(fixed.HAZARD_MEANINGS)
+MEANING_WORDS = sorted({w for _, m in MEANINGS for w in re.findall(r"[a-z]+", m.lower())})
+_WORD_COUNTS = "[" + ", ".join(f"CAST(len(regexp_extract_all(t, '\\b{w}\\b')) AS DOUBLE)" for w in MEANING_WORDS) + "]"
+
+
+def _semantic_sql(rows: str, key: str, counts: str, threshold: float, known: str) -> str:
+    """First clause of each row that is close to a meaning which ``known`` (key, value) does not hold already."""
+    meanings = ", ".join(f"({i}, {quoted(value)}, {quoted(text)})" for i, (value, text) in enumerate(MEANINGS))
+    limited = " AND ".join(
+        f"(value <> {quoted(value)} OR {' OR '.join(f'contains(low, {quoted(w)})' for w in words)})"
+        for value, words in fixed.table(fixed.MEANING_RESTRICTIONS)
+    )
+    return f"""parts AS (
+        SELECT {key}, unnest(pieces) AS part, generate_subscripts(pieces, 1) AS place
+        FROM (SELECT {key}, string_split_regex(text, '[.?!;]| but | and | so | while ') AS pieces FROM {rows})
+      ), clauses AS (
+        SELECT {key}, place, clause, lower(clause) AS low
+        FROM (SELECT {key}, place, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS clause FROM parts)
+        WHERE length(clause) > 10 AND NOT (regexp_matches(lower(clause), '\\b(?:no|not|without|failed to)\\b')
+          AND NOT contains(lower(clause), 'depressurize'))
+      ), coded AS (SELECT clause, {counts} AS e FROM (SELECT DISTINCT clause, low AS t FROM clauses)),
+      meant AS (SELECT ord, value, {counts} AS e FROM (SELECT ord, value, lower(text) AS t FROM (VALUES {meanings}) v(ord, value, text))),
+      near AS (
+        SELECT clause, ord, value, round(list_dot_product(c.e, m.e) / nullif(sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(m.e, m.e)), 0), 12) AS score
+        FROM coded c, meant m
+      ), hit AS (
+        SELECT {key}, value, clause, score, row_number() OVER (PARTITION BY {key}, value ORDER BY place) AS nth
+        FROM clauses JOIN near USING (clause) WHERE score >= {threshold} AND {limited}
+      )
+      SELECT {key}, value, clause AS evidence, 'LOW' AS confidence, round(score, 4) AS similarity_score FROM hit
+      WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM {known} k WHERE k.{key} = hit.{key} AND k.value = hit.value)"""
+
+
+def _semantic_rows(found: DataFrame, key: str) -> DataFrame:
+    rows = found.select(key, F.inline("hazards")).where(F.col("match_method") == "semantic")
+    return rows.select(key, "value", "evidence", "confidence", "similarity_score")
+
+
+WORD_THRESHOLD = 0.3
+
+
+@query(
+    "x10_semantic_hazards",
+    with_sql(
+        REPORTS_SQL, f"known AS (SELECT * FROM {hazards_sql()})",
+        "said AS (SELECT report_id, description || ' ' || (SELECT list(text ORDER BY ord) FROM (VALUES "
+        + ", ".join(f"({i}, {quoted(m)})" for i, (_, m) in enumerate(MEANINGS))
+        + f") v(ord, text))[report_id % {len(MEANINGS)} + 1] AS text FROM reports WHERE report_id % 3 = 0"
+        " UNION ALL SELECT report_id, description FROM reports WHERE report_id % 3 <> 0)",
+    ).rstrip()
+    + ", " + _semantic_sql("said", "report_id", _WORD_COUNTS, WORD_THRESHOLD, "known"),
+)
 def semantic(spark, sf):
-    found = add_semantic_hazards(x.extract(reports(spark, sf)), ft.HashingEmbedder())
-    rows = found.select("report_id", F.inline("hazards")).where(F.col("match_method") == "semantic")
-    return rows.select("report_id", "value", "evidence", "similarity_score")
+    """By a model that counts words; every third report also quotes a hazard's description, which is an exact match."""
+    quotes = F.array(*[F.lit(text) for _, text in MEANINGS])
+    quoted_one = F.concat_ws(" ", "description", F.get(quotes, (F.col("report_id") % len(MEANINGS)).cast("int")))
+    found = x.extract(reports(spark, sf)).withColumn(
+        "description", F.when(F.col("report_id") % 3 == 0, quoted_one).otherwise(F.col("description"))
+    )
+    embedder = _CallersEmbedder(functools.partial(_WordModel, MEANING_WORDS))
+    return _semantic_rows(add_semantic_hazards(found, embedder, threshold=WORD_THRESHOLD), "report_id")
+
+
+LETTER_THRESHOLD = 0.88
+
+
+@query(
+    "x10_semantic_hazards_in_conversations",
+    "WITH said AS (SELECT conv_id || '/' || turn AS report_id, text FROM conversations), "
+    "known AS (SELECT NULL AS report_id, NULL AS value WHERE false), "
+    + _semantic_sql("said", "report_id", LETTER_COUNTS, LETTER_THRESHOLD, "known"),
+)
+def semantic_conversations(spark, sf):
+    """All turns of all conversations, by a model that counts letters."""
+    turns = table(spark, sf, "conversations").select(
+        F.concat_ws("/", "conv_id", "turn").alias("report_id"), F.col("text").alias("description")
+    )
+    found = add_semantic_hazards(x.extract(turns), ft.ModelEmbedder(letter_model), threshold=LETTER_THRESHOLD)
+    return _semantic_rows(found, "report_id")
 
 
 @query("x16_enriched_reports")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
@@ -17,6 +22,9 @@ from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
 
+# Models that run inside tasks travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _WORDS = r"(?U)\b\w\w+\b"
 FEATURES = "features"
 
@@ -81,7 +89,22 @@ class TfidfFeatures:
         return cls(model.stages[0].getInputCol(), model)
 
 
-# An embedder has embed(df, text, output): it adds vectors of unit length for a text column.
+# An embedder has embed(df, text, output), which adds vectors of unit length for a text
+# column, and factory, which makes a model with encode(list of str) for use inside tasks.
+
+
+class HashedWords:
+    """A model for use inside tasks: counts of words by hash."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimension))
+        for row, text in zip(out, texts):
+            for word in re.findall(r"\b\w\w+\b", text.lower()):
+                row[zlib.crc32(word.encode()) % self.dimension] += 1
+        return out
 
 
 class HashingEmbedder:
@@ -89,6 +112,7 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = fixed.EMBEDDING_DIMENSION):
         self.dimension = dimension
+        self.factory = functools.partial(HashedWords, dimension)
 
     def embed(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
         words = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=_WORDS, gaps=False, toLowercase=True)
