@@ -3,6 +3,7 @@
 from incident_signals.catalog import (  # noqa: F401
     density_queries,
     extraction_queries,
+    model_queries,
     pattern_queries,
     quality_queries,
     report_queries,

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from incident_signals import fixed_values as fixed
 from incident_signals.catalog.adapter import REPORTS_SQL, TRUTH_SQL, dims_sql, reports, table, with_sql
 from incident_signals.catalog.density_queries import DENSITY_SELECT, flat
-from incident_signals.catalog.extraction_queries import hazards_sql, quoted
-from incident_signals.catalog.quality_queries import rounded
+from incident_signals.catalog.extraction_queries import canonical_sql, hazards_sql, hits_sql, quoted
+from incident_signals.catalog.model_queries import fitted_models, training_reports
 from incident_signals.catalog.registry import query
 from incident_signals.catalog.similarity_queries import LETTER_COUNTS, letter_model
-from incident_signals.functions.text import normalize_text
 from incident_signals.models import features as ft
-from incident_signals.models.classifiers import RuleClassifier, SifClassifier
+from incident_signals.models.classifiers import SifClassifier
 from incident_signals.models.inference import EMPTY_ERROR, enrich, predict_reports
 from incident_signals.models.itemsets import DIMENSIONS, association_rules, frequent_itemsets
 from incident_signals.models.semantic import add_semantic_hazards
@@ -27,7 +26,7 @@ from incident_signals.operators import extraction as x
 from incident_signals.operators import quality as q
 from incident_signals.operators.reports import without_truth
 from incident_signals.plans import analytics, refresh
-from incident_signals.session import cut_lineage, new_path
+from incident_signals.session import new_path
 from incident_signals.sources import reports as source
 from incident_signals.sources.vectors import build_vectors
 
@@ -135,77 +134,41 @@ def split_sizes(spark, sf):
     return out.groupBy("sif_label", "split").agg(F.count(F.lit(1)).alias("reports"))
 
 
-def _training_reports(spark, sf) -> DataFrame:
-    """Labelled documents as reports; the given labels are the classes."""
-    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "report_id")
-    df = table(spark, sf, "documents").withColumnsRenamed({"doc_id": "report_id", "text": "description", "lang": "site"})
-    given = F.array(F.when(F.col("quality") == 1, RULES[0]), F.when(F.col("toxic") == 1, RULES[1]))
-    return df.join(labels, "report_id").select(
-        "report_id", "site", "description", F.col("toxic").alias("sif_label"),
-        F.filter(given, lambda r: r.isNotNull()).alias("labels"), normalize_text(F.col("description")).alias("description_clean"),
-    )
-
-
-RULES = ["quality", "toxic"]
-# models already fitted by this application, per data and feature mode
-_FITTED: dict[tuple[str, str, str], tuple] = {}
-
-
-def _models(spark, sf, features):
-    key = (spark.sparkContext.applicationId, sf, type(features).__name__)
-    if key not in _FITTED:
-        _FITTED[key] = _fit_models(spark, sf, features)
-    return _FITTED[key]
-
-
-def _fit_models(spark, sf, features):
-    data = stratified_split(_training_reports(spark, sf), "sif_label")
-    data = cut_lineage(data)
-    train = data.where(F.col("split") == "train")
-    fitted = features.fit(train)
-    vectors = cut_lineage(fitted.transform(data))
-    train_vectors = vectors.where(F.col("split") == "train")
-    vocabulary = getattr(fitted, "vocabulary", None)
-    sif = SifClassifier().fit(train_vectors, vocabulary=vocabulary)
-    rules = RuleClassifier(RULES).fit(train_vectors, "labels")
-    grid = q.threshold_metrics(sif.predict(vectors.where(F.col("split") == "validation")), "sif_label", "sif_probability")
-    sif.threshold = q.choose_threshold(grid).first()["threshold"]
-    return fitted, sif, rules, vectors
-
-
-@query("m1_m3_test_metrics")
-def risk_model(spark, sf):
-    """TF-IDF features, balanced logistic model, threshold from the validation split, metrics on the test split."""
-    _, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
-    test = sif.predict(vectors.where(F.col("split") == "test"))
-    return rounded(q.binary_metrics(test, "sif_label", "sif_probability", sif.threshold), "f1", "recall", digits=6)
-
-
-@query("m4_strongest_terms")
-def strongest_terms(spark, sf):
-    _, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
-    return sif.explain(vectors.where(F.col("split") == "test"), 3)
-
-
-@query("m5_m6_rule_predictions")
-def rule_predictions(spark, sf):
-    _, _, rules, vectors = _models(spark, sf, ft.TfidfFeatures())
-    predicted = rules.predict(vectors.where(F.col("split") == "test"))
-    names = F.transform("rules", lambda r: r["rule"])
-    return q.multilabel_metrics(predicted.withColumn("names", names), "labels", "names", RULES)
+ACTIVITIES_SQL = with_sql(
+    REPORTS_SQL,
+    f"hits AS (SELECT * FROM {hits_sql(x.ACTIVITY_RULES)})",
+    f"named AS (SELECT sentence, {canonical_sql(fixed.ACTIVITY_NAMES, 'sentence')} AS name FROM (SELECT DISTINCT value AS sentence FROM hits))",
+    "stated AS (SELECT report_id, string_agg(DISTINCT name, ',' ORDER BY name) AS activities FROM hits JOIN named ON value = sentence GROUP BY report_id)",
+)
 
 
-@query("m7_batch_inference")
+@query(
+    "m7_batch_inference",
+    ACTIVITIES_SQL
+    + f"""SELECT report_id, CASE WHEN report_id % 10 <> 0 THEN coalesce(activities, '') END AS activities, report_id % 10 <> 0 AS scored,
+      CASE WHEN report_id % 10 = 0 THEN '{EMPTY_ERROR}' END AS error FROM reports LEFT JOIN stated USING (report_id)""",
+)
 def inference(spark, sf):
-    return _inferred(spark, sf).select("report_id", "sif_label_text", "primary_rule", F.size("hazards").alias("hazards"), "error")
+    """Normalized activities, a class that agrees with the probability and a known rule; or an error."""
+    _, sif, rules, _ = fitted_models(spark, sf, ft.TfidfFeatures())
+    agrees = (F.col("sif_prediction") == (F.col("sif_probability") >= F.round(F.lit(sif.threshold), 4)).cast("int")) & F.col(
+        "primary_rule"
+    ).isin(rules.rules)
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("activities", lambda a: a["value"]))), ",")
+    return _inferred(spark, sf).select(
+        "report_id", names.alias("activities"), F.coalesce(agrees, F.lit(False)).alias("scored"), "error"
+    )
 
 
 def _inferred(spark, sf) -> DataFrame:
     """Predictions of all reports, of which every tenth has no text."""
-    features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
+    features, sif, rules, _ = fitted_models(spark, sf, ft.TfidfFeatures())
     df = reports(spark, sf)
-    some_blank = df.withColumn("description", F.when(F.col("report_id") % 10 == 0, " ").otherwise(F.col("description")))
-    return predict_reports(some_blank, features, sif, rules)
+    return predict_reports(df.withColumn("description", _some_blank()), features, sif, rules)
+
+
+def _some_blank():
+    return F.when(F.col("report_id") % 10 == 0, " ").otherwise(F.col("description"))
 
 
 @query(
@@ -225,20 +188,13 @@ def inference_errors(spark, sf):
 def comparison(spark, sf):
     results = []
     for mode, features in (("tfidf", ft.TfidfFeatures()), ("embedding", ft.EmbeddingFeatures(ft.HashingEmbedder()))):
-        _, sif, _, vectors = _models(spark, sf, features)
+        _, sif, _, vectors = fitted_models(spark, sf, features)
         for split in ("validation", "test"):
             scored = sif.predict(vectors.where(F.col("split") == split))
             results.append((mode, split, q.binary_metrics(scored, "sif_label", "sif_probability", sif.threshold)))
     return q.comparison_table(results, ["f1", "recall", "precision", "accuracy"])
 
 
-@query("q13_false_negatives")
-def false_negatives(spark, sf):
-    _, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
-    missed = sif.false_negatives(vectors, threshold=0.999)
-    return missed.select("report_id", "sif_probability", F.array_join(F.col("terms.term"), ",").alias("terms"))
-
-
 class _WordModel:
     """A caller's sentence model: how often a text holds each word of the hazard descriptions."""
 
@@ -336,20 +292,37 @@ def semantic_conversations(spark, sf):
     return _semantic_rows(found, "report_id")
 
 
-@query("x16_enriched_reports")
+@query(
+    "x16_enriched_reports",
+    ACTIVITIES_SQL + """SELECT report_id, site, coalesce(activities, '') AS activities, 7 AS lists, true AS scored
+      FROM reports LEFT JOIN stated USING (report_id)""",
+)
 def enriched(spark, sf):
-    features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
-    done = enrich(reports(spark, sf), features, sif, rules)
-    return done.select("report_id", "sif_prediction", "primary_lsr_predicted",
-                       *[F.size(c).alias(c) for c in fixed.LIST_COLUMNS])
+    features, sif, rules, _ = fitted_models(spark, sf, ft.TfidfFeatures())
+    done = enrich(reports(spark, sf).drop("sif_prediction", "sif_probability"), features, sif, rules)
+    lists = sum((F.col(c).isNotNull().cast("int") for c in fixed.LIST_COLUMNS), F.lit(0))
+    scored = F.col("sif_prediction").isin(0, 1) & (F.get("predicted_lsr", F.lit(0)) == F.col("primary_lsr_predicted"))
+    return done.select(
+        "report_id", "site", F.array_join(F.array_sort("predicted_activity"), ",").alias("activities"), lists.alias("lists"),
+        scored.alias("scored"),
+    )
 
 
-@query("s10_s12_refresh_summary")
+@query(
+    "s10_s12_refresh_summary",
+    with_sql(REPORTS_SQL)
+    + f"""SELECT n AS records_received, n - blank AS records_indexed, blank AS records_skipped, n - blank AS records_processed,
+      {fixed.EMBEDDING_DIMENSION} AS dimension, 'first' AS dataset_version, true AS density_agrees
+      FROM (SELECT count(*) AS n, count(*) FILTER (WHERE report_id % 10 = 0) AS blank FROM reports)""",
+)
 def refreshed(spark, sf):
-    features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
-    df = reports(spark, sf).select("report_id", "date", "site", "location", "report_type", "description")
+    """Every tenth report has no text."""
+    features, sif, rules, _ = fitted_models(spark, sf, ft.TfidfFeatures())
+    df = reports(spark, sf).select("report_id", "date", "site", "location", "report_type", _some_blank().alias("description"))
     root = new_path(spark, "refresh")
-    return refresh.refresh(df, root, features, sif, rules, ft.HashingEmbedder(), version="first")
+    row = refresh.refresh(df, root, features, sif, rules, ft.HashingEmbedder(), version="first")
+    density = F.round(F.col("sif_reports") / F.col("records_processed"), 4)
+    return row.withColumn("density_agrees", density == F.col("sif_density")).drop("sif_reports", "sif_density")
 
 
 @query(
@@ -361,7 +334,7 @@ def refreshed(spark, sf):
 )
 def versions(spark, sf):
     """A refresh, a refresh that fails for want of text, and the first version restored: manifest and current tables."""
-    features, sif, rules, _ = _models(spark, sf, ft.TfidfFeatures())
+    features, sif, rules, _ = fitted_models(spark, sf, ft.TfidfFeatures())
     df = reports(spark, sf).select("report_id", "date", "site", "location", "report_type", "description")
     root, embedder = new_path(spark, "versions"), ft.HashingEmbedder()
     refresh.refresh(df, root, features, sif, rules, embedder, version="first")
@@ -438,11 +411,11 @@ def rules_of_items(spark, sf):
 @query("m9_saved_models", "SELECT CAST(0 AS BIGINT) AS different, count(*) AS reports FROM documents JOIN labels USING (doc_id)")
 def saved_models(spark, sf):
     """Saved and loaded again, features and model give every labelled document the same probability."""
-    features, sif, _, vectors = _models(spark, sf, ft.TfidfFeatures())
+    features, sif, _, vectors = fitted_models(spark, sf, ft.TfidfFeatures())
     path = new_path(spark, "models")
     features.save(f"{path}/features")
     sif.save(f"{path}/sif", spark)
-    data = _training_reports(spark, sf)
+    data = training_reports(spark, sf)
     loaded = SifClassifier.load(f"{path}/sif", spark).predict(ft.TfidfFeatures.load(f"{path}/features").transform(data))
     pairs = loaded.select("report_id", F.col("sif_probability").alias("again")).join(sif.predict(features.transform(data)), "report_id")
     return pairs.agg(
