@@ -1,27 +1,36 @@
 """Rule-based extraction of activities, hazards, barrier failures and more from report text.
 
-Rules are a bounded list known when the plan is built.  They become SQL
-expressions with constant patterns, so a report is read once, no rule is joined
-to it, no row is multiplied and every pattern is compiled once per task.  A
-cheap substring test on the longest literal piece of a pattern keeps regular
-expressions away from texts that cannot match.
+Rules are a bounded list known when the plan is built.  One automaton over all
+their literals, built once per task, passes over each text once and gives the
+places of hazard phrases and the literals that are there.  The rest are SQL
+expressions over that short list: a pattern is tried only on texts that hold its
+longest literal piece, and words before a hazard phrase are looked at only where
+it was hit.  No rule is joined to a report and no row is multiplied.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
 from incident_signals.functions.text import WORD_END, WORD_START, title_case_sql
 
+# The search for literals runs inside tasks; it travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 ENTITY_COLUMNS = ["activities", "equipment", "hazards", "barrier_failures", "unsafe_actions", "unsafe_conditions",
                   "potential_consequences"]
-_TEXT, _LOWER = "_text", "_lower"
+_TEXT, _LOWER, _LITERALS = "_text", "_lower", "_literals"
 _NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
 
@@ -85,16 +94,60 @@ def _lit(text: str) -> str:
     return f'r"{text}"'
 
 
-def _guarded(needle: str, value: str) -> str:
-    return f"if(contains({_LOWER}, {_lit(needle)}), {value}, NULL)" if needle else value
+def literals(lower: Column, phrases: list[str], needles: list[str]) -> Column:
+    """What one pass finds: ``hits`` (phrase by its place in the list, first character from 0) and ``present`` needles."""
+    wanted: dict[str, tuple[list[int], list[int]]] = {}
+    for kind, texts in enumerate((phrases, needles)):
+        for place, text in enumerate(texts):
+            wanted.setdefault(text, ([], []))[kind].append(place)
+
+    @F.arrow_udf("struct<hits:array<struct<rule:int,at:int>>,present:array<int>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, (own, needed) in wanted.items():
+            automaton.add_word(text, (len(text), own, needed))
+        if wanted:
+            automaton.make_automaton()
+        for texts in batches:
+            rules, places, hits, present, held = [], [], [0], [], [0]
+            for text in texts.to_pylist():
+                seen = set()
+                for end, (size, own, needed) in automaton.iter(text or "") if wanted else ():
+                    for rule in own:
+                        rules.append(rule)
+                        places.append(end - size + 1)
+                    seen.update(needed)
+                present.extend(seen)
+                hits.append(len(rules))
+                held.append(len(present))
+            hit = pa.StructArray.from_arrays([pa.array(rules, pa.int32()), pa.array(places, pa.int32())], ["rule", "at"])
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.ListArray.from_arrays(pa.array(hits, pa.int32()), hit),
+                    pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(present, pa.int32())),
+                ],
+                ["hits", "present"],
+            )
+
+    return find(lower)
+
+
+def _needles(rules: list[Rule]) -> list[str]:
+    return list(dict.fromkeys(rule.needle for rule in rules if rule.needle))
+
+
+def _guarded(needle: str, needles: list[str], value: str) -> str:
+    return f"if(array_contains({_LITERALS}.present, {needles.index(needle)}), {value}, NULL)" if needle else value
 
 
 def _contains_any(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {_lit(word)})" for word in words) + ")"
 
 
-def _first_match(rule: Rule) -> str:
-    return _guarded(rule.needle, f"nullif(regexp_extract({_TEXT}, {_lit(rule.regex)}, 0), '')")
+def _first_match(rule: Rule, needles: list[str]) -> str:
+    return _guarded(rule.needle, needles, f"nullif(regexp_extract({_TEXT}, {_lit(rule.regex)}, 0), '')")
 
 
 def _candidates(matches: list[tuple[str, str, str]]) -> Column:
@@ -120,13 +173,15 @@ def _items(candidates: str) -> Column:
     )
 
 
-def _matched(rules: list[Rule]) -> Column:
-    return _candidates([(rule.value, rule.confidence, _first_match(rule)) for rule in rules])
+def _matched(rules: list[Rule], needles: list[str]) -> Column:
+    return _candidates([(rule.value, rule.confidence, _first_match(rule, needles)) for rule in rules])
 
 
-def _prepared(df: DataFrame, text: str) -> DataFrame:
+def _prepared(df: DataFrame, text: str, phrases: list[str], needles: list[str]) -> DataFrame:
     plain = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({_TEXT: plain, _LOWER: F.lower(plain)})
+    # the one letter whose lower case is longer, so that places in both agree
+    lower = F.lower(F.replace(plain, F.lit("\u0130"), F.lit("I")))
+    return df.withColumns({_TEXT: plain, _LOWER: lower}).withColumn(_LITERALS, literals(F.col(_LOWER), phrases, needles))
 
 
 def _settled(df: DataFrame, names: list[str]) -> DataFrame:
@@ -141,8 +196,9 @@ def _settled(df: DataFrame, names: list[str]) -> DataFrame:
 
 def match_rules(df: DataFrame, text: str, rules: list[Rule], output: str) -> DataFrame:
     """Adds an array of extraction items: per value the best evidence, in rule order."""
-    staged = _prepared(df, text).withColumn("_found", _matched(rules))
-    named = staged.withColumn(output, _items("_found")).drop(_TEXT, _LOWER, "_found")
+    needles = _needles(rules)
+    staged = _prepared(df, text, [], needles).withColumn("_found", _matched(rules, needles))
+    named = staged.withColumn(output, _items("_found")).drop(_TEXT, _LOWER, _LITERALS, "_found")
     return _settled(named, [output])
 
 
@@ -150,50 +206,58 @@ def match_rules(df: DataFrame, text: str, rules: list[Rule], output: str) -> Dat
 
 _NEGATED = rf"\b(?:{'|'.join(fixed.NEGATORS)})\b\s*(?:[^\s.,;]+)?\s*$"
 _NOT_OR_FAILED = r"\b(?:not|failed to)\b"
+_WORD = r"[\\p{L}\\p{N}_]"
+
 
+HAZARDS = [(category, phrase) for category, phrases in fixed.table(fixed.HAZARD_PHRASES) for phrase in phrases]
 
-def negated(before: str, category: str, phrase: str) -> str:
-    """Whether the text before a hit denies it; ``before`` is the lower-case long window."""
-    near = f"btrim(right({before}, {fixed.NEGATION_WINDOW}))"
-    result = f"rlike({near}, {_lit(_NEGATED)})"
-    if category in fixed.ENERGY_CATEGORIES:
-        result += f" OR {_contains_any(near, fixed.ENERGY_CLEAR)}"
-    if "depressurized" in phrase:
-        result = f"({result}) AND NOT rlike({near}, {_lit(_NOT_OR_FAILED)})"
-    if category == "Line-of-fire exposure":
-        result += f" OR {_contains_any(before, fixed.LINE_OF_FIRE_CLEAR)} OR contains({near}, 'nobody')"
-    return f"({result})"
 
+def _of_rule(values: list) -> str:
+    """The value of a hit's phrase."""
+    return f"array({', '.join(str(v).lower() if isinstance(v, bool) else str(v) for v in values)})[h.rule]"
 
-def _window(size: int) -> str:
-    """Captures up to ``size`` characters before the current position."""
-    return rf"(?<=(^.{{0,{size - 1}}}|.{{{size}}}))"
+
+def _clear_hits() -> Column:
+    """Hits of hazard phrases that are whole words, not denied and not in an excluded context."""
+    size, context, near_size = fixed.LONG_NEGATION_WINDOW, fixed.FIRE_CONTEXT, fixed.NEGATION_WINDOW
+    length = _of_rule([len(p) for _, p in HAZARDS])
+    far = f"substr({_LOWER}, greatest(h.at - {size}, 0) + 1, least(h.at, {size}))"
+    after = f"substr({_LOWER}, h.at + {length} + 1, {context})"
+    whole = f"NOT rlike(right(h.far, 1), '{_WORD}') AND NOT rlike(left(h.after, 1), '{_WORD}')"
+    energy = _of_rule([c in fixed.ENERGY_CATEGORIES for c, _ in HAZARDS])
+    denied = f"rlike(h.near, {_lit(_NEGATED)}) OR ({energy} AND {_contains_any('h.near', fixed.ENERGY_CLEAR)})"
+    twice = _of_rule(["depressurized" in p for _, p in HAZARDS])
+    denied = f"({denied}) AND NOT ({twice} AND rlike(h.near, {_lit(_NOT_OR_FAILED)}))"
+    fire_line = _of_rule([c == "Line-of-fire exposure" for c, _ in HAZARDS])
+    aside = f"{_contains_any('h.far', fixed.LINE_OF_FIRE_CLEAR)} OR contains(h.near, 'nobody')"
+    fire = _of_rule([c == "Fire/explosion" and "fire" in p for c, p in HAZARDS])
+    around = f"concat(right(h.far, {near_size}), substr({_LOWER}, h.at + 1, {length}), h.after)"
+    guards = dict(fixed.table(fixed.HAZARD_GUARDS))
+    guarded = _of_rule([list(guards).index(c) if c in guards else -1 for c, _ in HAZARDS])
+    needed = " ".join(f"WHEN {i} THEN {_contains_any(_LOWER, words)}" for i, words in enumerate(guards.values()))
+    windows = f"transform({_LITERALS}.hits, h -> named_struct('rule', h.rule, 'at', h.at, 'far', {far}, 'after', {after}))"
+    with_near = f"transform({windows}, h -> named_struct('rule', h.rule, 'at', h.at, 'far', h.far, 'after', h.after, 'near', btrim(right(h.far, {near_size}))))"
+    return F.expr(
+        f"""transform(filter({with_near}, h -> {whole} AND NOT ({denied}) AND NOT ({fire_line} AND ({aside}))
+              AND NOT ({fire} AND {_contains_any(around, fixed.FIRE_EXCLUDED_CONTEXTS)})
+              AND CASE {guarded} {needed} ELSE true END), h -> named_struct('rule', h.rule, 'at', h.at))"""
+    )
 
 
-def _hazard_evidence(category: str, phrase: str) -> str:
-    """First hit of a phrase that is neither denied nor in an excluded context."""
-    size = fixed.LONG_NEGATION_WINDOW if category == "Line-of-fire exposure" else fixed.NEGATION_WINDOW
-    regex = rf"{whole_word(phrase)}(?<={_window(size)}.{{{len(phrase)}}})(?=(.{{0,{fixed.FIRE_CONTEXT}}}))"
-    hits = f"regexp_extract_all({_TEXT}, {_lit('(?sid)' + regex)}, 0)"
-    before, after = [f"regexp_extract_all({_LOWER}, {_lit('(?sd)' + regex)}, {group})" for group in (1, 2)]
-    checked = f"zip_with({hits}, {before}, (hit, w) -> if({negated('w', category, phrase)}, NULL, hit))"
-    if category == "Fire/explosion" and "fire" in phrase:
-        around = f"zip_with({before}, {after}, (l, r) -> concat(l, {_lit(phrase)}, r))"
-        excluded = _contains_any("c", fixed.FIRE_EXCLUDED_CONTEXTS)
-        checked = f"zip_with({checked}, {around}, (hit, c) -> if({excluded}, NULL, hit))"
-    return _guarded(phrase, f"get(filter({checked}, hit -> hit IS NOT NULL), 0)")
+def _hazard_candidates(hits: str) -> Column:
+    """Per category the first evidence of high and of medium confidence: by phrase, then by place."""
+    length = f"array({', '.join(str(len(p)) for _, p in HAZARDS)})[m.rule]"
 
+    def best(category: str, high: bool) -> str:
+        own = [i for i, (c, p) in enumerate(HAZARDS) if c == category and (len(p) > 6) == high]
+        if not own:
+            return "CAST(NULL AS STRING)"
+        first = f"array(array_min(filter({hits}, h -> h.rule IN ({', '.join(map(str, own))}))))"
+        return f"get(transform({first}, m -> substr({_TEXT}, m.at + 1, {length})), 0)"
 
-def _hazard_candidates() -> Column:
-    guards = dict(fixed.table(fixed.HAZARD_GUARDS))
-    matches = []
-    for category, phrases in fixed.table(fixed.HAZARD_PHRASES):
-        for phrase in phrases:
-            evidence = _hazard_evidence(category, phrase)
-            if category in guards:
-                evidence = f"if({_contains_any(_LOWER, guards[category])}, {evidence}, NULL)"
-            matches.append((category, HIGH if len(phrase) > 6 else MEDIUM, evidence))
-    return _candidates(matches)
+    categories = dict.fromkeys(c for c, _ in HAZARDS)
+    parts = [f"named_struct('value', {_lit(c)}, 'high', {best(c, True)}, 'medium', {best(c, False)})" for c in categories]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 # --- equipment ----------------------------------------------------------------------------
@@ -271,18 +335,23 @@ def extract(df: DataFrame, text: str = "description", only: list[str] | None = N
 
     With ``only``, those of them that are named, and the work for the others is left out.
     """
-    working = {
-        "_activities": _matched(ACTIVITY_RULES),
-        "_hazards": _hazard_candidates(),
-        "_barriers": _matched(BARRIER_RULES),
-        "_actions": _matched(ACTION_RULES),
-        "_conditions": _matched(CONDITION_RULES),
-        "_consequences": _matched(CONSEQUENCE_RULES),
-        "_mentions": _equipment_mentions(),
+    needed = {
+        "_activities": (ACTIVITY_RULES, ["activities"]),
+        "_barriers": (BARRIER_RULES, ["barrier_failures", "precursor_tags"]),
+        "_actions": (ACTION_RULES, ["unsafe_actions"]),
+        "_conditions": (CONDITION_RULES, ["unsafe_conditions", "precursor_tags"]),
+        "_consequences": (CONSEQUENCE_RULES, ["potential_consequences"]),
     }
+    sought = [rules for rules, users in needed.values() if only is None or set(users) & set(only)]
+    needles = _needles([rule for rules in sought for rule in rules])
+    every_needle = needles + [n for rules, _ in needed.values() for n in _needles(rules) if n not in needles]
+    working = {name: _matched(rules, every_needle) for name, (rules, _) in needed.items()}
+    working["_mentions"] = _equipment_mentions()
+    with_hazards = only is None or {"hazards", "potential_consequences", "precursor_tags"} & set(only)
     named = (
-        _prepared(df, text)
-        .withColumns(working)
+        _prepared(df, text, [phrase for _, phrase in HAZARDS] if with_hazards else [], needles)
+        .withColumn("_hits", _clear_hits())
+        .withColumns({**working, "_hazards": _hazard_candidates("_hits")})
         .withColumns(
             {
                 "activities": _items("_activities"),
@@ -296,7 +365,7 @@ def extract(df: DataFrame, text: str = "description", only: list[str] | None = N
         )
         .withColumn("equipment", _equipment_items("equipment"))
     )
-    done = with_derived(named.drop(_TEXT, _LOWER, *working))
+    done = with_derived(named.drop(_TEXT, _LOWER, _LITERALS, "_hits", "_hazards", *working))
     every = [*ENTITY_COLUMNS, "precursor_tags"]
     wanted = [c for c in every if only is None or c in only]
     return _settled(done.drop(*[c for c in every if c not in wanted]), wanted)
