@@ -120,6 +120,12 @@ def hazards(spark, sf):
     return x.long_entities(found, ["hazards"]).drop("category", "match_method")
 
 
+def title_sql(text: str) -> str:
+    """Upper case after every character that is no letter, lower case elsewhere."""
+    pieces = rf"regexp_extract_all({text}, '\p{{L}}*[^\p{{L}}]|\p{{L}}+')"
+    return f"array_to_string(list_transform({pieces}, lambda p: upper(p[1]) || lower(p[2:])), '')"
+
+
 def equipment_sql() -> str:
     names = "|".join(fixed.TAGGED_EQUIPMENT)
     patterns = [rf"(?i)\b(?:{names})\s+[A-Z0-9-]+\b", rf"(?i)\b[A-Z0-9-]+\s+(?:{names})\b"]
@@ -135,15 +141,13 @@ def equipment_sql() -> str:
     return f"""mentions AS (SELECT DISTINCT report_id, lower(mention) AS low FROM ({mentions})),
       maximal AS (SELECT * FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM mentions o WHERE o.report_id = m.report_id
         AND length(o.low) > length(m.low) AND contains(o.low, m.low))),
-      typed AS (SELECT report_id, low, CASE {kinds} ELSE 'other' END AS type FROM maximal)"""
+      typed AS (SELECT report_id, {title_sql('low')} AS value, CASE {kinds} ELSE {title_sql('low')} END AS type FROM maximal)"""
 
 
 @query("x7_equipment", with_sql(REPORTS_SQL, equipment_sql()) + "SELECT * FROM typed")
 def equipment(spark, sf):
-    found = x.extract(reports(spark, sf), only=["equipment"]).select("report_id", F.inline("equipment"))
-    known = [kind for kind, _ in fixed.table(fixed.EQUIPMENT_TYPES)]
-    kind = F.when(F.col("type").isin(known), F.col("type")).otherwise("other")
-    return found.select("report_id", F.lower("value").alias("low"), kind.alias("type"))
+    found = x.extract(reports(spark, sf), only=["equipment"])
+    return found.select("report_id", F.inline("equipment")).select("report_id", "value", "type")
 
 
 def _values(block: str) -> str:
@@ -172,14 +176,18 @@ def consequences(spark, sf):
     return found.select("report_id", "value", "confidence", "match_method")
 
 
+def _tags_cte() -> str:
+    return f"""tags AS (SELECT report_id, tag FROM hazard_hits JOIN {_values(fixed.HAZARD_TAGS)} v(part, tag) ON contains(lower(value), part)
+      UNION SELECT report_id, tag FROM barrier_hits JOIN {_values(fixed.BARRIER_TAGS)} v(part, tag) ON lower(value) = part
+      UNION SELECT report_id, tag FROM condition_hits JOIN {_values(fixed.CONDITION_TAGS)} v(part, tag) ON contains(lower(value), part))"""
+
+
 TAGS_SQL = with_sql(
     REPORTS_SQL,
     f"hazard_hits AS (SELECT * FROM {hazards_sql()})",
     f"barrier_hits AS (SELECT * FROM {hits_sql(x.BARRIER_RULES)})",
     f"condition_hits AS (SELECT * FROM {hits_sql(x.CONDITION_RULES)})",
-    f"""tags AS (SELECT report_id, tag FROM hazard_hits JOIN {_values(fixed.HAZARD_TAGS)} v(part, tag) ON contains(lower(value), part)
-      UNION SELECT report_id, tag FROM barrier_hits JOIN {_values(fixed.BARRIER_TAGS)} v(part, tag) ON lower(value) = part
-      UNION SELECT report_id, tag FROM condition_hits JOIN {_values(fixed.CONDITION_TAGS)} v(part, tag) ON contains(lower(value), part))""",
+    _tags_cte(),
 )
 
 
@@ -195,19 +203,29 @@ def tags(spark, sf):
 @query(
     "x15_entities_per_report",
     CONSEQUENCES_SQL.rstrip()
-    + f""", activity_hits AS (SELECT * FROM {hits_sql(x.ACTIVITY_RULES)}),
-      barrier_hits AS (SELECT * FROM {hits_sql(x.BARRIER_RULES)}),
-      every AS (SELECT report_id, 'a' AS c FROM activity_hits UNION ALL SELECT report_id, 'h' FROM hazard_hits
-        UNION ALL SELECT report_id, 'b' FROM barrier_hits
-        UNION ALL SELECT report_id, 'p' FROM (SELECT report_id, value FROM stated UNION SELECT report_id, value FROM inferred))
-      SELECT reports.report_id, count(c) FILTER (WHERE c = 'a') AS activities, count(c) FILTER (WHERE c = 'h') AS hazards,
-        count(c) FILTER (WHERE c = 'b') AS barrier_failures, count(c) FILTER (WHERE c = 'p') AS potential_consequences
-      FROM reports LEFT JOIN every ON every.report_id = reports.report_id GROUP BY reports.report_id""",
+    + f""", activity_hits AS (SELECT * FROM {hits_sql(x.ACTIVITY_RULES)}), action_hits AS (SELECT * FROM {hits_sql(x.ACTION_RULES)}),
+      barrier_hits AS (SELECT * FROM {hits_sql(x.BARRIER_RULES)}), condition_hits AS (SELECT * FROM {hits_sql(x.CONDITION_RULES)}),
+      {equipment_sql()}, {_tags_cte()},
+      every AS (SELECT report_id, 'activities' AS kind, value FROM activity_hits
+        UNION ALL SELECT report_id, 'hazards', value FROM hazard_hits
+        UNION ALL SELECT report_id, 'barrier_failures', value FROM barrier_hits
+        UNION ALL SELECT report_id, 'unsafe_actions', value FROM action_hits
+        UNION ALL SELECT report_id, 'unsafe_conditions', value FROM condition_hits
+        UNION ALL SELECT report_id, 'equipment', value FROM typed
+        UNION ALL SELECT report_id, 'potential_consequences', value
+          FROM (SELECT report_id, value FROM stated UNION SELECT report_id, value FROM inferred)
+        UNION ALL SELECT report_id, 'precursor_tags', tag FROM tags)
+      SELECT reports.report_id, """
+    + ", ".join(
+        f"coalesce(string_agg(value, ';' ORDER BY value) FILTER (WHERE kind = '{c}'), '') AS {c}" for c in [*x.ENTITY_COLUMNS, "precursor_tags"]
+    )
+    + " FROM reports LEFT JOIN every ON every.report_id = reports.report_id GROUP BY reports.report_id",
 )
-def entity_counts(spark, sf):
-    found = x.extract(reports(spark, sf), only=["activities", "hazards", "barrier_failures", "potential_consequences"])
-    names = ["activities", "hazards", "barrier_failures", "potential_consequences"]
-    return found.select("report_id", *[F.size(c).cast("bigint").alias(c) for c in names])
+def entities(spark, sf):
+    """All seven entity arrays and the tags: their values in order of name."""
+    found = x.extract(reports(spark, sf))
+    values = [F.array_join(F.array_sort(F.col(f"{c}.value")), ";").alias(c) for c in x.ENTITY_COLUMNS]
+    return found.select("report_id", *values, F.array_join(F.array_sort("precursor_tags"), ";").alias("precursor_tags"))
 
 
 # --- normalization ------------------------------------------------------------------------
@@ -237,10 +255,6 @@ def canonical_sql(block: str, fallback: str) -> str:
         CASE WHEN lower(sentence) = part THEN 0 ELSE -length(part) END, ordinal LIMIT 1), {fallback})"""
 
 
-def _or_other(name: str, known: list[str]):
-    return F.when(F.col(name).isin(known), F.col(name)).otherwise("other").alias(name)
-
-
 NORMALIZERS = {
     "activity": (fixed.ACTIVITY_NAMES, n.activity),
     "barrier_failure": (fixed.BARRIER_NAMES, n.barrier_failure),
@@ -249,22 +263,18 @@ NORMALIZERS = {
 }
 
 
-
-
 @query(
     "x11_normalized_sentences",
     with_sql(REPORTS_SQL, SENTENCES_SQL)
     + "SELECT report_id, sentence, "
     + ", ".join(f"{name}" for name in NORMALIZERS)
     + " FROM sentences JOIN (SELECT sentence, "
-    + ", ".join(f"{canonical_sql(block, quoted('other'))} AS {name}" for name, (block, _) in NORMALIZERS.items())
+    + ", ".join(f"{canonical_sql(block, title_sql('sentence'))} AS {name}" for name, (block, _) in NORMALIZERS.items())
     + " FROM phrases) USING (sentence)",
 )
 def normalized_sentences(spark, sf):
     names = {name: n.normalized("sentence", function) for name, (_, function) in NORMALIZERS.items()}
-    known = {name: [canonical for canonical, _ in fixed.table(block)] for name, (block, _) in NORMALIZERS.items()}
-    out = sentences(spark, sf).withColumns(names)
-    return out.withColumns({name: _or_other(name, known[name]) for name in NORMALIZERS})
+    return sentences(spark, sf).withColumns(names)
 
 
 @query(
@@ -272,17 +282,15 @@ def normalized_sentences(spark, sf):
     with_sql(REPORTS_SQL, SENTENCES_SQL)
     + f"""SELECT report_id, hazard, tag FROM sentences JOIN (SELECT sentence,
       CASE WHEN lower(sentence) IN ({', '.join(quoted(t) for t in fixed.CONSEQUENCES_AMONG_HAZARDS)})
-        THEN '{fixed.IGNORE_TOKEN}' ELSE {canonical_sql(fixed.HAZARD_NAMES, quoted('other'))} END AS hazard,
-      replace(lower({canonical_sql(fixed.TAG_NAMES, quoted('other'))}), ' ', '-') AS tag
+        THEN '{fixed.IGNORE_TOKEN}' ELSE {canonical_sql(fixed.HAZARD_NAMES, title_sql('sentence'))} END AS hazard,
+      replace(lower({canonical_sql(fixed.TAG_NAMES, title_sql('sentence'))}), ' ', '-') AS tag
       FROM phrases) USING (sentence)""",
 )
 def normalized_hazards(spark, sf):
-    hazards_known = [name for name, _ in fixed.table(fixed.HAZARD_NAMES)] + [fixed.IGNORE_TOKEN]
-    tags_known = [name for name, _ in fixed.table(fixed.TAG_NAMES)]
     named = sentences(spark, sf).withColumns(
         {"hazard": n.normalized("sentence", n.hazard), "tag": n.normalized("sentence", n.precursor_tag)}
     )
-    return named.select("report_id", _or_other("hazard", hazards_known), _or_other("tag", tags_known))
+    return named.select("report_id", "hazard", "tag")
 
 
 @query(

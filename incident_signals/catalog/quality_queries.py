@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
@@ -121,14 +124,34 @@ def samples(spark, sf):
     return q.error_samples(_outcomes(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+GATED = {"activity": "predicted_activity", "equipment_type": "predicted_equipment", "hazard": "predicted_hazards",
+         "barrier_failure": "predicted_barrier_failures"}
+_GATES = ", ".join(f"('{name}', '{GATED[name]}', {gate})" for name, gate in fixed.READINESS_F1.items())
+
+
 @query(
     "q5_readiness",
-    OUTCOMES_SQL
-    + f"SELECT {_share_sql('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')} >= 0.60 AS ready FROM counts",
+    with_sql(
+        dims_sql(*GATED.values()),
+        "firsts AS (SELECT report_id, dim, min(value) AS value FROM dims GROUP BY ALL)",
+        """counts AS (SELECT dim, count(*) FILTER (WHERE f.value IS NOT NULL) AS tp, count(*) FILTER (WHERE f.value IS NULL) AS fp
+          FROM dims LEFT JOIN firsts f USING (report_id, dim, value) GROUP BY dim)""",
+        f"""gates AS (SELECT name AS dimension, gate, coalesce(2.0 * tp / nullif(2 * tp + fp, 0), 0) AS f1
+          FROM (VALUES {_GATES}) g(name, dim, gate) LEFT JOIN counts USING (dim))""",
+    )
+    + """SELECT dimension, round(f1, 9) AS f1, f1 >= gate AS passed, (SELECT bool_and(f1 >= gate) FROM gates) AS ready FROM gates""",
 )
 def ready(spark, sf):
-    micro = q.micro_metrics(_outcomes(spark, sf)).select(F.lit("hazard").alias("dimension"), "f1")
-    return q.readiness(micro, {"hazard": fixed.READINESS_F1["hazard"]})
+    """All four gates: a report's first value of each dimension against all of its values."""
+    df = reports(spark, sf, *GATED.values())
+    parts = []
+    for name, column in GATED.items():
+        held = df.where(F.size(column) > 0).withColumn("truth", F.array(F.array_min(column)))
+        parts.append(q.micro_metrics(q.label_outcomes(held, "truth", column)).select(F.lit(name).alias("dimension"), "f1"))
+    metrics = functools.reduce(DataFrame.unionByName, parts)
+    gate = F.create_map(*[F.lit(part) for item in fixed.READINESS_F1.items() for part in item])[F.col("dimension")]
+    ready = q.readiness(metrics).scalar()
+    return metrics.select("dimension", F.round("f1", 9).alias("f1"), (F.col("f1") >= gate).alias("passed"), ready.alias("ready"))
 
 
 LABELS_SQL = "scored AS (SELECT quality AS label, ((doc_id * 37) % 101) / 101.0 * 0.5 + quality * 0.25 AS score FROM labels)"

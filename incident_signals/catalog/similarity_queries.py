@@ -206,10 +206,10 @@ LETTER_COUNTS = "[" + ", ".join(
 @query(
     "m2_v5_retrieval_by_model",
     f"""
-    WITH docs AS (SELECT doc_id, {LETTER_COUNTS} AS e FROM (SELECT doc_id, lower(text) AS t FROM documents)),
+    WITH docs AS (SELECT doc_id, {LETTER_COUNTS} AS e FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
     asked AS (SELECT item_id, {LETTER_COUNTS} AS e FROM (SELECT item_id, strip_accents(lower(text)) AS t FROM benchmark)),
     scored AS (
-      SELECT item_id AS query_id, doc_id, list_cosine_similarity(asked.e, docs.e) AS score FROM asked, docs WHERE list_sum(docs.e) > 0
+      SELECT item_id AS query_id, doc_id, CASE WHEN list_sum(docs.e) > 0 THEN list_cosine_similarity(asked.e, docs.e) ELSE 0 END AS score FROM asked, docs
     )
     SELECT query_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored
@@ -217,9 +217,9 @@ LETTER_COUNTS = "[" + ", ".join(
     """,
 )
 def retrieval_by_model(spark, sf):
-    """Free-text queries, embedded by a caller's model, against the vectors of all documents."""
-    embedder = ModelEmbedder(letter_model)
-    docs = table(spark, sf, "documents").where("text RLIKE '[A-Za-z]'")
+    """Free-text queries, embedded by a caller's model, against the vectors of all documents; blank ones are zeros."""
+    embedder = ModelEmbedder(letter_model, blank_as_zero=True)
+    docs = table(spark, sf, "documents")
     numbered_docs = docs.select(F.col("doc_id").alias("vector_id"), F.col("doc_id").alias("report_id"), "text")
     vectors = embedder.embed(numbered_docs, "text").drop("text")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -126,26 +126,32 @@ class ModelEmbedder:
     """Sentence vectors of a caller's model, in Arrow batches.
 
     ``factory`` is called once per task and returns an object with
-    ``encode(list of str)``; vectors are brought to unit length.
+    ``encode(list of str)``; vectors are brought to unit length.  Blank texts are
+    an error, or with ``blank_as_zero`` have a vector of zeros.
     """
 
-    def __init__(self, factory: Callable, batch_size: int = fixed.EMBEDDING_BATCH):
+    def __init__(self, factory: Callable, batch_size: int = fixed.EMBEDDING_BATCH, blank_as_zero: bool = False):
         self.factory = factory
         self.batch_size = batch_size
+        self.blank_as_zero = blank_as_zero
 
     def embed(self, df: DataFrame, text: str, output: str = "embedding") -> DataFrame:
-        factory, size = self.factory, self.batch_size
+        factory, size, zero = self.factory, self.batch_size, self.blank_as_zero
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = factory()
             for texts in batches:
-                if texts.isna().any() or (texts.str.strip() == "").any():
+                blank = texts.isna() | (texts.str.strip() == "")
+                if zero:
+                    texts = texts.where(~blank, "-")
+                elif blank.any():
                     raise ValueError("Cannot embed empty or whitespace-only text.")
                 rows: list = []
                 for start in range(0, len(texts), size):
                     vectors = np.asarray(model.encode(texts.iloc[start : start + size].tolist()), dtype="float32")
                     length = np.linalg.norm(vectors, axis=1, keepdims=True)
+                    vectors[blank.to_numpy()[start : start + size]] = 0
                     rows.extend((vectors / np.where(length > 0, length, 1)).tolist())
                 yield pd.Series(rows)
 
