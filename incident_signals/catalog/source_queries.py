@@ -46,13 +46,17 @@ def _plain(spark, sf) -> DataFrame:
 @query(
     "s1_report_csv",
     with_sql(REPORTS_SQL, TRUTH_SQL)
-    + """SELECT CAST(report_id AS VARCHAR) AS report_id, CAST(date AS VARCHAR) AS date, site, description, sif_label,
-      CASE WHEN report_id % 4 = 0 THEN NULL ELSE hazard END AS hazard FROM reports LEFT JOIN truths USING (report_id)""",
+    + """SELECT CAST(report_id AS VARCHAR) AS report_id, CAST(date AS VARCHAR) AS date, site,
+      CASE WHEN report_id % 5 = 0 THEN description || chr(10) || chr(10) || '"A second, quoted paragraph."' ELSE description END AS description,
+      sif_label, CASE WHEN report_id % 4 = 0 THEN NULL ELSE hazard END AS hazard FROM reports LEFT JOIN truths USING (report_id)""",
 )
 def csv_scan(spark, sf):
+    """Every fifth text has line breaks and quotes."""
     path = new_path(spark, "reports-csv")
-    _plain(spark, sf).write.csv(path, header=True, quote='"', escape='"')
-    found = source.read_reports_csv(spark, path, required=["report_id", "description"], multi_line=False)
+    longer = F.concat("description", F.lit('\n\n"A second, quoted paragraph."'))
+    df = _plain(spark, sf).withColumn("description", F.when(F.col("report_id") % 5 == 0, longer).otherwise(F.col("description")))
+    df.write.csv(path, header=True, quote='"', escape='"')
+    found = source.read_reports_csv(spark, path, required=["report_id", "description"])
     return found.select("report_id", "date", "site", "description", "sif_label", "hazard")
 
 

@@ -11,6 +11,7 @@ from incident_signals.functions.text import is_blank
 from incident_signals.operators.numbering import numbered
 from incident_signals.operators.reports import without_truth
 from incident_signals.schema import RAW_REPORT_SCHEMA, require
+from incident_signals.sources.csv_records import read_records
 
 
 def read_reports_csv(
@@ -20,11 +21,14 @@ def read_reports_csv(
     """Report CSV with a header, in any column order.
 
     Every token that means missing becomes null, known columns get their type
-    (damaged values become null), other columns stay text.  Files with quoted
-    line breaks cannot be split, so large inputs should come as many files, or
-    with ``multi_line=False`` when no text holds line breaks.
+    (damaged values become null), other columns stay text.  Texts may hold quoted
+    line breaks, and files are still split; ``multi_line=False`` saves a pass
+    over them when no text does.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', nullValue="")
+    if multi_line:
+        raw = _parsed(spark, path)
+    else:
+        raw = spark.read.csv(path, header=True, quote='"', escape='"', nullValue="")
     types = {f.name: f.dataType for f in schema.fields}
 
     def cell(name: str) -> Column:
@@ -36,6 +40,14 @@ def read_reports_csv(
     return require(out, required) if required else out
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    # the header is the first record of some file; no more of it is read for the names
+    names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    cells = F.from_csv("record", schema, {"quote": '"', "escape": '"', "nullValue": ""})
+    return read_records(spark, path).where("NOT first").select(cells.alias("cells")).select("cells.*")
+
+
 def read_reports_json(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
