@@ -272,7 +272,7 @@ def numbered(batches, task: int):
                 block, last, rows, shingles = block + 1, (tree, key), 0, 0
             rows, shingles = rows + 1, shingles + n
             at.append(block)
-        columns = {c: batch.column(c) for c in ("tree", "key", "id", "label")}
+        columns = {c: batch.column(c) for c in ("tree", "key", "id", "label", "n")}
         yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(at, pa.int64())], names=[*columns, "block"])
 
 

@@ -456,3 +456,65 @@ def test_word_hashes_equal_words_equal_hashes():
     words = [w for t in texts for w in (t or "").encode().lower().split()]
     assert len(hashes) == len(words) and np.diff(bounds).tolist() == [3, 0, 0, 3, 2]
     assert len({(w, h) for w, h in zip(words, hashes.tolist())}) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def near_groups(rows, width, percent):
+    """Component of each distinct (key, text) by all pairs; texts of one key linked on request of the caller."""
+    texts = sorted({(k, t) for k, t in rows if k is not None and t and t.split()}, key=repr)
+    sets = [{tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} for w in (t.lower().split() for _, t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return texts, find, root
+
+
+def repeated_key_rows():
+    base = [words_of(120, seed) for seed in range(40)]
+    changed = lambda w, at: " ".join([*w[:at], "zzzzz", *w[at + 1 :]])
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, changed(base[0], 60)), (3, changed(base[1], 50)),
+            (4, changed(base[0], 20)), (5, changed(base[1], 20)), (5, changed(base[1], 20)), (6, ""), (6, ""), (7, None), (None, "a b")]
+    for i in range(2, 40):
+        rows += [(10 + i % 7, " ".join(base[i])), (100 + i, changed(base[i], 10))]
+    return rows
+
+
+def test_every_text_of_a_repeated_key_is_compared(spark, docs):
+    rows = repeated_key_rows()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(rows), width=3, percent=85).collect()}
+    texts, find, root = near_groups(rows, 3, 85)
+    first = {}
+    for i, (k, _) in enumerate(texts):
+        if k in first:
+            root[find(i)] = find(first[k])
+        first.setdefault(k, i)
+    least = {}
+    for i, (k, _) in enumerate(texts):
+        least[find(i)] = min(least.get(find(i), k), k)
+    want = {k: least[find(i)] for i, (k, _) in enumerate(texts)}
+    assert got == {**want, 6: 6, 7: 7, None: None} and got[3] == got[5] == 1
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    rows = repeated_key_rows()
+    kept = near_dedup.without_near_duplicates(docs(rows), width=3, percent=85)
+    assert kept.columns == docs(rows).columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    texts, find, _ = near_groups(rows, 3, 85)
+    groups = defaultdict(list)
+    for i, text in enumerate(texts):
+        groups[find(i)].append(text)
+    chosen = {t for t in got if t[1] and t[1].split() and t[0] is not None}
+    assert len(chosen) == len(groups) and max(got.values()) == 1
+    for members in groups.values():
+        (one,) = [m for m in members if m in chosen]
+        assert one[0] == min(k for k, _ in members)
+    assert {(6, ""), (7, None), (None, "a b")} == set(got) - chosen
+    assert near_dedup.without_near_duplicates(docs(rows).limit(0)).count() == 0
