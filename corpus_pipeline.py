@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incident_signals.llm import decontaminate, mixing, near_dedup, quality, sharding
@@ -22,12 +22,16 @@ SHINGLE, SIMILAR_PERCENT = 3, 85
 
 
 # Texts that a Python worker holds at once; workers of all stages share an executor with its heap.
-TEXTS_PER_BATCH, BYTES_PER_BATCH = 1_000, 8 << 20
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+    """A stage's result is lazy, so its settings stay until it is written; ``run`` puts the earlier ones back."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
 
 
 def _apart(docs: DataFrame, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -45,14 +49,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group, once; rows without doc_id or words belong to no group."""
+    """Keeps the smallest doc_id of each group; texts of a repeated doc_id are judged each for itself, repeated rows stay once."""
     _small_batches(spark)
-    groups = near_dedup.near_duplicates(docs, width=SHINGLE, percent=SIMILAR_PERCENT)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    found = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    first = found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return near_dedup.without_near_duplicates(docs, width=SHINGLE, percent=SIMILAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,6 +87,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir), name)
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
+    try:
+        for name, stage in STAGES:
+            docs = settled(stage(spark, docs, sf_dir), name)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return docs
