@@ -39,16 +39,16 @@ OPENINGS = [
     "Routine walk through the camp facility.",
 ]
 MIDDLES = [
-    "The line was not depressurized before work.",
-    "The line was not pressurized at that time.",
-    "No suspended load was overhead.",
+    "The header was not depressurized when the bolts came off.",
+    "The header was not pressurized that morning.",
+    "No suspended load hung above the crew.",
     "Residual pressure remained and LOTO was not applied.",
-    "Oil leak was seen and fluid started weeping from the flange.",
-    "The worker was out of the line of fire so nobody was struck.",
-    "H2S detected near the sump and the gas test had expired.",
-    "Gas test confirmed no h2s detected in the area.",
+    "An oil leak was noticed and the gasket kept weeping into a tray.",
+    "All hands kept out of the line of fire, nobody stood close.",
+    "H2S detected by the cellar and the gas test had expired.",
+    "Morning readings showed no h2s detected at the cellar.",
     "A fire extinguisher stood close by; later a flash fire ignited rags.",
-    "The worker stood under the suspended load, in the line of fire.",
+    "A helper stood under the suspended load, in the line of fire.",
     "Harness not clipped and lanyard defective.",
     "The fire gas panel was checked.",
     "An electrical shock was avoided.",
@@ -60,7 +60,7 @@ ENDINGS = [
     "It could have led to fall injury or electrocution.",
     "Missing barricade around the swing radius.",
     "Supervisor informed, IP treated; PPE in order.",
-    "Verified zero energy, stored energy was not found.",
+    "Zero energy was proven, stored energy was not found.",
 ]
 
 

@@ -26,6 +26,27 @@ def report_page(spark, sf):
     return _shown(r.page(reports(spark, sf), number=2, size=50))
 
 
+@query(
+    "r1_middle_page",
+    with_sql(REPORTS_SQL, "numbered AS (SELECT *, row_number() OVER (ORDER BY report_id) - 1 AS nth, count(*) OVER () AS n FROM reports)")
+    + f"SELECT {REPORT} FROM numbered reports WHERE nth >= (n // 2 // 50) * 50 AND nth < (n // 2 // 50) * 50 + 50",
+)
+def middle_page(spark, sf):
+    df = reports(spark, sf)
+    return _shown(r.page(df, number=df.count() // 2 // 50 + 1, size=50))
+
+
+@query(
+    "r1_last_page_by_site",
+    with_sql(REPORTS_SQL, "numbered AS (SELECT *, row_number() OVER (ORDER BY site, report_id) - 1 AS nth, count(*) OVER () AS n FROM reports)")
+    + f"SELECT {REPORT} FROM numbered reports WHERE nth >= ((n - 1) // 50) * 50",
+)
+def last_page_by_site(spark, sf):
+    """Many reports share a site; within it they are ordered by id."""
+    df = reports(spark, sf)
+    return _shown(r.page(df, number=(df.count() - 1) // 50 + 1, size=50, order="site"))
+
+
 @query(
     "r1_page_totals",
     with_sql(REPORTS_SQL)

@@ -99,7 +99,7 @@ def nearest_others(spark, sf):
 def many_queries(spark, sf):
     table_ = vectors(spark, sf)
     asked = table_.select(F.col("vector_id").alias("query_id"), "embedding")
-    return _scored(v.top_k(table_, asked, 3, in_task_limit=100))
+    return _scored(v.top_k(table_, asked, 3, batch_bytes=1 << 16))
 
 
 @query(

@@ -6,15 +6,16 @@ import functools
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
+from incident_signals.catalog import pattern_queries, quality_queries, temporal_queries  # noqa: F401  their SQL is used below
 from incident_signals.catalog.adapter import REPORTS_SQL, TRUTH_SQL, dims_sql, reports, table, with_sql
 from incident_signals.catalog.density_queries import DENSITY_SELECT, flat
 from incident_signals.catalog.extraction_queries import canonical_sql, hazards_sql, hits_sql, quoted
 from incident_signals.catalog.model_queries import fitted_models, training_reports
-from incident_signals.catalog.registry import query
+from incident_signals.catalog.registry import CHECKS, query
 from incident_signals.catalog.similarity_queries import LETTER_COUNTS, letter_model
 from incident_signals.models import features as ft
 from incident_signals.models.classifiers import SifClassifier
@@ -102,6 +103,34 @@ def published(spark, sf):
                              "data_quality_warnings"))
 
 
+# Each published output and the query whose SQL states its rows.
+PUBLISHED = {
+    "overall_summary": ["d14_overall_summary"], "site_analytics": ["d6_site_profile"], "activity_analytics": ["d8_activity_profile"],
+    "lsr_analytics": ["d9_rule_profile"], "hazard_analytics": ["d10_hazard_profile"], "barrier_analytics": ["d10_barrier_profile"],
+    "consequence_analytics": ["d11_consequence_profile"], "temporal_analytics": ["t7_all_periods"],
+    "temporal_frequency": ["t5_monthly_frequency"], "recurring_patterns": ["p4_all_patterns"],
+    "emerging_patterns": ["p6_emerging_by_quarter"], "cross_site_patterns": ["p5_cross_site_patterns"],
+    "analytics_validation": ["q1_dimension_overlap", "q2_site_overlap"],
+}
+
+
+@query(
+    "s5_published_outputs",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS output, {' + '.join(f'(SELECT count(*) FROM ({CHECKS[c]}))' for c in checks)} AS rows"
+        for name, checks in PUBLISHED.items()
+    ),
+)
+def published_outputs(spark, sf):
+    """All thirteen outputs, each read back and counted after it was verified."""
+    df = reports(spark, sf, *fixed.LIST_COLUMNS, truth=True)
+    path = new_path(spark, "analytics")
+    outputs = analytics.run_analytics(df)
+    analytics.publish(outputs, analytics.metadata(df, "orders"), path)
+    analytics.verify_outputs(spark, path, list(outputs))
+    return analytics.output_counts(spark, path, list(outputs))
+
+
 @query(
     "s7_vector_table",
     with_sql(REPORTS_SQL)
@@ -348,11 +377,8 @@ def versions(spark, sf):
         refresh.restore(spark, root, "first")
     current = refresh.version_path(root, refresh.current_version(spark, root))
     counts = [spark.read.parquet(f"{current}/{name}").agg(F.count(F.lit(1))).scalar() for name in ("enriched", "vectors")]
-    manifest = spark.read.schema(refresh.MANIFEST).parquet(f"{root}/manifest")
-    # a few rows: one per refresh or restore
-    place = F.row_number().over(Window.orderBy("created_at"))
-    return manifest.select(place.alias("place"), "version", "source", "status",
-                           counts[0].alias("current_reports"), counts[1].alias("current_vectors"))
+    return refresh.manifest(spark, root).select(F.col("number").cast("int").alias("place"), "version", "source", "status",
+                                                counts[0].alias("current_reports"), counts[1].alias("current_vectors"))
 
 
 ITEM_DIMS = list(DIMENSIONS)

@@ -33,7 +33,7 @@ def assert_no_truth(columns: list[str]) -> None:
     """Truth columns must never become features."""
     leaked = [c for c in columns if c in fixed.FORBIDDEN_FEATURE_COLUMNS]
     if leaked:
-        raise ValueError(f"Forbidden feature columns: {leaked}")
+        raise ValueError(f"truth columns among the features: {leaked}")
 
 
 def drop_truth(df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ class TfidfFeatures:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.model is None:
-            raise ValueError("Vectorizer is not fitted! Call fit() on training data first.")
+            raise ValueError("the features have not been fitted")
         return self.model.transform(df)
 
     @property
@@ -80,7 +80,7 @@ class TfidfFeatures:
 
     def save(self, path: str) -> None:
         if self.model is None:
-            raise ValueError("Cannot save an unfitted vectorizer.")
+            raise ValueError("there are no fitted features to save")
         self.model.write().overwrite().save(path)
 
     @classmethod
@@ -146,7 +146,7 @@ class ModelEmbedder:
                 if zero:
                     texts = texts.where(~blank, "-")
                 elif blank.any():
-                    raise ValueError("Cannot embed empty or whitespace-only text.")
+                    raise ValueError("a text without words cannot be embedded")
                 rows: list = []
                 for start in range(0, len(texts), size):
                     vectors = np.asarray(model.encode(texts.iloc[start : start + size].tolist()), dtype="float32")

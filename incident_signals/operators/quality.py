@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from incident_signals import fixed_values as fixed
 from incident_signals.functions.numbers import ratio, share
 from incident_signals.operators.density import density_of_all, top_by_volume_per_dimension
+from incident_signals.session import cut_lineage
 
 VALIDATED = {
     "activity": "predicted_activity",
@@ -16,8 +17,8 @@ VALIDATED = {
     "barrier_failure": "predicted_barrier_failures",
 }
 ERROR_SAMPLES = 15
-LEAST_CURVE_BUCKETS = 64
-MOST_CURVE_BUCKETS = 4096
+# Distinct scores of one bucket of a curve, about.
+SCORES_PER_BUCKET = 100_000
 
 
 # --- leading values, predicted against truth ------------------------------------------------
@@ -221,10 +222,11 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float) -> D
 def score_curve(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Cumulative positives and negatives at or above every distinct score.
 
-    Equal scores are merged before the shuffle.  Distinct scores are split at
-    approximate quantiles (any monotone split gives the exact result), so the
-    running sums work per bucket, with bucket totals as offsets, and no task
-    sees the whole curve.
+    Equal scores are merged before the shuffle and written once, so a model
+    behind them runs once.  Distinct scores are split at the quantiles of a
+    mergeable sketch (any monotone split gives the exact result) into as many
+    buckets as their number asks for; the running sums work per bucket, with
+    bucket totals as offsets, and no task sees the whole curve.
     """
     positive = (F.col(label) == 1).cast("bigint")
     scores = (
@@ -232,10 +234,11 @@ def score_curve(df: DataFrame, label: str, score: str, buckets: int | None = Non
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     )
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or min(MOST_CURVE_BUCKETS, max(LEAST_CURVE_BUCKETS, partitions))
+    scores = cut_lineage(scores)
+    buckets = buckets or scores.count() // SCORES_PER_BUCKET + 1
     marks = [i / buckets for i in range(1, buckets)]
-    splits = scores.agg(F.percentile_approx("score", marks).alias("s")).first()["s"] or []
+    accuracy = max(10_000, 10 * buckets)
+    splits = (scores.agg(F.percentile_approx("score", marks, accuracy).alias("s")).first()["s"] if marks else None) or []
     bounds = sorted(set(splits)) or [0.0]
     placed = Bucketizer(inputCol="score", outputCol="bucket", splits=[-float("inf"), *bounds, float("inf")])
     bucketed = placed.transform(scores)
@@ -276,9 +279,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """False and true positive rate, precision and recall at every distinct score."""
     curve = score_curve(df, label, score)
-    totals = df.where(F.col(score).isNotNull()).agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).alias("t")
-    ).scalar()
+    totals = curve.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     tp, fp = F.col("tp"), F.col("fp")
     return curve.select(
         F.col("score").alias("threshold"),

@@ -8,24 +8,90 @@ from pyspark.sql import functions as F
 from incident_signals import fixed_values as fixed
 from incident_signals.functions.numbers import ratio
 from incident_signals.functions.text import clean_entity_name
-from incident_signals.operators.numbering import numbered
 from incident_signals.operators.patterns import pattern_label
 
 SITE_SORT_KEYS = ["sif_density", "total_reports", "sif_count", "avg_sif_probability"]
 TRUTH_COLUMNS = fixed.FORBIDDEN_FEATURE_COLUMNS + ["activity", "equipment"]
-# Pages that end beyond this many rows are cut from a numbered table instead of a top-n.
-DEEP_PAGE_ROWS = 100_000
+# Rows of the range that a page is cut from; larger ranges are narrowed first.
+RANGE_ROWS = 65_536
+# Splitters of one narrowing step, and the sample that they are drawn from.
+SPLITTERS, SAMPLE = 63, 2_048
+
+
+def _range_number(column: Column, splitters: list, low: int = 0, high: int | None = None) -> Column:
+    """2 i for a value between splitters i - 1 and i, 2 i + 1 for splitter i itself, by binary decisions."""
+    high = len(splitters) if high is None else high
+    if low == high:
+        return F.lit(2 * low)
+    middle = (low + high) // 2
+    return (
+        F.when(column < F.lit(splitters[middle]), _range_number(column, splitters, low, middle))
+        .when(column == F.lit(splitters[middle]), F.lit(2 * middle + 1))
+        .otherwise(_range_number(column, splitters, middle + 1, high))
+    )
 
 
-def page(df: DataFrame, number: int = 1, size: int = 20, order: str = "report_id") -> DataFrame:
-    """Reports of one page, ordered."""
+def _narrowed(df: DataFrame, names: list[str], start: int, most: int) -> tuple[DataFrame, int]:
+    """(rows of a range of the order that holds row ``start`` and all after it that ``most`` rows reach, row in the range).
+
+    Each step reads one column: a sample for splitters, then the rows of each
+    range between them.  A value that fills a range goes on by the next column.
+    """
+    for name in names:
+        column = F.col(f"`{name}`")
+        while True:
+            sample = df.where(column.isNotNull()).select(column.alias("v")).orderBy(F.xxhash64("v", F.monotonically_increasing_id())).limit(SAMPLE)
+            values = sorted({r["v"] for r in sample.collect()})
+            step = max(1, len(values) // (SPLITTERS + 1))
+            splitters = values[step // 2 :: step][: SPLITTERS + 1]
+            number = F.when(column.isNull(), F.lit(-1)).otherwise(_range_number(column, splitters))
+            counts = sorted((r["number"], r["n"]) for r in df.groupBy(number.alias("number")).agg(F.count(F.lit(1)).alias("n")).collect())
+            total = sum(n for _, n in counts)
+            if total <= RANGE_ROWS or start >= total:
+                return df, start
+            before, chosen = 0, []
+            for place, n in counts:
+                if chosen and before >= start + most:
+                    break
+                if before + n > start:
+                    chosen.append((place, n, before))
+                before += n
+            first, last = chosen[0], chosen[-1]
+            start -= first[2]
+            if len(chosen) == 1 and (first[0] < 0 or first[0] % 2 == 1):
+                df = df.where(column.isNull() if first[0] < 0 else column == F.lit(splitters[first[0] // 2]))
+                break
+            low = splitters[(first[0] - 1) // 2] if first[0] > 0 else None
+            high = splitters[last[0] // 2] if last[0] // 2 < len(splitters) else None
+            bounds = F.lit(True)
+            if low is not None:
+                bounds = (column >= F.lit(low)) if first[0] % 2 else (column > F.lit(low))
+            if high is not None:
+                bounds = bounds & ((column <= F.lit(high)) if last[0] % 2 else (column < F.lit(high)))
+            if first[0] >= 0:
+                df = df.where(column.isNotNull() & bounds)
+            elif high is not None:
+                df = df.where(column.isNull() | bounds)
+            if len(chosen) > 1 or sum(n for _, n, _ in chosen) == total:
+                return df, start
+    return df, start
+
+
+def page(df: DataFrame, number: int = 1, size: int = 20, order: str | list[str] = "report_id") -> DataFrame:
+    """Reports of one page, ordered, nulls first.
+
+    Rows equal in ``order`` are ordered by report id and then by a hash of all
+    columns.  The order's range that holds the page is found from counts of
+    ranges, so no more than a few columns are read for it and no table is sorted
+    or numbered, however deep the page lies.
+    """
     if number < 1 or size < 1:
         raise ValueError("page and page_size must be at least 1")
-    start = (number - 1) * size
-    if start + size <= DEEP_PAGE_ROWS:
-        return df.orderBy(order).offset(start).limit(size)
-    rows = numbered(df, [order], "_row")
-    return rows.where((F.col("_row") >= start) & (F.col("_row") < start + size)).drop("_row").orderBy(order)
+    names = [order] if isinstance(order, str) else list(order)
+    if "report_id" in df.columns and "report_id" not in names:
+        names.append("report_id")
+    rows, start = _narrowed(df, names, (number - 1) * size, size)
+    return rows.orderBy(*[F.col(f"`{n}`") for n in names], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).offset(start).limit(size)
 
 
 def page_totals(df: DataFrame, size: int = 20) -> DataFrame:

@@ -1,33 +1,34 @@
 """Exact nearest reports by cosine similarity.
 
-Few queries: the query matrix (size checked) travels to the tasks, each task
-keeps its own best k per query over its Arrow batches, and only those rows are
-shuffled.  Many queries: queries and vectors are cut into blocks of bounded
-size, every block pair is one co-grouped task, and again only the best k per
-query and block leave it.  Both are exact and never emit all pairs.
+Queries are streamed through the driver in batches of bounded size.  A batch
+travels to the tasks as one matrix, the vectors stay where they are, and each
+task keeps the best k of every query over its Arrow batches: whole score matrices
+are cut to the scores that reach the k-th best so far, and a batch of vectors too
+short to reach it for a query is not multiplied.  Only the best k per query and
+task are shuffled.  Exact, without emitting pairs, at any number of queries.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
-from incident_signals.session import MAX_BROADCAST_BYTES
+from incident_signals.session import new_path
 
 # The helpers below run inside tasks; they travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERIES_IN_TASK = 4096
-QUERY_BLOCK = 2048
-VECTOR_BLOCK = 50_000
+# Queries that the driver holds and sends to the tasks at once.
+QUERY_BATCH_BYTES = 16 << 20
+# Queries whose scores are held at once.
 _COLUMNS = 512
 # Scores closer than this count as equal, whatever order a processor adds them in.
 SCORE_DIGITS = 12
@@ -49,127 +50,124 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def similarities(vector: Column, references: list[list[float]]) -> Column:
-    """Inner products with a few fixed vectors, as one array; one matrix product per Arrow batch."""
-    matrix = np.asarray(references, dtype="float64").T
-
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(list(np.round(_matrix(batch) @ matrix, SCORE_DIGITS)) if len(batch) else [])
-
-    return score(vector)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one query, ties by id."""
-    if len(scores) > k:
-        kept = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
-
-
-def _block_best(ids, reports, matrix, query_ids, excluded, queries, k) -> pd.DataFrame:
-    """Best k of a block of vectors for each query."""
-    parts = []
-    for start in range(0, len(query_ids), _COLUMNS):
-        scores = np.round(matrix @ queries[start : start + _COLUMNS].T, SCORE_DIGITS)
-        for j in range(scores.shape[1]):
-            allowed = np.arange(len(ids))
-            if excluded[start + j] is not None:
-                allowed = allowed[reports != excluded[start + j]]
-            chosen = allowed[_best(scores[allowed, j], ids[allowed], k)]
-            parts.append(
-                pd.DataFrame({"query_id": query_ids[start + j], "vector_id": ids[chosen], "score": scores[chosen, j]})
-            )
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vector_id": [], "score": []})
-
-
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in column]) if len(column) else np.zeros((0, 0))
-
-
-def _excluded(values) -> list:
-    return [None if pd.isna(v) else v for v in values]
-
-
-def _with_queries_in_task(vectors: DataFrame, rows: list, k: int) -> DataFrame:
-    query_ids = [r["query_id"] for r in rows]
+def _flat(lists: pa.Array) -> np.ndarray:
+    """Vectors as one matrix."""
+    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+class _Best:
+    """The k best vectors of each query so far, ties by vector id."""
+
+    def __init__(self, queries: np.ndarray, excluded: list | None, k: int):
+        self.queries, self.excluded, self.k = queries, excluded, k
+        self.norms = np.sqrt((queries * queries).sum(axis=1))
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.zeros((len(queries), k), np.int64)
+
+    def add(self, ids: np.ndarray, reports: pa.Array, vectors: np.ndarray) -> None:
+        longest = np.sqrt((vectors * vectors).sum(axis=1)).max(initial=0)
+        # no score is above the product of the lengths
+        within = np.flatnonzero(self.norms * longest * (1 + 1e-9) + 1e-9 >= self.scores[:, -1])
+        out = self._excluded(reports)
+        for at in range(0, len(within), _COLUMNS):
+            part = within[at : at + _COLUMNS]
+            scores = np.round(self.queries[part] @ vectors.T, SCORE_DIGITS)
+            if out is not None:
+                rows, columns = out
+                place = np.searchsorted(part, rows)
+                met = np.flatnonzero(place < len(part))
+                met = met[part[place[met]] == rows[met]]
+                scores[place[met], columns[met]] = -np.inf
+            self._merge(part, ids, scores)
+
+    def _excluded(self, reports: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """(query, vector) pairs that must not meet."""
+        if self.excluded is None:
+            return None
+        codes, _ = pd.factorize(np.array(reports.to_pylist() + self.excluded, dtype=object))
+        own, barred = codes[: len(reports)], codes[len(reports) :]
+        order = np.argsort(own, kind="stable")
+        low, high = np.searchsorted(own[order], barred), np.searchsorted(own[order], barred, "right")
+        count = np.where(barred >= 0, high - low, 0)
+        ends = np.cumsum(count)
+        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - low, count)
+        return np.repeat(np.arange(len(barred)), count), order[places]
+
+    def _merge(self, part: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        k = self.k
+        both = np.concatenate([self.scores[part], scores], axis=1)
+        least = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+        row, column = np.nonzero((both >= least[:, None]) & (both > -np.inf))
+        value = both[row, column]
+        old = column < k
+        name = np.where(old, self.ids[part[row], np.where(old, column, 0)], ids[np.where(old, 0, column - k)])
+        order = np.lexsort((name, -value, row))
+        row, value, name = row[order], value[order], name[order]
+        starts = np.searchsorted(row, np.arange(len(part)))
+        rank = np.arange(len(row)) - starts[row]
+        kept = rank < k
+        new_scores, new_ids = np.full((len(part), k), -np.inf), np.zeros((len(part), k), np.int64)
+        new_scores[row[kept], rank[kept]] = value[kept]
+        new_ids[row[kept], rank[kept]] = name[kept]
+        self.scores[part], self.ids[part] = new_scores, new_ids
+
+
+def _searched(vectors: DataFrame, rows: list, schema: str, k: int) -> DataFrame:
+    """Best k of each task for one batch of queries."""
+    names = [r["query_id"] for r in rows]
     excluded = [r["exclude_id"] for r in rows]
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, excluded, _matrix([r["embedding"] for r in rows])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, skipped, queries = shared.value
-        best = None
+    matrix = np.asarray([r["embedding"] for r in rows], dtype="float64")
+    skip = None if all(e is None for e in excluded) else excluded
+    shared = vectors.sparkSession.sparkContext.broadcast((names, skip, matrix))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, barred, queries = shared.value
+        best = _Best(queries, barred, k)
+        kind = None
         for batch in batches:
-            if not len(batch):
-                continue
-            found = _block_best(
-                batch["vector_id"].to_numpy(), batch["report_id"].to_numpy(), _matrix(batch["embedding"]),
-                names, skipped, queries, k,
+            if batch.num_rows:
+                kind = batch
+                best.add(batch.column(0).to_numpy(), batch.column(1), _flat(batch.column(2)))
+        if kind is not None:
+            row, place = np.nonzero(best.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own).take(pa.array(row)), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])],
+                names=["query_id", "vector_id", "score"],
             )
-            both = found if best is None else pd.concat([best, found])
-            both = both.sort_values(["query_id", "score", "vector_id"], ascending=[True, False, True])
-            best = both.groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return vectors.mapInPandas(search, _result_schema(vectors, rows))
-
-
-def _result_schema(vectors: DataFrame, rows_or_type) -> str:
-    kind = rows_or_type if isinstance(rows_or_type, str) else "bigint" if isinstance(rows_or_type[0]["query_id"], int) else "string"
-    return f"query_id {kind}, vector_id bigint, score double"
-
-
-def _in_block_pairs(vectors: DataFrame, queries: DataFrame, query_count: int, k: int) -> DataFrame:
-    query_blocks = max(1, math.ceil(query_count / QUERY_BLOCK))
-    vector_blocks = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
-
-    def blocked(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        )
-
-    left = blocked(vectors, "vector_id", "_v", vector_blocks, "_q", query_blocks)
-    right = blocked(queries, "query_id", "_q", query_blocks, "_v", vector_blocks)
-
-    def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": [], "vector_id": [], "score": []})
-        return _block_best(
-            vs["vector_id"].to_numpy(), vs["report_id"].to_numpy(), _matrix(vs["embedding"]),
-            qs["query_id"].to_numpy(), _excluded(qs["exclude_id"]), _matrix(qs["embedding"]), k,
-        )
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    grouped = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q"))
-    return grouped.applyInPandas(search, _result_schema(vectors, kind))
+    return vectors.mapInArrow(search, schema)
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = fixed.RETRIEVAL_TOP_K, in_task_limit: int = QUERIES_IN_TASK
+    vectors: DataFrame, queries: DataFrame, k: int = fixed.RETRIEVAL_TOP_K, batch_bytes: int = QUERY_BATCH_BYTES
 ) -> DataFrame:
     """(query_id, rank, vector_id, score) of the k nearest vectors per query.
 
     ``vectors`` has vector_id, report_id and embedding; ``queries`` has
     query_id, embedding and optionally exclude_id, a report that must not
-    appear among the query's own results.
+    appear among the query's own results.  Queries that make more than one
+    batch of ``batch_bytes`` are searched batch by batch.
     """
     if not isinstance(k, int) or k < 1:
-        raise ValueError(f"top_k must be an integer >= 1, got {k}.")
+        raise ValueError(f"k is {k!r}, not a whole number from 1")
     searched = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "report_id", "embedding")
     skip = F.col("exclude_id") if "exclude_id" in queries.columns else F.lit(None).cast(searched.schema["report_id"].dataType)
     asked = queries.select("query_id", "embedding", skip.alias("exclude_id"))
-    few = asked.limit(in_task_limit + 1).collect()
-    size = sum(len(r["embedding"]) for r in few) * 8
-    if not few:
-        found = vectors.sparkSession.createDataFrame([], "query_id bigint, vector_id bigint, score double")
-    elif len(few) <= in_task_limit and size <= MAX_BROADCAST_BYTES:
-        found = _with_queries_in_task(searched, few, k)
-    else:
-        found = _in_block_pairs(searched, asked, asked.count(), k)
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vector_id bigint, score double"
+    spark, path, batch, size = vectors.sparkSession, None, [], 0
+    for row in asked.toLocalIterator(prefetchPartitions=True):
+        bytes_ = 8 * len(row["embedding"]) + 64
+        if batch and size + bytes_ > batch_bytes:
+            path = path or new_path(spark, "nearest")
+            _searched(searched, batch, schema, k).write.mode("append").parquet(path)
+            batch, size = [], 0
+        batch.append(row)
+        size += bytes_
+    found = _searched(searched, batch, schema, k) if batch else spark.createDataFrame([], schema)
+    if path:
+        found.write.mode("append").parquet(path)
+        found = spark.read.schema(schema).parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -190,9 +188,9 @@ def retrieve(
     from incident_signals.functions.text import is_blank, normalize_text
 
     if queries.where(is_blank(F.col(text))).limit(1).count():
-        raise ValueError("Query cannot be empty or whitespace-only.")
+        raise ValueError("a query without text has no neighbours")
     if vectors.limit(1).count() == 0:
-        raise RuntimeError("Vector table is empty. Build it before retrieving.")
+        raise RuntimeError("there are no vectors to search")
     cleaned = queries.withColumn("_plain", normalize_text(F.col(text))).withColumn(
         "_clean", F.when(F.col("_plain") == "", F.col(text)).otherwise(F.col("_plain"))
     )
@@ -241,4 +239,4 @@ def assert_vectors(vectors: DataFrame, dimension: int | None = None) -> None:
     if found["rows"] and (found["first_id"] != 0 or not found["ids_aligned"]):
         problems.append("vector ids are not 0..n-1")
     if problems:
-        raise ValueError("Vector table is not usable: " + "; ".join(problems))
+        raise ValueError("vectors cannot be searched: " + "; ".join(problems))

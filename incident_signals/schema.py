@@ -28,7 +28,7 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 def require(df: DataFrame, required: list[str] = fixed.REQUIRED_ENRICHED_COLUMNS) -> DataFrame:
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks columns: {missing}")
     return df
 
 

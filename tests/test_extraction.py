@@ -7,35 +7,35 @@ from incident_signals.operators import extraction as x
 
 # (sentence, column, expected present, expected absent)
 CASES = [
-    ("The line was not depressurized before maintenance.", "hazards", ["Pressurized equipment"], []),
-    ("The line was not pressurized before maintenance.", "hazards", [], ["Pressurized equipment"]),
-    ("Gas test confirmed no h2s detected in the vessel.", "hazards", [], ["H2S exposure"]),
-    ("Gas test confirmed h2s detected in the vessel.", "hazards", ["H2S exposure"], []),
-    ("Worker confirmed no suspended load was overhead.", "hazards", [], ["Suspended load"]),
-    ("The worker stood under the suspended load.", "hazards", ["Suspended load"], []),
-    ("The worker stood under the suspended load.", "unsafe_actions", ["Entering danger zone"], []),
-    ("fluid started weeping from the flange.", "hazards", ["Loss of containment"], []),
-    ("worker was out of the line of fire.", "hazards", [], ["Fire/explosion", "Line-of-fire exposure"]),
-    ("A worker was in the line of fire.", "hazards", ["Line-of-fire exposure"], ["Fire/explosion"]),
+    ("At shift start the header was not depressurized.", "hazards", ["Pressurized equipment"], []),
+    ("The spool was not pressurized when bolts came off.", "hazards", [], ["Pressurized equipment"]),
+    ("Morning readings showed no h2s detected inside the drum.", "hazards", [], ["H2S exposure"]),
+    ("Morning readings showed h2s detected inside the drum.", "hazards", ["H2S exposure"], []),
+    ("The banksman saw no suspended load above the path.", "hazards", [], ["Suspended load"]),
+    ("Two riggers stood under a suspended load.", "hazards", ["Suspended load"], []),
+    ("Two riggers stood under a suspended load.", "unsafe_actions", ["Entering danger zone"], []),
+    ("By noon the gasket kept weeping into a tray.", "hazards", ["Loss of containment"], []),
+    ("All hands kept out of the line of fire.", "hazards", [], ["Fire/explosion", "Line-of-fire exposure"]),
+    ("His arm reached into the line of fire.", "hazards", ["Line-of-fire exposure"], ["Fire/explosion"]),
     (
-        "Hydraulic torque wrench pressure hose snapped. Worker was out of the line of fire so nobody was struck.",
+        "At full load the jack's hose snapped. The crew kept out of the line of fire and nobody got hurt.",
         "hazards",
         ["Pressurized equipment", "Loss of containment"],
         ["Fire/explosion", "Line-of-fire exposure"],
     ),
-    ("The line was pressurized.", "hazards", ["Pressurized equipment"], []),
-    ("The worker stayed clear of the suspended load.", "hazards", [], ["Line-of-fire exposure"]),
-    ("Hydrocarbon leaked from the flange.", "hazards", ["Hydrocarbon release"], []),
-    ("No hydrocarbon leak was found.", "hazards", [], ["Hydrocarbon release"]),
-    ("The line remained live during maintenance.", "hazards", ["Stored energy"], []),
-    ("verified zero energy before maintenance.", "hazards", [], ["Stored energy"]),
-    ("No H2S detected near the sump.", "hazards", [], ["H2S exposure"]),
-    ("H2S detected near the sump.", "hazards", ["H2S exposure"], []),
-    ("No gas check. Later there was a fire, no injuries.", "hazards", ["Fire/explosion"], []),
-    ("no fire today, but a fire started later", "hazards", ["Fire/explosion"], []),
-    ("Pump P-204 was being repaired.", "equipment", ["Pump P-204"], ["Pump"]),
-    ("Work without a valid gas permit.", "barrier_failures", ["WORK_AUTHORIZATION_FAILURE"], []),
-    ("There was an exposed and old electrical box", "unsafe_conditions", ["Exposed electrical conductor"], []),
+    ("Gauge showed the drum was pressurized.", "hazards", ["Pressurized equipment"], []),
+    ("Everyone kept away from the suspended load.", "hazards", [], ["Line-of-fire exposure"]),
+    ("Some hydrocarbon leaked at the sample point.", "hazards", ["Hydrocarbon release"], []),
+    ("No hydrocarbon leaked at the sample point.", "hazards", [], ["Hydrocarbon release"]),
+    ("An electrician found the line remained live at noon.", "hazards", ["Stored energy"], []),
+    ("Zero energy proven before the job began.", "hazards", [], ["Stored energy"]),
+    ("No H2S detected by the cellar.", "hazards", [], ["H2S exposure"]),
+    ("H2S detected by the cellar.", "hazards", ["H2S exposure"], []),
+    ("No reading was taken. Hours later a fire broke out, no one hurt.", "hazards", ["Fire/explosion"], []),
+    ("no fire at dawn, but a fire broke out at dusk", "hazards", ["Fire/explosion"], []),
+    ("Fitters opened Pump P-204 for repair.", "equipment", ["Pump P-204"], ["Pump"]),
+    ("Entry went on without a valid gas permit.", "barrier_failures", ["WORK_AUTHORIZATION_FAILURE"], []),
+    ("Behind the door hung an exposed and old electrical box", "unsafe_conditions", ["Exposed electrical conductor"], []),
 ]
 
 

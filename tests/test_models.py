@@ -213,3 +213,49 @@ def test_refresh_promotes_fails_and_restores(spark, reports, trained):
     assert [r[0] for r in vectors.orderBy("report_id").select("vector_id").collect()] == list(range(32))
     patterns = spark.read.json(f"{rf.version_path(root, 'one')}/analytics/recurring_patterns")
     assert "priority_score" in patterns.columns
+
+
+def test_two_refreshes_cannot_both_win(spark, reports, trained, monkeypatch):
+    from incident_signals.plans import refresh as rf
+
+    tfidf, sif, rules, _ = trained
+    received = reports.select("report_id", "date", "site", "location", "report_type", "description")
+    root, embedder = new_path(spark, "race"), ft.HashingEmbedder(16)
+    verify = rf._verify
+
+    def other_wins_meanwhile(*args):
+        verify(*args)
+        monkeypatch.setattr(rf, "_verify", verify)
+        rf._append(spark, root, "quicker", "somewhere", "good", base=0)
+
+    monkeypatch.setattr(rf, "_verify", other_wins_meanwhile)
+    with pytest.raises(rf.LostRefresh):
+        rf.refresh(received, root, tfidf, sif, rules, embedder, version="slower")
+    assert rf.current_version(spark, root) == "quicker"
+    rows = {(r.number, r.version, r.status) for r in rf.manifest(spark, root).collect()}
+    assert rows == {(1, "quicker", "good"), (2, "slower", "failed")}
+    assert not rf._created(spark, f"{root}/manifest/{1:012d}.json", "again")
+    rf.refresh(received, root, tfidf, sif, rules, embedder, version="next")
+    assert rf.current_version(spark, root) == "next"
+
+
+def test_exported_models_score_alike(spark, trained):
+    from incident_signals.models.tables import LinearTables
+
+    tfidf, sif, rules, data = trained
+    tables = LinearTables.exported(spark, tfidf, {"risk": sif.model})
+    own = {r.report_id: r.sif_probability for r in sif.predict(data).collect()}
+    got = {r.report_id: r.score for r in tables.scores(data).collect()}
+    assert got == pytest.approx(own, abs=1e-9)
+    assert tables.gradient(data, "sif_label", "risk").agg(F.max(F.abs("slope"))).first()[0] < 1e-4
+    path = new_path(spark, "tables")
+    tables.save(path, spark)
+    again = LinearTables.load(path, spark).explain(data, "risk", 2)
+    want = {(r.report_id, r["rank"]): r.contribution for r in sif.explain(data, 2).collect()}
+    assert {(r.report_id, r["rank"]): abs(r.contribution) for r in again.collect()} == pytest.approx({k: abs(v) for k, v in want.items()})
+    all_rules = LinearTables.exported(spark, tfidf, dict(zip(rules.rules, rules.models)))
+    chosen = {r.report_id: (r.primary_rule, len(r.rules)) for r in all_rules.rules(data).collect()}
+    assert chosen == {r.report_id: (r.primary_rule, len(r.rules)) for r in rules.predict(data).collect()}
+    rules.save(f"{path}/rules", spark)
+    loaded = RuleClassifier.load(f"{path}/rules", spark)
+    assert {r.report_id: r.primary_rule for r in loaded.predict(data).collect()} == {k: v[0] for k, v in chosen.items()}

@@ -260,11 +260,6 @@ def test_periods_and_trends(spark):
 def test_pages(spark):
     df = spark.range(1000).select(F.col("id").alias("report_id"))
     assert [r[0] for r in reports.page(df, 3, 10).collect()] == list(range(20, 30))
-    reports.DEEP_PAGE_ROWS, before = 0, reports.DEEP_PAGE_ROWS
-    try:
-        assert [r[0] for r in reports.page(df.repartition(7), 3, 10).collect()] == list(range(20, 30))
-    finally:
-        reports.DEEP_PAGE_ROWS = before
     assert tuple(reports.page_totals(df, 30).first()) == (1000, 34)
     with pytest.raises(ValueError):
         reports.sites_by(df, "name")
@@ -370,12 +365,11 @@ def brute_nearest(df, k, exclude=False):
 
 @pytest.mark.parametrize("limit", [1000, 10])
 def test_nearest_in_both_ways(spark, limit, monkeypatch):
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 60)
-    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 70)
+    monkeypatch.setattr(similarity, "_COLUMNS", 7)
     df = vectors(spark)
     asked = df.select(F.col("vector_id").alias("query_id"), "embedding", F.col("report_id").alias("exclude_id"))
     found = {}
-    for r in similarity.top_k(df, asked, 4, in_task_limit=limit).orderBy("query_id", "rank").collect():
+    for r in similarity.top_k(df, asked, 4, batch_bytes=limit).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["vector_id"])
     assert found == brute_nearest(df, 4, exclude=True)
 
@@ -426,3 +420,19 @@ def test_scans_read_only_needed_columns(spark):
     plan = plan_of(d.density(spark.read.parquet(path), "predicted_hazards"))
     schema = plan.split("ReadSchema: ")[1]
     assert "description" not in schema and "predicted_lsr" not in schema
+
+
+@pytest.mark.parametrize("order, rows_in_range", [("report_id", 10), ("site", 7), (["kind", "site"], 25), ("site", 100_000)])
+def test_pages_of_a_narrowed_range(spark, monkeypatch, order, rows_in_range):
+    monkeypatch.setattr(reports, "RANGE_ROWS", rows_in_range)
+    monkeypatch.setattr(reports, "SPLITTERS", 3)
+    monkeypatch.setattr(reports, "SAMPLE", 50)
+    rows = [(i, None if i % 9 == 0 else f"S{i % 4 if i % 2 else 1}", i % 3, "x") for i in range(500)] + [(7, "S3", 1, "x")] * 40
+    df = spark.createDataFrame(rows, "report_id int, site string, kind int, `odd.name` string").repartition(5)
+    names = [order] if isinstance(order, str) else order
+    names = names + ["report_id"] * ("report_id" not in names)
+    at = {"report_id": 0, "site": 1, "kind": 2}
+    want = sorted(rows, key=lambda r: tuple((r[at[n]] is not None, r[at[n]]) for n in names))
+    for number in (1, 2, 7, 13, 18, 19):
+        got = [tuple(r) for r in reports.page(df, number, 30, order).collect()]
+        assert got == want[(number - 1) * 30 : number * 30], number
