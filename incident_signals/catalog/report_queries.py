@@ -9,6 +9,8 @@ from incident_signals.catalog.density_queries import DENSITY_SELECT, SITE_TABLE_
 from incident_signals.catalog.registry import query
 from incident_signals.operators import density as d
 from incident_signals.operators import reports as r
+from incident_signals.session import new_path
+from incident_signals.sources import reports as source
 from incident_signals.operators import summary as s
 
 REPORT = "report_id, CAST(date AS VARCHAR) AS date, site, location, report_type, sif_prediction, sif_probability"
@@ -82,6 +84,31 @@ def filtered(spark, sf):
     return _shown(r.most_probable_first(chosen))
 
 
+def _layout(spark, sf):
+    path = new_path(spark, "report-layout")
+    source.write_report_layout(reports(spark, sf, truth=True), path)
+    return path
+
+
+@query(
+    "r2_lookup_in_layout",
+    with_sql(REPORTS_SQL) + f"SELECT {REPORT} FROM reports WHERE report_id = 77",
+)
+def lookup_in_layout(spark, sf):
+    return _shown(r.report_by_id(source.read_report_layout(spark, _layout(spark, sf)), 77))
+
+
+@query(
+    "r3_filter_in_layout",
+    with_sql(REPORTS_SQL)
+    + f"SELECT {REPORT} FROM reports WHERE site IN ('NATION_3', 'NATION_9') AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'",
+)
+def filter_in_layout(spark, sf):
+    """Two sites in two years: only those years' folders are read."""
+    found = source.read_report_layout(spark, _layout(spark, sf), [1996, 1997])
+    return _shown(r.select_reports(found, ["NATION_3", "NATION_9"]))
+
+
 @query(
     "r4_filter_choices",
     with_sql(REPORTS_SQL)

@@ -108,6 +108,32 @@ def write_enriched(df: DataFrame, path: str, file_format: str = "parquet") -> No
         df.write.parquet(path)
 
 
+# Bytes of a row group of the report table: what a lookup reads at least.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
+def write_report_layout(df: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Report table that lookups and filters read in part.
+
+    One folder per year of ``date`` (rows without a date have their own), in it
+    rows in order of site and report id, range by range, so that a site's rows
+    lie together and statistics of row groups skip other sites.  A bloom filter
+    on ``report_id`` lets a lookup skip row groups whatever order they are in.
+    """
+    placed = df.withColumn("period", F.year(F.col("date").cast("date")))
+    order = ["period", "site", "report_id"]
+    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.write.partitionBy("period").option("parquet.block.size", str(row_group_bytes)).option(
+        "parquet.bloom.filter.enabled#report_id", "true"
+    ).parquet(path)
+
+
+def read_report_layout(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
+    """The table written above, of some years or of all; other years' files are not opened."""
+    found = spark.read.parquet(path)
+    return found.where(F.col("period").isin(years)) if years else found
+
+
 def export_reports_csv(df: DataFrame, path: str) -> None:
     """Reports without truth columns."""
     write_enriched(without_truth(df), path, "csv")

@@ -436,3 +436,34 @@ def test_pages_of_a_narrowed_range(spark, monkeypatch, order, rows_in_range):
     for number in (1, 2, 7, 13, 18, 19):
         got = [tuple(r) for r in reports.page(df, number, 30, order).collect()]
         assert got == want[(number - 1) * 30 : number * 30], number
+
+
+def _rows_scanned(df):
+    """(rows that came out of the scan, files it opened) of a query that is run here."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    scan = plan.collectLeaves().head()
+    metrics = {m._1(): m._2().value() for m in (scan.metrics().toSeq().apply(i) for i in range(scan.metrics().size()))}
+    return metrics["numOutputRows"], metrics["numFiles"]
+
+
+def test_layout_skips_years_sites_and_row_groups(spark):
+    rows = spark.range(40_000).select(
+        F.col("id").alias("report_id"), F.concat(F.lit("S"), F.col("id") % 40).alias("site"),
+        F.when(F.col("id") % 400 > 0, F.expr("date_add(date'2020-01-01', cast(id % 4 as int) * 366)")).alias("date"), F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    path = new_path(spark, "layout")
+    source.write_report_layout(rows, path, row_group_bytes=64 * 1024)
+    table = source.read_report_layout(spark, path)
+    assert table.count() == 40_000 and table.where("period IS NULL").count() == 100
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found, every = _rows_scanned(table.where("report_id = 12345"))
+        assert found < 4_000
+        assert table.where("report_id = 12345").count() == 1
+        some, files = _rows_scanned(table.where("site = 'S7'"))
+        assert some < 20_000 and table.where("site = 'S7'").count() == 1_000
+        _, files = _rows_scanned(source.read_report_layout(spark, path, [2021]))
+        assert files < every
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
