@@ -5,6 +5,12 @@ In blocks of one source and similar sizes, two documents at a time pass their
 fractions to one another until one of them is whole; the one left over in each
 block goes up a reduction tree, where the same is done again, until a source
 has a single one left.
+
+Sizes of sources, their targets and the numbers of their blocks are tables, so
+neither the driver nor a broadcast grows with the number of sources.  Copies of
+a source add up to the expected number but for the last document.  Its words
+follow as closely as the sizes of documents that trade are equal: neighbours in
+order of size trade, so a source's words are off by about its largest document.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from pyspark.sql import functions as F
 
 from incident_signals.llm.components import settled
 from incident_signals.llm.text import plain_word_count
+from incident_signals.operators.numbering import numbered
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -22,7 +29,6 @@ MOST_COPIES = 2.0
 # Documents of a block, and left-over documents of a tree node, at most.
 BLOCK_ROWS = 5_000
 FAN = 64
-MAX_SOURCES = 10_000
 _NEAR = 1e-9
 _ALL = (1 << 64) - 1
 
@@ -46,6 +52,33 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOS
     return out
 
 
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
+    """The same for a table ``source, source_size``: adds ``target``.
+
+    Sources are numbered by range in code-point order, null last.  The share of
+    a unit of weight only rises as sources reach their most, so each round is one
+    sum over the sources that are full at the unit of the round before.
+    """
+    named = numbered(sizes.where(F.col("source").isNotNull()), ["source"], "_n")
+    known = named.count()
+    both = named.unionByName(sizes.where(F.col("source").isNull()).withColumn("_n", F.lit(known).cast("long")))
+    weight = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = settled(both.withColumn("_weight", F.get(weight, F.pmod("_n", F.lit(len(weights))).cast("int"))), "mix-sources")
+    limit, size = most * F.col("source_size"), F.col("source_size")
+    unit, full = 0.0, -1
+    while True:
+        over = F.col("_weight") * unit > limit
+        row = ranked.agg(
+            F.sum(size).alias("all"), F.count_if(over).alias("full"), F.sum(F.when(over, limit)).alias("taken"),
+            F.sum(F.when(~over, F.col("_weight"))).alias("weight"),
+        ).first()
+        if row["full"] == full or not row["weight"]:
+            break
+        full, unit = row["full"], max(share * row["all"] - (row["taken"] or 0.0), 0.0) / row["weight"]
+    target = F.least(F.col("_weight") * unit, limit) if row["weight"] else limit
+    return ranked.select("source", "source_size", target.cast("double").alias("target"))
+
+
 def _chance(a: int, b: int) -> float:
     """A number from 0 to 1 that two row hashes fix."""
     x = (a * 0x9E3779B97F4A7C15 + (b ^ 0xD6E8FEB86659FD93) * 0xBF58476D1CE4E5B9) & _ALL
@@ -98,41 +131,31 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     copies of a document are its source's target over its source's size; a
     document gets the whole number below or above.  Rows of size 0 take part and
     take nothing.  The draw depends on keys and sizes only, so reruns agree; rows
-    that repeat another draw by themselves.  More than ``MAX_SOURCES`` sources
-    are refused.  No rows in, no rows out.
+    that repeat another draw by themselves.  No rows in, no rows out.
     """
-    spark = rows.sparkSession
     level = F.floor(4 * F.log2(F.col("size") + 1)).cast("int")
     rows = rows.select("key", "source", "size", level.alias("level"))
-    counted = rows.groupBy("source", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    if counted.select("source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    cells = sorted(counted.collect(), key=lambda r: (r.source is None, r.source or "", r.level))
-    sizes: dict[str | None, int] = {}
-    for r in cells:
-        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
-    wanted = targets(sizes, weights, share, most)
-    # blocks from the largest documents down: small levels share one, large ones are dealt by hash over several
-    nodes: dict[str | None, int] = {}
-    room: dict[str | None, int] = {}
-    listed = []
-    for r in reversed(cells):
-        copies = wanted[r.source] / sizes[r.source] if sizes[r.source] else 0.0
-        whole = int(copies + _NEAR)
-        if r.n <= room.get(r.source, 0):
-            first, blocks = nodes[r.source] - 1, 1
-            room[r.source] -= r.n
-        else:
-            first, blocks = nodes.get(r.source, 0), -(-r.n // BLOCK_ROWS)
-            nodes[r.source] = first + blocks
-            room[r.source] = BLOCK_ROWS - r.n if blocks == 1 else 0
-        listed.append((r.source, r.level, first, blocks, whole, max(0.0, copies - whole), sizes[r.source], wanted[r.source]))
-    cell = spark.createDataFrame(
-        listed, "_source string, _level int, first int, blocks int, whole int, fraction double, source_size long, target double"
+    cells = settled(rows.groupBy("source", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "mix-cells")
+    wanted = source_targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    # blocks from the largest documents down; a cell's documents are dealt by hash over the blocks that it reaches into
+    down = Window.partitionBy("source").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(down), F.lit(0))
+    first, last = F.floor(F.col("before") / BLOCK_ROWS), F.floor((F.col("before") + F.col("n") - 1) / BLOCK_ROWS)
+    placed = cells.withColumn("before", before).select(
+        F.col("source").alias("_source"), F.col("level").alias("_level"), first.alias("first"), (last - first + 1).alias("blocks")
+    )
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(expected + _NEAR)
+    numbers = wanted.select(
+        F.col("source").alias("_name"), "source_size", "target", whole.cast("int").alias("whole"),
+        F.greatest(F.lit(0.0), expected - whole).alias("fraction"),
+    )
+    cell = settled(
+        placed.join(numbers, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name"), "mix-blocks"
     )
-    # as many rows as sources times size levels: bounded by MAX_SOURCES
+    height = cell.agg(F.coalesce(F.max(F.col("first") + F.col("blocks")), F.lit(0)).alias("h")).first()["h"]
     spread = rows.withColumn("mark", F.xxhash64("key", "size", F.lit(7))).join(
-        F.broadcast(cell), F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level"))
+        cell, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level"))
     )
     current = spread.select(
         "key", "source", "size", "mark", (F.col("first") + F.pmod(F.xxhash64("mark"), F.col("blocks"))).cast("int").alias("node"),
@@ -141,7 +164,6 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     done = settled(_rounded(current, ["source", "node"]), "mix")
     decided, current = [done.where(~open_)], done.where(open_)
-    height = max(nodes.values(), default=0)
     while height > 1:
         # a parent takes the left-over documents of 64 neighbouring nodes
         raised = current.withColumn("parent", F.floor(F.col("node") / FAN).cast("int"))
@@ -169,12 +191,21 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     apart by source, size and a hash of the text; full repeats are interchangeable.
     """
     marked = docs.withColumn("_size", plain_word_count(F.col(f"`{text}`"))).withColumn("_hash", F.xxhash64(F.col(f"`{text}`")))
-    one_key = Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{source}`"), "_size", "_hash")
-    marked = marked.withColumn("_nth", F.row_number().over(one_key))
+    # null keys too are dealt by what else tells rows apart
+    alike = [F.col(f"`{key}`"), F.col(f"`{source}`"), F.col("_size"), F.col("_hash")]
+    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
     rows = marked.select(
-        F.struct(F.col(f"`{key}`").alias("id"), F.col("_nth").alias("nth")).alias("key"),
+        F.struct(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), F.col("_size").alias("size"),
+                 F.col("_hash").alias("hash"), F.col("_nth").alias("nth")).alias("key"),
         F.col(f"`{source}`").cast("string").alias("source"), F.col("_size").alias("size"),
     )
-    taken = plan(rows, **options).where("copies > 0").select(F.col("key.id").alias("_id"), F.col("key.nth").alias("_at"), "copies")
-    joined = marked.join(taken.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_at")))
+    taken = plan(rows, **options).where("copies > 0").select(
+        F.col("key.id").alias("_id"), F.col("key.source").alias("_from"), F.col("key.size").alias("_words"), F.col("key.hash").alias("_of"),
+        F.col("key.nth").alias("_at"), "copies",
+    )
+    same = (
+        F.col(f"`{key}`").eqNullSafe(F.col("_id")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_from"))
+        & (F.col("_size") == F.col("_words")) & (F.col("_hash") == F.col("_of")) & (F.col("_nth") == F.col("_at"))
+    )
+    joined = marked.join(taken.hint("merge"), same)
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

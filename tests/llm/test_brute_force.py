@@ -188,3 +188,28 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tables):
             for r in kept.select("shard", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect():
                 total[r.shard] += r.n + 1
             assert len(total) == 8 and max(total.values()) - min(total.values()) <= 2 * max(len((t or "").encode()) + 1 for _, t, _ in old)
+
+
+@pytest.mark.parametrize("sizes", [
+    {}, {None: 7}, {"a": 0}, {"a": 10, "b": 10, None: 10}, {"a": 1, "b": 1_000, "c": 2, "ä": 30, "z": 0, None: 5},
+    {f"s{i:03}": (i * 7919) % 1_000 for i in range(200)},
+])
+def test_targets_of_a_table_of_sources(spark, sizes):
+    from incident_signals.llm import mixing
+
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(table).collect()}
+    assert got == pytest.approx({s: float(v) for s, v in wanted_words(sizes).items()})
+
+
+def test_mixture_of_very_many_sources(spark):
+    """More sources than any driver-side list would want, each of a few documents."""
+    from incident_signals.llm import mixing
+
+    rows = spark.range(60_000).select(
+        F.col("id").alias("key"), F.concat(F.lit("host"), F.col("id") % 20_000).alias("source"), (F.col("id") % 50 + 1).alias("size")
+    )
+    out = mixing.plan(rows)
+    assert out.count() == 60_000 and out.where("taken > 2 * size OR taken % size <> 0").count() == 0
+    total, wanted = out.agg(F.sum("taken"), F.sum(F.col("target") * F.col("size") / F.col("source_size"))).first()
+    assert abs(total - wanted) < 0.02 * wanted
