@@ -221,7 +221,7 @@ def inference_errors(spark, sf):
 def comparison(spark, sf):
     results = []
     for mode, features in (("tfidf", ft.TfidfFeatures()), ("embedding", ft.EmbeddingFeatures(ft.HashingEmbedder()))):
-        _, sif, _, vectors = fitted_models(spark, sf, features)
+        _, sif, _, vectors = fitted_models(spark, sf, features, with_rules=mode == "tfidf")
         for split in ("validation", "test"):
             scored = sif.predict(vectors.where(F.col("split") == split))
             results.append((mode, split, q.binary_metrics(scored, "sif_label", "sif_probability", sif.threshold)))
