@@ -23,11 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incident_signals.llm.components import settled
 from incident_signals.session import new_path
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
@@ -138,12 +137,17 @@ def kept(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.where(F.coalesce(whole, F.lit(False)) & (F.size(vector) > 0) & (F.size(vector) % PARTS == 0))
 
 
-def _removed(df: DataFrame) -> None:
-    """Deletes the files of a table of a round that a later one has taken over from."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder and read again, and where they are."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Deletes the table of a round that a later one has taken over from."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _BLOCK = [
@@ -243,13 +247,13 @@ def compress(
         return spark.createDataFrame([], out), Codebooks([np.zeros((PARTS, 0, size // PARTS), np.int64)])
     start = _integers(pa.array(seeds, pa.list_(pa.float64())), size).transpose(1, 0, 2)
     history = [np.ascontiguousarray(start)]
-    blocks = settled(_first_blocks(rows, history, size), "vector-blocks")
+    blocks, path = _written(_first_blocks(rows, history, size), "vector-blocks")
     for t in range(ROUNDS):
         history = [*history, _improved(blocks, history[-1])]
         if t + 1 < ROUNDS:
-            later = settled(_next_blocks(blocks, history, size), "vector-blocks")
-            _removed(blocks)
-            blocks = later
+            blocks, later = _written(_next_blocks(blocks, history, size), "vector-blocks")
+            _removed(spark, path)
+            path = later
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +270,8 @@ def compress(
                     names=names,
                 )
 
-    coded = settled(blocks.mapInArrow(run, out), "vector-codes")
-    _removed(blocks)
+    coded, _ = _written(blocks.mapInArrow(run, out), "vector-codes")
+    _removed(spark, path)
     return coded, Codebooks(history)
 
 

@@ -101,7 +101,12 @@ def test_later_rounds_are_settled_by_bounds(spark):
     seen = []
     original = vector_codes._removed
     try:
-        vector_codes._removed = lambda df: (seen.append(df.select(F.posexplode("settled")).groupBy("pos").agg(F.sum("col")).collect()), original(df))
+        def counted(session, path):
+            settled = session.read.parquet(path).select(F.posexplode("settled"))
+            seen.append(settled.groupBy("pos").agg(F.sum("col")).collect())
+            original(session, path)
+
+        vector_codes._removed = counted
         vector_codes.compress(spark.createDataFrame(rows, SCHEMA))[0].collect()
     finally:
         vector_codes._removed = original
