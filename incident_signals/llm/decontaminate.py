@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incident_signals.llm import hashing
+from incident_signals.llm.components import settled
 from incident_signals.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -170,12 +171,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     strings).  Null and empty texts have no words and no spans.  Benchmark rows
     with a null id or text are left out; repeated ids count once.  Rows are kept
     as they are, repeated ones too; columns with the new names are replaced.
-    A benchmark of more than ``BLOCK_BYTES`` is searched in several passes.
+    A benchmark of more than ``BLOCK_BYTES`` is searched in several passes, each
+    written to the shared folder for the next.
     """
     names = [name for name, _ in _FOUND]
     kept = [c for c in docs.columns if c not in names]
     out = docs.select(*[F.col(f"`{c}`") for c in kept])
     for number, block in enumerate(_blocks(benchmark)):
+        if number:
+            # each pass is written before the next, so plan and driver hold the phrases of one block
+            out = settled(out, "contamination")
         phrases = Phrases(block)
         fields = out.schema.fields if number else out.schema.fields + [T.StructField(n, t) for n, t in _FOUND]
         passed = [f.name for f in fields if f.name not in names]
