@@ -363,8 +363,8 @@ def brute_nearest(df, k, exclude=False):
     return out
 
 
-@pytest.mark.parametrize("limit", [1000, 10])
-def test_nearest_in_both_ways(spark, limit, monkeypatch):
+@pytest.mark.parametrize("limit", [1_000_000, 20_000])
+def test_nearest_in_one_or_several_batches(spark, limit, monkeypatch):
     monkeypatch.setattr(similarity, "_COLUMNS", 7)
     df = vectors(spark)
     asked = df.select(F.col("vector_id").alias("query_id"), "embedding", F.col("report_id").alias("exclude_id"))
