@@ -37,6 +37,8 @@ def _narrowed(df: DataFrame, names: list[str], start: int, most: int) -> tuple[D
     Each step reads one column: a sample for splitters, then the rows of each
     range between them.  A value that fills a range goes on by the next column.
     """
+    if df.count() <= RANGE_ROWS:
+        return df, start
     for name in names:
         column = F.col(f"`{name}`")
         while True:
