@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from incident_signals.llm import hashing
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 # Bytes of text that one task explodes at once.
 BLOCK_BYTES = 8 << 20
