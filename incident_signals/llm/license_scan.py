@@ -9,28 +9,20 @@ All of it happens inside a row: no text and no signature is shuffled.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from incident_signals.llm import license_texts
 from incident_signals.llm.text import ascii_lower
 
 SHINGLE = 5
 CONTAINED = 0.8
 GUARANTEE = 0.999
 WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
-# Short notices by license; fixed values, compared as lower-case words.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-]
+TEMPLATES = license_texts.NOTICES + license_texts.HEADERS + license_texts.WHOLE
 
 
 def word_list(text: Column) -> Column:
@@ -86,8 +78,13 @@ def _masks(n: int) -> list[int]:
     return out
 
 
-def _least(hashes: Column, mask: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
+def _least(hashes: Column, mask: Column) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(mask)))
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    """An array of whole numbers that the optimizer folds to one value, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
@@ -141,6 +138,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
         )
 
         def of_size(at: Column, size: int, keys: list[list[int]]) -> Column:
+            bands = F.array(*[
+                F.struct(F.lit(mask).cast("long").alias("mask"), _numbers(at_k).alias("keys")) for mask, at_k in zip(masks, keys)
+            ])
             starts = (
                 at if size == 1
                 else F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(
@@ -149,9 +149,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
             )
             met = F.filter(starts, lambda i: _let(
                 F.slice(hashes, i + 1, 1 if size == 1 else 2 * size),
-                lambda inside: functools.reduce(
-                    lambda x, y: x | y, [_least(inside, masks[k]).isin(at_k) for k, at_k in enumerate(keys)]
-                ),
+                lambda inside: F.exists(bands, lambda band: F.array_contains(band["keys"], _least(inside, band["mask"]))),
             ))
             return F.transform(met, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
 
@@ -165,27 +163,32 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
         F.size("_windows") > 0
     )
 
-    def match(name: str, own: list[int]) -> Column:
+    # one value in the plan, whatever the number of templates
+    given = F.array(*[
+        F.struct(
+            F.lit(name).alias("license"), F.lit(len(own)).alias("whole"), F.lit(least_shared(len(own))).alias("least"),
+            F.lit(sizes[name]).alias("size"), F.lit(1 if sizes[name] == 1 else 2 * sizes[name]).alias("window"),
+            _numbers(own).alias("own"),
+        )
+        for name, own in listed
+    ])
+
+    def match(template: Column) -> Column:
         """Most of the template's shingles in one window, and the first window that has them."""
-        size = sizes[name]
         shared = F.transform(
-            F.filter("_windows", lambda w: w["size"] == size),
+            F.filter("_windows", lambda w: w["size"] == template["size"]),
             lambda w: F.struct(
-                F.size(F.array_intersect(
-                    F.slice("_hashes", w["at"] + 1, 1 if size == 1 else 2 * size), F.array(*[F.lit(h) for h in own])
-                )).alias("shared"),
+                F.size(F.array_intersect(F.slice("_hashes", w["at"] + 1, template["window"]), template["own"])).alias("shared"),
                 (-w["at"]).alias("back"),
             ),
         )
-        return F.transform(F.array(F.array_max(shared)), lambda best: F.struct(
-            F.lit(name).alias("license"), F.lit(len(own)).alias("template_shingles"),
-            best["shared"].alias("shared_shingles"), (-best["back"]).alias("first_word"),
+        return _let(F.array_max(shared), lambda best: F.struct(
+            template["license"].alias("license"), template["whole"].alias("template_shingles"),
+            best["shared"].alias("shared_shingles"), (-best["back"]).alias("first_word"), template["least"].alias("least"),
         ))
 
-    matches = placed.select("_row", F.explode(F.flatten(F.array(*[match(name, own) for name, own in listed]))).alias("_match"))
-    least = dict((len(own), least_shared(len(own))) for _, own in listed)
-    needed = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
+    matches = placed.select("_row", F.explode(F.transform(given, match)).alias("_match"))
     return (
-        matches.where(F.col("_match.shared_shingles") >= F.element_at(needed, F.col("_match.template_shingles")))
-        .select(*[F.col("_row").getField(c).alias(c) for c in kept], "_match.*")
+        matches.where("_match.shared_shingles >= _match.least")
+        .select(*[F.col("_row").getField(c).alias(c) for c in kept], *[F.col("_match").getField(c).alias(c) for c in new])
     )

@@ -62,7 +62,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_check() -> str:
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES)
     words = "list_filter(regexp_split_to_array({}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
     gram = "array_to_string(words[i : i + 4], ' ')"
     return f"""
@@ -225,23 +225,32 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH texts AS (
       SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
     ), tokens AS (
-      SELECT doc_id, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v
+      SELECT doc_id, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, CASE WHEN i > 2 THEN words[i - 2] END AS u
       FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM texts)
     ), own1 AS (SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY ALL
     ), own2 AS (SELECT doc_id, v, w, count(*) AS n FROM tokens WHERE v IS NOT NULL GROUP BY ALL
+    ), own3 AS (SELECT doc_id, u, v, w, count(*) AS n FROM tokens WHERE u IS NOT NULL GROUP BY ALL
     ), all1 AS (SELECT w, sum(n) AS n FROM own1 GROUP BY ALL
     ), all2 AS (SELECT v, w, sum(n) AS n FROM own2 GROUP BY ALL
+    ), all3 AS (SELECT u, v, w, sum(n) AS n FROM own3 GROUP BY ALL
+    ), other1 AS (SELECT doc_id, w, a.n - o.n AS n FROM own1 o JOIN all1 a USING (w)
+    ), other2 AS (SELECT doc_id, v, w, a.n - o.n AS n FROM own2 o JOIN all2 a USING (v, w)
+    ), other3 AS (SELECT doc_id, u, v, w, a.n - o.n AS n FROM own3 o JOIN all3 a USING (u, v, w)
     ), lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY ALL
-    ), scored AS (
-      SELECT t.doc_id, a2.n - o2.n AS pair, ac.n - oc.n AS context,
-             greatest(a1.n - o1.n, 1) / greatest((SELECT count(*) FROM tokens) - l.n, 1) AS word, t.v
+    ), counts AS (
+      SELECT t.doc_id, t.u, t.v, g3.n AS triple, c2.n AS triple_context, g2.n AS pair, c1.n AS pair_context,
+             greatest(g1.n, 1) / greatest((SELECT count(*) FROM tokens) - l.n, 1) AS word
       FROM tokens t JOIN lengths l USING (doc_id)
-      JOIN all1 a1 ON a1.w = t.w JOIN own1 o1 ON o1.doc_id = t.doc_id AND o1.w = t.w
-      LEFT JOIN all1 ac ON ac.w = t.v LEFT JOIN own1 oc ON oc.doc_id = t.doc_id AND oc.w = t.v
-      LEFT JOIN all2 a2 ON a2.v = t.v AND a2.w = t.w LEFT JOIN own2 o2 ON o2.doc_id = t.doc_id AND o2.v = t.v AND o2.w = t.w
+      JOIN other1 g1 ON g1.doc_id = t.doc_id AND g1.w = t.w
+      LEFT JOIN other1 c1 ON c1.doc_id = t.doc_id AND c1.w = t.v
+      LEFT JOIN other2 g2 ON g2.doc_id = t.doc_id AND g2.v = t.v AND g2.w = t.w
+      LEFT JOIN other2 c2 ON c2.doc_id = t.doc_id AND c2.v = t.u AND c2.w = t.v
+      LEFT JOIN other3 g3 ON g3.doc_id = t.doc_id AND g3.u = t.u AND g3.v = t.v AND g3.w = t.w
+    ), scored AS (
+      SELECT *, CASE WHEN pair > 0 THEN pair / pair_context WHEN v IS NULL THEN word ELSE 0.4 * word END AS by_pair FROM counts
     )
     SELECT doc_id, count(*) AS n_words,
-           round(avg(ln(CASE WHEN pair > 0 THEN pair / context WHEN v IS NULL THEN word ELSE 0.4 * word END)), 6) AS log_score
+           round(avg(ln(CASE WHEN triple > 0 THEN triple / triple_context WHEN u IS NULL THEN by_pair ELSE 0.4 * by_pair END)), 6) AS log_score
     FROM scored GROUP BY doc_id
     """,
 )

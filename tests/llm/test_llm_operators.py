@@ -17,6 +17,7 @@ from incident_signals.llm import (
     gam,
     hashing,
     license_scan,
+    license_texts,
     lsh_forest,
     mixing,
     near_dedup,
@@ -95,6 +96,33 @@ def test_license_scan_finds_whole_and_nearly_whole_notices(spark, docs):
     assert license_scan.scan(docs(rows), templates=[]).count() == 0
 
 
+def test_license_scan_finds_whole_licenses_and_long_templates(spark, docs):
+    """Texts of hundreds of words, whole and with a tenth of their words changed, and a template of 1,500 words."""
+    long = " ".join(f"clause{i} of part{i % 7}" for i in range(500))
+    templates = [*license_scan.TEMPLATES, ("long", long)]
+    whole = [*license_texts.WHOLE, *license_texts.HEADERS, ("long", long)]
+    filler = " ".join(f"word{i}" for i in range(700))
+    rows, expected = [], set()
+    for i, (name, text) in enumerate(whole):
+        words = text.split()
+        changed = words[:]
+        changed[len(words) // 2] = "elsewhere"
+        half = words[: len(words) // 2]
+        rows += [(3 * i, f"{filler} {text} {filler}"), (3 * i + 1, " ".join(changed)), (3 * i + 2, " ".join(half))]
+        expected |= {(3 * i, name), (3 * i + 1, name)}
+    found = {(r.doc_id, r.license) for r in license_scan.scan(docs(rows), templates=templates).collect()}
+    names = {name for name, _ in whole}
+    assert {at for at in found if at[1] in names} == expected
+    assert {(i, "mit-grant") for i in (0, 1, 2)} <= found
+
+
+def test_license_scan_plan_does_not_grow_with_templates(spark, docs):
+    """Hundreds of templates stay a few values of the plan."""
+    many = [(f"t{i}", " ".join(f"w{i}x{j}" for j in range(40))) for i in range(300)]
+    rows = docs([(1, many[7][1]), (2, f"a b {many[299][1]} c"), (3, "a b c d e")])
+    assert {(r.doc_id, r.license) for r in license_scan.scan(rows, templates=many).collect()} == {(1, "t7"), (2, "t299")}
+
+
 def test_license_scan_stays_native(spark, docs):
     plan = license_scan.scan(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
