@@ -24,7 +24,7 @@ from incident_signals.llm import hashing
 ORDER = 3
 BACKOFF = 0.4
 # Bytes of text that one task explodes at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 # Count tables: so many, and one more for so many blocks.
 TABLES, BLOCKS_PER_TABLE = 64, 4
 # Stands for any word: its count is the number of words.
