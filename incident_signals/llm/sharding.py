@@ -34,10 +34,13 @@ def text_crc32(text: str = "text"):
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` and ``grown_shard`` (null) to every row.
 
-    Shards are runs of the rows in key order (null keys first; equal keys by a
-    hash of the row's size and text), cut where the bytes so far pass equal
-    parts of the total: no shard is off by more than one row's size.  Slots count
-    from 0 without gaps inside a shard.  Rows that repeat another are placed one
+    Shards are runs of one order of the rows, cut where the bytes so far pass
+    equal parts of the total: no shard is off by more than one row's size.  The
+    order is that of key ranges (null keys first; equal keys by a hash of the
+    row's size and text); inside a range it is by key, or, in an overfull one, by
+    hash part and then by key.  Rows equal in key, size and text share a part.
+    Keys are whole numbers, or text that spells them; other keys end in an error.
+    Slots count from 0 without gaps inside a shard.  Rows that repeat another are placed one
     by one; null and empty texts have size 1; no rows in, no rows out.  Columns
     with the new names are replaced.
     """
