@@ -64,16 +64,26 @@ ENDINGS = [
 ]
 
 
-# Schemas already read from file footers, and enriched tables already written by this application.
-_SCHEMAS: dict[str, T.StructType] = {}
-_ENRICHED: dict[tuple[str, str], str] = {}
+# Schemas already read from file footers, and enriched tables already written by this application,
+# by the files they were made of.
+_SCHEMAS: dict[tuple, T.StructType] = {}
+_ENRICHED: dict[tuple, str] = {}
+SOURCES = ["orders", "customer", "nation", "region", "lineitem", "part", "supplier"]
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files; a rewritten table has another stamp."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table; its footer is read for the schema only the first time."""
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """Parquet table; its footer is read for the schema only once per version of its files."""
+    key = (path, _stamp(spark, path))
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,10 +166,10 @@ def derive_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched report table at rest, which all analytics read.
 
-    Written once per application to the shared folder; a reader scans only the
-    columns it uses.
+    Written to the shared folder once per application and version of the source
+    tables; a reader scans only the columns it uses.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *(_stamp(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES))
     if key not in _ENRICHED:
         path = new_path(spark, "enriched-reports")
         derive_enriched(spark, sf_dir).write.parquet(path)

@@ -57,13 +57,15 @@ def fold_to_ascii(text: Column) -> Column:
     """Accents removed, compatibility forms spelled out, other non-ASCII characters dropped."""
     sources, targets, longer = _ascii_folding()
     entries = F.create_map(*[F.lit(part) for item in longer.items() for part in item])
+    long_class = _ranges(list(longer))
 
     def spell(value: Column) -> Column:
-        chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-        return F.array_join(F.transform(chars, lambda char: F.coalesce(F.try_element_at(entries, char), char)), "")
+        # one lookup and one replacement per distinct character of this kind; results are ASCII, so order is free
+        found = F.array_distinct(F.regexp_extract_all(value, F.lit(long_class), F.lit(0)))
+        return F.aggregate(found, value, lambda spelled, char: F.replace(spelled, char, F.try_element_at(entries, char)))
 
     foreign = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    spelled = F.when(foreign.rlike(_ranges(list(longer))), spell(text)).otherwise(text)
+    spelled = F.when(foreign.rlike(long_class), spell(text)).otherwise(text)
     single = F.regexp_replace(F.translate(spelled, sources, targets), r"[^\x00-\x7F]+", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), single).otherwise(text)
 

@@ -66,6 +66,7 @@ def test_ascii_folding_follows_unicode(spark):
     chars = [chr(c) for c in list(range(0xA0, 0x250)) + list(range(0x2000, 0x2200)) + list(range(0xFB00, 0xFB07))]
     expected = [unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in chars]
     assert results(col(spark, chars), text.fold_to_ascii(F.col("v"))) == expected
+    assert results(col(spark, ["".join(chars * 3)]), text.fold_to_ascii(F.col("v"))) == ["".join(expected * 3)]
 
 
 def test_clauses_titles_excerpts(spark):
@@ -158,6 +159,36 @@ def test_profile_lists(spark):
     assert profiles.consequence_profile(df) is None
 
 
+def test_shared_profiles_equal_the_single_ones(spark):
+    df = enriched(spark, 30).withColumn("predicted_potential_consequences", F.col("predicted_hazards"))
+    shared = profiles.all_profiles(df)
+    single = {
+        "site_analytics": profiles.site_profile(df), "activity_analytics": profiles.activity_profile(df),
+        "lsr_analytics": profiles.rule_profile(df), "hazard_analytics": profiles.hazard_profile(df),
+        "barrier_analytics": profiles.barrier_profile(df), "consequence_analytics": profiles.consequence_profile(df),
+    }
+    assert list(shared) == list(single)
+    for name, expected in single.items():
+        assert shared[name].columns == expected.columns
+        assert sorted(map(str, shared[name].collect())) == sorted(map(str, expected.collect()))
+    assert "consequence_analytics" not in profiles.all_profiles(enriched(spark, 3))
+    twice = profiles.all_profiles(df.unionByName(df), unique_ids=False)["hazard_analytics"]
+    assert sorted(map(str, twice.collect())) == sorted(map(str, single["hazard_analytics"].collect()))
+    counts = profiles.shared_pair_counts(df, {"site": ["predicted_hazards", "predicted_lsr"], "predicted_hazards": ["site"]})
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Union" not in plan
+
+
+def test_rewritten_tables_are_read_anew(spark, tmp_path):
+    from incident_signals.catalog.adapter import read_table
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    assert read_table(spark, path).columns == ["id"]
+    spark.range(5).selectExpr("id", "id AS more").write.mode("overwrite").parquet(path)
+    assert read_table(spark, path).columns == ["id", "more"] and read_table(spark, path).count() == 5
+
+
 def test_summary_of_nothing_and_missing_columns(spark):
     row = summary.overall_summary(enriched(spark, 3).limit(0)).first()
     assert row["total_reports"] == 0 and row["highest_volume_site"] is None and row["overall_sif_density"] == 0.0
