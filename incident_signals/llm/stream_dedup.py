@@ -37,6 +37,12 @@ def mark(text: Column) -> Column:
     return F.xxhash64(normalized(text))
 
 
+def _pattern(path: str) -> str:
+    """The path as a pattern, which a stream also takes for one file; paths that Spark reads as patterns are left alone."""
+    path = path.rstrip("/")
+    return path if set(path) & set("{}[]*?\\") else f"{path[:-1]}[{path[-1]}]"
+
+
 def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key: str, text: str,
                bytes_per_batch: int = BYTES_PER_BATCH) -> None:
     """Reads what is new at ``path`` and adds the changed state entries to ``out_dir``.
@@ -45,7 +51,6 @@ def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key
     go on where the last run ended.  A batch writes its own folder anew, so a
     repeated batch changes nothing.
     """
-    path = path.rstrip("/")
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
@@ -56,7 +61,7 @@ def run_stream(spark: SparkSession, path: str, state_dir: str, out_dir: str, key
     rows = (
         session.readStream.schema(spark.read.parquet(path).schema)
         .option("maxBytesPerTrigger", bytes_per_batch)
-        .parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, for the table may be one file
+        .parquet(_pattern(path))
         .select(
             digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{key}`").cast("long").alias("id"),
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
@@ -96,7 +101,8 @@ def deduplicate(spark: SparkSession, path: str, key: str = "doc_id", text: str =
     repeat the kept key with the same text are all ``kept``.  An empty table
     gives no rows; columns other than the two named are not read.
     ``state_dir`` must be a folder that all executors see; without one a new
-    folder below ``spark.checkpoint.dir`` is taken.
+    folder below ``spark.checkpoint.dir`` is taken.  ``path`` is read as Spark's
+    own readers do: brackets, braces and stars in it are a pattern unless escaped.
     """
     folder = state_dir or new_path(spark, "dedup")
     run_stream(spark, path, f"{folder}/state", f"{folder}/seen", key, text, bytes_per_batch)

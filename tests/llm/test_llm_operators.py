@@ -248,6 +248,13 @@ def test_streaming_dedup_like_brute_force_and_goes_on(spark, docs, tmp_path):
     assert got(stream_dedup.deduplicate(spark, path, state_dir=state)) == expected(rows + more)
 
 
+@pytest.mark.parametrize("pattern", ["part?1?/d", r"part\[1\]/d", "*/d"])
+def test_streaming_dedup_of_a_path_pattern(spark, docs, tmp_path, pattern):
+    docs([(1, "Same"), (2, "same"), (3, "other")]).write.parquet(f"{tmp_path}/part[1]/d")
+    found = stream_dedup.deduplicate(spark, f"{tmp_path}/{pattern}").collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+
+
 def test_streaming_dedup_of_nothing(spark, docs, tmp_path):
     docs([(1, "a")]).limit(0).write.parquet(f"{tmp_path}/d")
     assert stream_dedup.deduplicate(spark, f"{tmp_path}/d").count() == 0
