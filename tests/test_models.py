@@ -189,6 +189,30 @@ def test_itemsets_against_counting(spark):
                      ("activity=a", "hazards=x"): 2}
 
 
+def test_itemset_levels_and_rules_against_every_combination(spark):
+    import itertools
+    from collections import Counter
+
+    from incident_signals.models.itemsets import association_rules
+
+    rows = [([v for j, v in enumerate("abcdef") if (i * 7 + j * j) % (j + 3) < 2] or None, ["x"] if i % 3 else []) for i in range(200)]
+    df = spark.createDataFrame(rows, "predicted_activity array<string>, predicted_hazards array<string>").repartition(3)
+    held = [sorted([f"activity={v}" for v in a or []] + [f"hazards={v}" for v in h]) for a, h in rows]
+    counts = Counter(s for items in held for k in range(1, 8) for s in itertools.combinations(items, k))
+    wanted = {s: n for s, n in counts.items() if n >= 0.05 * len(rows)}
+    assert max(map(len, wanted)) > 3
+    found = frequent_itemsets(df, min_support=0.05).collect()
+    assert len(found) == len(wanted) and {tuple(r["items"]): r["reports"] for r in found} == wanted
+    rules = {(tuple(r["antecedent"]), r["consequent"][0]): r for r in association_rules(df, min_support=0.05).collect()}
+    parts = {(tuple(x for x in s if x != c), c): n for s, n in wanted.items() if len(s) > 1 for c in s}
+    assert set(rules) == {r for r, n in parts.items() if n / wanted[r[0]] >= 0.5}
+    for (left, right), rule in rules.items():
+        share = parts[left, right] / wanted[left]
+        assert rule["confidence"] == pytest.approx(share) and rule["lift"] == pytest.approx(share / (wanted[right,] / len(rows)))
+        assert rule["support"] == pytest.approx(parts[left, right] / len(rows))
+    assert frequent_itemsets(df.limit(0)).collect() == []
+
+
 def test_refresh_promotes_fails_and_restores(spark, reports, trained):
     from incident_signals.plans import refresh as rf
 
