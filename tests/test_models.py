@@ -283,3 +283,10 @@ def test_exported_models_score_alike(spark, trained):
     rules.save(f"{path}/rules", spark)
     loaded = RuleClassifier.load(f"{path}/rules", spark)
     assert {r.report_id: r.primary_rule for r in loaded.predict(data).collect()} == {k: v[0] for k, v in chosen.items()}
+
+
+def test_a_class_is_not_one_partition(spark):
+    """Most reports are of one class; its texts must not end in one task."""
+    out = stratified_split(spark.range(20_000).select(F.col("id").alias("report_id"), (F.col("id") % 50 == 0).alias("label")), "label")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 15_000, sizes
