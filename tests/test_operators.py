@@ -498,3 +498,26 @@ def test_layout_skips_years_sites_and_row_groups(spark):
         assert files < every
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_examples_are_found_below_a_bound(spark):
+    """Of patterns counted with bounds, only rows that can be examples reach the sort; the examples stay the same."""
+    from incident_signals.session import cut_lineage
+
+    df = spark.range(3000).select(
+        ((F.col("id") * 7919) % 3000).alias("report_id"), F.concat(F.lit("s"), F.col("id") % 9).alias("site"),
+        F.lit("2024-01-01").cast("date").alias("date"), F.lit(1).alias("sif_prediction"), F.lit(0.5).alias("sif_probability"),
+        F.array(F.concat(F.lit("h"), F.floor(F.sqrt("id")) % 40)).alias("predicted_hazards"),
+        F.array(F.when(F.col("id") % 9 == 0, "only here").otherwise("any")).alias("predicted_barrier_failures"),
+    )
+    plain = p.with_examples(p.mine_pairs(df), df, fixed.PAIR_PATTERNS)
+    counted = cut_lineage(p.mine_pairs(df, bounds=True))
+    bounds = {r["_upto"] is None for r in counted.collect()}
+    assert bounds == {True, False}
+    bounded = p.with_examples(counted, df, fixed.PAIR_PATTERNS)
+    assert bounded.columns == plain.columns
+    assert sorted(bounded.collect(), key=str) == sorted(plain.collect(), key=str)
+    rows = p.pattern_rows(df, p.available(df, fixed.PAIR_PATTERNS), []).select(
+        *p.KEY[:3], F.coalesce("c", F.lit("")).alias("c"), F.col("_id").alias("report_id"))
+    kept = p._up_to(rows, counted.where(F.col("_upto").isNotNull()).withColumn("c", F.coalesce("c", F.lit("")))).count()
+    assert kept < rows.count() / 2
