@@ -102,7 +102,7 @@ def split_clauses(text: Column) -> Column:
 def title_case_sql(text: str) -> str:
     """SQL for upper case after every non-letter and lower case elsewhere."""
     return (
-        rf"""array_join(transform(split({text}, r'(?<=[^\p{{L}}])'),
+        rf"""array_join(transform(regexp_extract_all({text}, r'\p{{L}}*[^\p{{L}}]|\p{{L}}+', 0),
               p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), '')"""
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 ENTITY_COLUMNS = ["activities", "equipment", "hazards", "barrier_failures", "unsafe_actions", "unsafe_conditions",
                   "potential_consequences"]
 _TEXT, _LOWER, _LITERALS = "_text", "_lower", "_literals"
+# texts that match only themselves
+_LITERAL = r"[a-z0-9 '&/-]+"
 _NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
 
@@ -49,6 +52,10 @@ class Rule:
             return f"(?id){self.pattern}"
         return f"(?id){whole_word(self.pattern)}"
 
+    @property
+    def literal(self) -> bool:
+        return bool(re.fullmatch(_LITERAL, self.pattern))
+
     @property
     def needle(self) -> str:
         """Longest text every match contains, lower case; empty if there is none."""
@@ -64,7 +71,7 @@ def whole_word(pattern: str) -> str:
     For a literal the front boundary is tested after it, by its known length:
     the search then skips from first letter to first letter.
     """
-    if re.fullmatch(r"[a-z0-9 '&/-]+", pattern):
+    if re.fullmatch(_LITERAL, pattern):
         return rf"{pattern}{WORD_END}(?<![\p{{L}}\p{{N}}_].{{{len(pattern)}}})"
     return f"{WORD_START}{pattern}{WORD_END}"
 
@@ -94,32 +101,47 @@ def _lit(text: str) -> str:
     return f'r"{text}"'
 
 
-def literals(lower: Column, phrases: list[str], needles: list[str]) -> Column:
-    """What one pass finds: ``hits`` (phrase by its place in the list, first character from 0) and ``present`` needles."""
-    wanted: dict[str, tuple[list[int], list[int]]] = {}
-    for kind, texts in enumerate((phrases, needles)):
-        for place, text in enumerate(texts):
-            wanted.setdefault(text, ([], []))[kind].append(place)
+def _in_word(char: str) -> bool:
+    return char == "_" or unicodedata.category(char)[0] in "LN"
+
+
+def literals(lower: Column, phrases: list[tuple[str, bool]], needed: list[list[str]]) -> Column:
+    """What one pass finds: ``hits`` (phrase by its place in the list, first character from 0), by phrase and
+    character, and ``present``, the places in ``needed`` of which a text is there or that need none, in order.
+
+    Phrases come with whether they hit as whole words only.
+    """
+    wanted: dict[str, tuple[list[tuple[int, bool]], list[int]]] = {}
+    for place, (text, whole) in enumerate(phrases):
+        wanted.setdefault(text, ([], []))[0].append((place, whole))
+    for place, texts in enumerate(needed):
+        for text in texts:
+            wanted.setdefault(text, ([], []))[1].append(place)
+    always = [place for place, texts in enumerate(needed) if not texts]
 
     @F.arrow_udf("struct<hits:array<struct<rule:int,at:int>>,present:array<int>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for text, (own, needed) in wanted.items():
-            automaton.add_word(text, (len(text), own, needed))
+        for text, (own, needing) in wanted.items():
+            automaton.add_word(text, (len(text), own, needing))
         if wanted:
             automaton.make_automaton()
         for texts in batches:
             rules, places, hits, present, held = [], [], [0], [], [0]
             for text in texts.to_pylist():
-                seen = set()
-                for end, (size, own, needed) in automaton.iter(text or "") if wanted else ():
-                    for rule in own:
-                        rules.append(rule)
-                        places.append(end - size + 1)
-                    seen.update(needed)
-                present.extend(seen)
+                seen, found = set(always), []
+                for end, (size, own, needing) in automaton.iter(text or "") if wanted else ():
+                    at = end - size + 1
+                    for rule, whole in own:
+                        if not whole or not (at and _in_word(text[at - 1]) or _in_word(text[end + 1 : end + 2] or " ")):
+                            found.append((rule, at))
+                    seen.update(needing)
+                for rule, at in sorted(found):
+                    rules.append(rule)
+                    places.append(at)
+                present.extend(sorted(seen))
                 hits.append(len(rules))
                 held.append(len(present))
             hit = pa.StructArray.from_arrays([pa.array(rules, pa.int32()), pa.array(places, pa.int32())], ["rule", "at"])
@@ -134,54 +156,84 @@ def literals(lower: Column, phrases: list[str], needles: list[str]) -> Column:
     return find(lower)
 
 
-def _needles(rules: list[Rule]) -> list[str]:
-    return list(dict.fromkeys(rule.needle for rule in rules if rule.needle))
+def _contains_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_lit(word)})" for word in words) + ")"
 
 
-def _guarded(needle: str, needles: list[str], value: str) -> str:
-    return f"if(array_contains({_LITERALS}.present, {needles.index(needle)}), {value}, NULL)" if needle else value
+def _of(place: str, values: list) -> str:
+    """The value at a place of a list known at planning."""
+    return f"array({', '.join(_lit(v) if isinstance(v, str) else str(v).lower() for v in values)})[{place}]"
 
 
-def _contains_any(text: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({text}, {_lit(word)})" for word in words) + ")"
+def _by_preference(rules: list[Rule]) -> list[Rule]:
+    """By value in order of first rules, then high before medium confidence, then rule order."""
+    values = list(dict.fromkeys(rule.value for rule in rules))
+    return sorted(
+        (rule for rule in rules if rule.confidence in (HIGH, MEDIUM)),
+        key=lambda rule: (values.index(rule.value), rule.confidence != HIGH),
+    )
 
 
-def _first_match(rule: Rule, needles: list[str]) -> str:
-    return _guarded(rule.needle, needles, f"nullif(regexp_extract({_TEXT}, {_lit(rule.regex)}, 0), '')")
+def _phrases(rules: list[Rule]) -> list[tuple[str, bool]]:
+    return [(rule.pattern, rule.word) for rule in rules if rule.literal]
 
 
-def _candidates(matches: list[tuple[str, str, str]]) -> Column:
-    """Per value the first evidence of high and of medium confidence.
+def _needed(rules: list[Rule]) -> list[list[str]]:
+    return [[rule.needle] if rule.needle else [] for rule in rules if not rule.literal]
 
-    The inputs are (value, confidence, evidence expression), in rule order.
-    """
 
-    def best(value: str, level: str) -> str:
-        found = [evidence for v, confidence, evidence in matches if v == value and confidence == level]
-        return f"coalesce({', '.join(found)})" if found else "CAST(NULL AS STRING)"
+def _places(low: int, high: int) -> str:
+    return f"filter({_LITERALS}.present, r -> r >= {low} AND r < {high})"
 
-    values = dict.fromkeys(value for value, _, _ in matches)
-    parts = [f"named_struct('value', {_lit(v)}, 'high', {best(v, HIGH)}, 'medium', {best(v, MEDIUM)})" for v in values]
-    return F.expr(f"array({', '.join(parts)})")
 
+def _matched(rules: list[Rule], first: int) -> Column:
+    """Evidence by the rules, in their order: literal ones where they hit, patterns where a literal of theirs is.
 
-def _items(candidates: str) -> Column:
+    The hits of literal rules have places from ``first``; patterns come first in ``needed``.
+    """
+    said, tried = [i for i, rule in enumerate(rules) if rule.literal], [i for i, rule in enumerate(rules) if not rule.literal]
+    parts = []
+    if said:
+        size = [len(rules[i].pattern) for i in said]
+        hits = f"filter({_LITERALS}.hits, h -> h.rule >= {first} AND h.rule < {first + len(said)})"
+        evidence = f"substr({_TEXT}, h.at + 1, {_of(f'h.rule - {first}', size)})"
+        found = f"transform({hits}, h -> named_struct('rule', {_of(f'h.rule - {first}', said)}, 'at', h.at, 'evidence', {evidence}))"
+        # upper case is that of ASCII; a letter beyond it has more bytes
+        parts.append(f"filter({found}, m -> octet_length(m.evidence) = length(m.evidence))")
+    if tried:
+        evidence = f"regexp_extract({_TEXT}, {_of('r', [rules[i].regex for i in tried])}, 0)"
+        found = f"transform({_places(0, len(tried))}, r -> named_struct('rule', {_of('r', tried)}, 'at', 0, 'evidence', {evidence}))"
+        parts.append(f"filter({found}, m -> m.evidence != '')")
+    if not parts:
+        return F.expr("CAST(array() AS ARRAY<STRUCT<rule:INT,at:INT,evidence:STRING>>)")
+    return F.expr(f"sort_array(concat({', '.join(parts)}))" if len(parts) > 1 else f"sort_array({parts[0]})")
+
+
+def _first_of(found: str, names: list) -> Column:
+    """The first of each run of places with the same name."""
+    if not names:
+        return F.col(found)
+    ids = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    codes = [ids[name] for name in names]
+    return F.expr(f"filter({found}, (m, i) -> i = 0 OR {_of('m.rule', codes)} != {_of(f'get({found}, i - 1).rule', codes)})")
+
+
+def _items(best: str, rules: list[Rule], low: int, high: int) -> Column:
+    """Extraction items of the rules from place ``low`` up to ``high``."""
+    if low == high:
+        return F.expr("CAST(array() AS ARRAY<STRUCT<value:STRING,evidence:STRING,confidence:STRING,match_method:STRING>>)")
     return F.expr(
-        f"""transform(filter({candidates}, c -> c.high IS NOT NULL OR c.medium IS NOT NULL),
-              c -> named_struct('value', c.value, 'evidence', coalesce(c.high, c.medium),
-                                'confidence', if(c.high IS NOT NULL, '{HIGH}', '{MEDIUM}'), 'match_method', 'regex'))"""
+        f"""transform(filter({best}, m -> m.rule >= {low} AND m.rule < {high}),
+              m -> named_struct('value', {_of('m.rule', [rule.value for rule in rules])}, 'evidence', m.evidence,
+                                'confidence', {_of('m.rule', [rule.confidence for rule in rules])}, 'match_method', 'regex'))"""
     )
 
 
-def _matched(rules: list[Rule], needles: list[str]) -> Column:
-    return _candidates([(rule.value, rule.confidence, _first_match(rule, needles)) for rule in rules])
-
-
-def _prepared(df: DataFrame, text: str, phrases: list[str], needles: list[str]) -> DataFrame:
+def _prepared(df: DataFrame, text: str, phrases: list[tuple[str, bool]], needed: list[list[str]]) -> DataFrame:
     plain = F.coalesce(F.col(text), F.lit(""))
     # the one letter whose lower case is longer, so that places in both agree
     lower = F.lower(F.replace(plain, F.lit("\u0130"), F.lit("I")))
-    return df.withColumns({_TEXT: plain, _LOWER: lower}).withColumn(_LITERALS, literals(F.col(_LOWER), phrases, needles))
+    return df.withColumns({_TEXT: plain, _LOWER: lower}).withColumn(_LITERALS, literals(F.col(_LOWER), phrases, needed))
 
 
 def _settled(df: DataFrame, names: list[str]) -> DataFrame:
@@ -196,34 +248,36 @@ def _settled(df: DataFrame, names: list[str]) -> DataFrame:
 
 def match_rules(df: DataFrame, text: str, rules: list[Rule], output: str) -> DataFrame:
     """Adds an array of extraction items: per value the best evidence, in rule order."""
-    needles = _needles(rules)
-    staged = _prepared(df, text, [], needles).withColumn("_found", _matched(rules, needles))
-    named = staged.withColumn(output, _items("_found")).drop(_TEXT, _LOWER, _LITERALS, "_found")
-    return _settled(named, [output])
+    ranked = _by_preference(rules)
+    staged = _prepared(df, text, _phrases(ranked), _needed(ranked)).withColumn("_matches", _matched(ranked, 0))
+    best = staged.withColumn("_best", _first_of("_matches", [rule.value for rule in ranked]))
+    named = best.withColumn(output, _items("_best", ranked, 0, len(ranked)))
+    return _settled(named.drop(_TEXT, _LOWER, _LITERALS, "_matches", "_best"), [output])
 
 
 # --- hazards ------------------------------------------------------------------------------
 
 _NEGATED = rf"\b(?:{'|'.join(fixed.NEGATORS)})\b\s*(?:[^\s.,;]+)?\s*$"
 _NOT_OR_FAILED = r"\b(?:not|failed to)\b"
-_WORD = r"[\\p{L}\\p{N}_]"
 
 
-HAZARDS = [(category, phrase) for category, phrases in fixed.table(fixed.HAZARD_PHRASES) for phrase in phrases]
+# by category, its long phrases, which give high confidence, before the others
+HAZARDS = [
+    (rule.value, rule.pattern) for rule in _by_preference(rules_of(fixed.HAZARD_PHRASES, lambda p: HIGH if len(p) > 6 else MEDIUM))
+]
 
 
 def _of_rule(values: list) -> str:
     """The value of a hit's phrase."""
-    return f"array({', '.join(str(v).lower() if isinstance(v, bool) else str(v) for v in values)})[h.rule]"
+    return _of("h.rule", values)
 
 
 def _clear_hits() -> Column:
-    """Hits of hazard phrases that are whole words, not denied and not in an excluded context."""
+    """Hits of hazard phrases that are not denied and not in an excluded context."""
     size, context, near_size = fixed.LONG_NEGATION_WINDOW, fixed.FIRE_CONTEXT, fixed.NEGATION_WINDOW
     length = _of_rule([len(p) for _, p in HAZARDS])
     far = f"substr({_LOWER}, greatest(h.at - {size}, 0) + 1, least(h.at, {size}))"
     after = f"substr({_LOWER}, h.at + {length} + 1, {context})"
-    whole = f"NOT rlike(right(h.far, 1), '{_WORD}') AND NOT rlike(left(h.after, 1), '{_WORD}')"
     energy = _of_rule([c in fixed.ENERGY_CATEGORIES for c, _ in HAZARDS])
     denied = f"rlike(h.near, {_lit(_NEGATED)}) OR ({energy} AND {_contains_any('h.near', fixed.ENERGY_CLEAR)})"
     twice = _of_rule(["depressurized" in p for _, p in HAZARDS])
@@ -235,44 +289,50 @@ def _clear_hits() -> Column:
     guards = dict(fixed.table(fixed.HAZARD_GUARDS))
     guarded = _of_rule([list(guards).index(c) if c in guards else -1 for c, _ in HAZARDS])
     needed = " ".join(f"WHEN {i} THEN {_contains_any(_LOWER, words)}" for i, words in enumerate(guards.values()))
-    windows = f"transform({_LITERALS}.hits, h -> named_struct('rule', h.rule, 'at', h.at, 'far', {far}, 'after', {after}))"
+    windows = f"transform(filter({_LITERALS}.hits, h -> h.rule < {len(HAZARDS)}), h -> named_struct('rule', h.rule, 'at', h.at, 'far', {far}, 'after', {after}))"
     with_near = f"transform({windows}, h -> named_struct('rule', h.rule, 'at', h.at, 'far', h.far, 'after', h.after, 'near', btrim(right(h.far, {near_size}))))"
     return F.expr(
-        f"""transform(filter({with_near}, h -> {whole} AND NOT ({denied}) AND NOT ({fire_line} AND ({aside}))
+        f"""transform(filter({with_near}, h -> NOT ({denied}) AND NOT ({fire_line} AND ({aside}))
               AND NOT ({fire} AND {_contains_any(around, fixed.FIRE_EXCLUDED_CONTEXTS)})
               AND CASE {guarded} {needed} ELSE true END), h -> named_struct('rule', h.rule, 'at', h.at))"""
     )
 
 
-def _hazard_candidates(hits: str) -> Column:
-    """Per category the first evidence of high and of medium confidence: by phrase, then by place."""
-    length = f"array({', '.join(str(len(p)) for _, p in HAZARDS)})[m.rule]"
-
-    def best(category: str, high: bool) -> str:
-        own = [i for i, (c, p) in enumerate(HAZARDS) if c == category and (len(p) > 6) == high]
-        if not own:
-            return "CAST(NULL AS STRING)"
-        first = f"array(array_min(filter({hits}, h -> h.rule IN ({', '.join(map(str, own))}))))"
-        return f"get(transform({first}, m -> substr({_TEXT}, m.at + 1, {length})), 0)"
-
-    categories = dict.fromkeys(c for c, _ in HAZARDS)
-    parts = [f"named_struct('value', {_lit(c)}, 'high', {best(c, True)}, 'medium', {best(c, False)})" for c in categories]
-    return F.expr(f"array({', '.join(parts)})")
+def _hazard_items(best: str) -> Column:
+    """Items of the first hit of each category."""
+    confidence = _of_rule([HIGH if len(p) > 6 else MEDIUM for _, p in HAZARDS])
+    return F.expr(
+        f"""transform({best}, h -> named_struct('value', {_of_rule([c for c, _ in HAZARDS])},
+              'evidence', substr({_TEXT}, h.at + 1, {_of_rule([len(p) for _, p in HAZARDS])}),
+              'confidence', {confidence}, 'match_method', 'regex'))"""
+    )
 
 
 # --- equipment ----------------------------------------------------------------------------
 
 
-def _equipment_mentions() -> Column:
-    names = "|".join(fixed.TAGGED_EQUIPMENT)
-    tagged = [rf"(?iU)\b(?:{names})\s+[A-Z0-9-]+\b", rf"(?iU)\b[A-Z0-9-]+\s+(?:{names})\b"]
+_TAGGED = "|".join(fixed.TAGGED_EQUIPMENT)
+_TAGS = [rf"\b(?:{_TAGGED})\s+[A-Z0-9-]+\b", rf"\b[A-Z0-9-]++\s++(?:{_TAGGED})\b"]
+# pattern, and the texts of which one is in every match
+EQUIPMENT = [(f"(?iU){tag}", fixed.TAGGED_EQUIPMENT) for tag in _TAGS] + [
+    (rf"(?iU)\b{word}\b", [word]) for word in fixed.EQUIPMENT_WORDS
+]
 
-    def all_of(condition: str, regex: str) -> str:
-        return f"if({condition}, regexp_extract_all({_TEXT}, {_lit(regex)}, 0), {_NO_STRINGS})"
 
-    parts = [all_of(_contains_any(_LOWER, fixed.TAGGED_EQUIPMENT), regex) for regex in tagged]
-    parts += [all_of(f"contains({_LOWER}, {_lit(word)})", rf"(?iU)\b{word}\b") for word in fixed.EQUIPMENT_WORDS]
-    return F.expr(f"transform(concat({', '.join(parts)}), m -> named_struct('mention', m, 'low', lower(m)))")
+def _equipment_mentions(first: int, hit: int) -> Column:
+    """Mentions by the equipment patterns, whose places in ``needed`` begin at ``first``; the words' hits begin at ``hit``.
+
+    In a text of ASCII alone the hits are the words' matches, and letters, digits and spaces need no tables of Unicode.
+    """
+    pattern = _of(f"r - {first}", [regex for regex, _ in EQUIPMENT])
+    places = _places(first, first + len(EQUIPMENT))
+    searched = f"flatten(transform({places}, r -> regexp_extract_all({_TEXT}, {pattern}, 0)))"
+    size = _of(f"h.rule - {hit}", [len(word) for word in fixed.EQUIPMENT_WORDS])
+    words = f"transform(filter({_LITERALS}.hits, h -> h.rule >= {hit}), h -> substr({_TEXT}, h.at + 1, {size}))"
+    tagged = ", ".join(f"regexp_extract_all({_TEXT}, {_lit(f'(?i){tag}')}, 0)" for tag in _TAGS)
+    plain = f"if(array_contains({_LITERALS}.present, {first}), concat({tagged}, {words}), {words})"
+    found = f"if(octet_length({_TEXT}) = length({_TEXT}), {plain}, {searched})"
+    return F.expr(f"transform({found}, m -> named_struct('mention', m, 'low', lower(m)))")
 
 
 def _maximal(mentions: str) -> Column:
@@ -287,9 +347,9 @@ def _equipment_items(mentions: str) -> Column:
     branches = " ".join(
         f"WHEN {_contains_any('m.low', words)} THEN {_lit(kind)}" for kind, words in fixed.table(fixed.EQUIPMENT_TYPES)
     )
-    title = title_case_sql("m.mention")
+    titled = f"transform({mentions}, m -> named_struct('mention', m.mention, 'low', m.low, 'title', {title_case_sql('m.mention')}))"
     return F.expr(
-        f"""transform({mentions}, m -> named_struct('value', {title}, 'type', CASE {branches} ELSE {title} END,
+        f"""transform({titled}, m -> named_struct('value', m.title, 'type', CASE {branches} ELSE m.title END,
               'evidence', m.mention, 'confidence', '{HIGH}', 'match_method', 'regex'))"""
     )
 
@@ -335,37 +395,41 @@ def extract(df: DataFrame, text: str = "description", only: list[str] | None = N
 
     With ``only``, those of them that are named, and the work for the others is left out.
     """
-    needed = {
-        "_activities": (ACTIVITY_RULES, ["activities"]),
-        "_barriers": (BARRIER_RULES, ["barrier_failures", "precursor_tags"]),
-        "_actions": (ACTION_RULES, ["unsafe_actions"]),
-        "_conditions": (CONDITION_RULES, ["unsafe_conditions", "precursor_tags"]),
-        "_consequences": (CONSEQUENCE_RULES, ["potential_consequences"]),
+    users = {
+        "activities": (ACTIVITY_RULES, ["activities"]),
+        "barrier_failures": (BARRIER_RULES, ["barrier_failures", "precursor_tags"]),
+        "unsafe_actions": (ACTION_RULES, ["unsafe_actions"]),
+        "unsafe_conditions": (CONDITION_RULES, ["unsafe_conditions", "precursor_tags"]),
+        "potential_consequences": (CONSEQUENCE_RULES, ["potential_consequences"]),
     }
-    sought = [rules for rules, users in needed.values() if only is None or set(users) & set(only)]
-    needles = _needles([rule for rules in sought for rule in rules])
-    every_needle = needles + [n for rules, _ in needed.values() for n in _needles(rules) if n not in needles]
-    working = {name: _matched(rules, every_needle) for name, (rules, _) in needed.items()}
-    working["_mentions"] = _equipment_mentions()
-    with_hazards = only is None or {"hazards", "potential_consequences", "precursor_tags"} & set(only)
+    # all rules in one list, a stretch for each column; equipment patterns after them
+    ranked, codes, stretch = [], [], {}
+    for name, (rules, used) in users.items():
+        sought = _by_preference(rules) if only is None or set(used) & set(only) else []
+        stretch[name] = (len(ranked), len(ranked) + len(sought))
+        ranked += sought
+        codes += [(name, rule.value) for rule in sought]
+    with_equipment = only is None or "equipment" in only
+    with_hazards = only is None or bool({"hazards", "potential_consequences", "precursor_tags"} & set(only))
+    hazards = [(phrase, True) for _, phrase in HAZARDS] if with_hazards else []
+    phrases = hazards + _phrases(ranked)
+    words = [(word, True) for word in fixed.EQUIPMENT_WORDS] if with_equipment else []
+    needed = _needed(ranked) + ([words for _, words in EQUIPMENT] if with_equipment else [])
     named = (
-        _prepared(df, text, [phrase for _, phrase in HAZARDS] if with_hazards else [], needles)
-        .withColumn("_hits", _clear_hits())
-        .withColumns({**working, "_hazards": _hazard_candidates("_hits")})
+        _prepared(df, text, phrases + words, needed)
         .withColumns(
             {
-                "activities": _items("_activities"),
-                "hazards": _items("_hazards"),
-                "barrier_failures": _items("_barriers"),
-                "unsafe_actions": _items("_actions"),
-                "unsafe_conditions": _items("_conditions"),
-                "potential_consequences": _items("_consequences"),
-                "equipment": _maximal("_mentions"),
+                "_hits": _clear_hits() if with_hazards else F.expr("CAST(array() AS ARRAY<STRUCT<rule:INT,at:INT>>)"),
+                "_matches": _matched(ranked, len(hazards)),
+                "_mentions": _equipment_mentions(len(_needed(ranked)), len(phrases)),
             }
         )
+        .withColumns({"_hazards": _first_of("_hits", [c for c, _ in HAZARDS]), "_best": _first_of("_matches", codes)})
+        .withColumns({name: _items("_best", ranked, *ends) for name, ends in stretch.items()})
+        .withColumns({"hazards": _hazard_items("_hazards"), "equipment": _maximal("_mentions")})
         .withColumn("equipment", _equipment_items("equipment"))
     )
-    done = with_derived(named.drop(_TEXT, _LOWER, _LITERALS, "_hits", "_hazards", *working))
+    done = with_derived(named.drop(_TEXT, _LOWER, _LITERALS, "_hits", "_hazards", "_matches", "_best", "_mentions"))
     every = [*ENTITY_COLUMNS, "precursor_tags"]
     wanted = [c for c in every if only is None or c in only]
     return _settled(done.drop(*[c for c in every if c not in wanted]), wanted)

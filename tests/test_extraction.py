@@ -136,3 +136,26 @@ def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
     for found in (x.extract(reports), x.match_rules(reports, "description", x.ACTIVITY_RULES, "activities")):
         plan = found.where("site = 'en' AND size(activities) > 0")._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(site,en)" in plan
+
+
+def test_only_patterns_whose_literal_is_there_are_tried(spark):
+    """One search with the pattern of a place, not one per rule; literal rules are not searched again at all."""
+    plan = x.extract(spark.createDataFrame([(1, "a")], "report_id int, description string"))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("regexp_extract(") < 5
+
+
+def test_whole_words_at_letters_of_every_plane(spark):
+    """A letter beyond the first plane is a letter; upper case is that of ASCII."""
+    texts = ["\U0001d400crane operation", "a crane operation", "bécrane operation", "crane operation2", "broKen barricade",
+             "Brokeshaft BROKEN barricade"]
+    rules = [x.Rule("crane", "crane operation", x.MEDIUM, True), x.Rule("broken", "broken barricade")]
+    df = spark.createDataFrame(list(enumerate(texts)), "report_id int, description string")
+    found = x.match_rules(df, "description", rules, "found").orderBy("report_id").collect()
+    assert [[i["evidence"] for i in r["found"]] for r in found] == [[], ["crane operation"], [], [], [], ["BROKEN barricade"]]
+
+
+def test_equipment_beyond_ascii(spark):
+    texts = ["Pump P-204 by the crane, Crane", "é Pump P-204 by the crane, Crane", "aépump and T-1  valve K"]
+    df = spark.createDataFrame(list(enumerate(texts)), "report_id int, description string")
+    rows = x.extract(df, only=["equipment"]).orderBy("report_id").collect()
+    assert [[i["evidence"] for i in r["equipment"]] for r in rows] == [["Pump P-204", "the crane"], ["Pump P-204", "the crane"], ["T-1  valve"]]
