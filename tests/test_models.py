@@ -290,3 +290,11 @@ def test_a_class_is_not_one_partition(spark):
     out = stratified_split(spark.range(20_000).select(F.col("id").alias("report_id"), (F.col("id") % 50 == 0).alias("label")), "label")
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert max(sizes) < 15_000, sizes
+
+
+def test_semantic_hazards_are_worked_out_once(spark):
+    """A generator over the hazards brings a filter on them, which must not copy what makes them."""
+    df = x.extract(spark.createDataFrame([(1, "the load hung over the crew")], "report_id int, description string"))
+    rows = add_semantic_hazards(df, ft.HashingEmbedder()).select("report_id", F.inline("hazards"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("while ") == 1 and plan.count("arrays_zip(") == 1
