@@ -1,15 +1,17 @@
 """Exact nearest reports by cosine similarity.
 
-Queries are streamed through the driver in batches of bounded size.  A batch
-travels to the tasks as one matrix, the vectors stay where they are, and each
-task keeps the best k of every query over its Arrow batches: whole score matrices
-are cut to the scores that reach the k-th best so far, and a batch of vectors too
-short to reach it for a query is not multiplied.  Only the best k per query and
-task are shuffled.  Exact, without emitting pairs, at any number of queries.
+Vectors and queries are dealt into a grid: a cell is one slice of the vectors, of
+bounded size, and one group of the queries.  A task holds the slice of its cell and
+takes the queries block by block: score matrices of a block and a piece of the slice
+are cut to the scores that reach the k-th best so far, and a piece too short to
+reach it for a query is not multiplied.  Each vector goes to as many tasks as there
+are groups, each query to as many as there are slices, and only the best k per query
+and cell are shuffled again.  Exact, without emitting pairs; nothing passes the driver.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -21,13 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incident_signals import fixed_values as fixed
-from incident_signals.session import new_path
 
 # The helpers below run inside tasks; they travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries that the driver holds and sends to the tasks at once.
+# Queries that a task compares at once.
 QUERY_BATCH_BYTES = 16 << 20
+# Vectors that a task holds.
+SLICE_BYTES = 16 << 20
+# Vectors that a block of queries is compared with at once.
+_ROWS = 4096
 # Queries whose scores are held at once.
 _COLUMNS = 512
 # Scores closer than this count as equal, whatever order a processor adds them in.
@@ -57,86 +62,91 @@ def _flat(lists: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best vectors of each query so far, ties by vector id."""
+    """The k best vectors of a block of queries so far, ties by vector id."""
 
-    def __init__(self, queries: np.ndarray, excluded: list | None, k: int):
-        self.queries, self.excluded, self.k = queries, excluded, k
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
         self.norms = np.sqrt((queries * queries).sum(axis=1))
         self.scores = np.full((len(queries), k), -np.inf)
         self.ids = np.zeros((len(queries), k), np.int64)
 
-    def add(self, ids: np.ndarray, reports: pa.Array, vectors: np.ndarray) -> None:
-        longest = np.sqrt((vectors * vectors).sum(axis=1)).max(initial=0)
+    def add(self, ids: np.ndarray, vectors: np.ndarray, longest: float, excluded: tuple[np.ndarray, np.ndarray]) -> None:
+        """``excluded`` are the (query, vector) pairs that must not meet, by query."""
         # no score is above the product of the lengths
         within = np.flatnonzero(self.norms * longest * (1 + 1e-9) + 1e-9 >= self.scores[:, -1])
-        out = self._excluded(reports)
+        rows, columns = excluded
         for at in range(0, len(within), _COLUMNS):
             part = within[at : at + _COLUMNS]
-            scores = np.round(self.queries[part] @ vectors.T, SCORE_DIGITS)
-            if out is not None:
-                rows, columns = out
+            scores = self.queries[part] @ vectors.T
+            if len(rows):
                 place = np.searchsorted(part, rows)
                 met = np.flatnonzero(place < len(part))
                 met = met[part[place[met]] == rows[met]]
                 scores[place[met], columns[met]] = -np.inf
             self._merge(part, ids, scores)
 
-    def _excluded(self, reports: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
-        """(query, vector) pairs that must not meet."""
-        if self.excluded is None:
-            return None
-        codes, _ = pd.factorize(np.array(reports.to_pylist() + self.excluded, dtype=object))
-        own, barred = codes[: len(reports)], codes[len(reports) :]
-        order = np.argsort(own, kind="stable")
-        low, high = np.searchsorted(own[order], barred), np.searchsorted(own[order], barred, "right")
-        count = np.where(barred >= 0, high - low, 0)
-        ends = np.cumsum(count)
-        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - low, count)
-        return np.repeat(np.arange(len(barred)), count), order[places]
-
     def _merge(self, part: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         k = self.k
-        both = np.concatenate([self.scores[part], scores], axis=1)
-        least = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
-        row, column = np.nonzero((both >= least[:, None]) & (both > -np.inf))
-        value = both[row, column]
-        old = column < k
-        name = np.where(old, self.ids[part[row], np.where(old, column, 0)], ids[np.where(old, 0, column - k)])
+        least = self.scores[part, -1]
+        if scores.shape[1] > k and not np.isfinite(least).all():
+            least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+        # only scores that reach the k-th best are rounded; what rounding can lift is let through
+        row, column = np.nonzero(scores >= (least - 10.0 ** (1 - SCORE_DIGITS) - 1e-15 * np.abs(least))[:, None])
+        value = np.round(scores[row, column], SCORE_DIGITS)
+        real = value > -np.inf
+        row, value, name = row[real], value[real], ids[column[real]]
+        changed = np.unique(row)
+        old = np.repeat(changed, k)
+        row = np.concatenate([old, row])
+        value = np.concatenate([self.scores[part[changed]].ravel(), value])
+        name = np.concatenate([self.ids[part[changed]].ravel(), name])
         order = np.lexsort((name, -value, row))
         row, value, name = row[order], value[order], name[order]
-        starts = np.searchsorted(row, np.arange(len(part)))
-        rank = np.arange(len(row)) - starts[row]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
         kept = rank < k
-        new_scores, new_ids = np.full((len(part), k), -np.inf), np.zeros((len(part), k), np.int64)
-        new_scores[row[kept], rank[kept]] = value[kept]
-        new_ids[row[kept], rank[kept]] = name[kept]
-        self.scores[part], self.ids[part] = new_scores, new_ids
-
-
-def _searched(vectors: DataFrame, rows: list, schema: str, k: int) -> DataFrame:
-    """Best k of each task for one batch of queries."""
-    names = [r["query_id"] for r in rows]
-    excluded = [r["exclude_id"] for r in rows]
-    matrix = np.asarray([r["embedding"] for r in rows], dtype="float64")
-    skip = None if all(e is None for e in excluded) else excluded
-    shared = vectors.sparkSession.sparkContext.broadcast((names, skip, matrix))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, barred, queries = shared.value
-        best = _Best(queries, barred, k)
-        kind = None
-        for batch in batches:
-            if batch.num_rows:
-                kind = batch
-                best.add(batch.column(0).to_numpy(), batch.column(1), _flat(batch.column(2)))
-        if kind is not None:
-            row, place = np.nonzero(best.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own).take(pa.array(row)), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])],
-                names=["query_id", "vector_id", "score"],
-            )
-
-    return vectors.mapInArrow(search, schema)
+        self.scores[part[row[kept]], rank[kept]] = value[kept]
+        self.ids[part[row[kept]], rank[kept]] = name[kept]
+
+
+def _pairs(reports: list, barred: list) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs that must not meet, by query."""
+    if all(e is None for e in barred):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, _ = pd.factorize(np.array([*reports, *barred], dtype=object))
+    own, wanted = codes[: len(reports)], codes[len(reports) :]
+    order = np.argsort(own, kind="stable")
+    low, high = np.searchsorted(own[order], wanted), np.searchsorted(own[order], wanted, "right")
+    count = np.where(wanted >= 0, high - low, 0)
+    ends = np.cumsum(count)
+    places = np.arange(ends[-1]) - np.repeat(ends - count - low, count)
+    return np.repeat(np.arange(len(barred)), count), order[places]
+
+
+class _Slice:
+    """The vectors of a cell, compared with a block of queries in pieces that stay small."""
+
+    def __init__(self, ids: np.ndarray, reports: list, vectors: np.ndarray):
+        self.ids, self.reports, self.vectors = ids, reports, vectors
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        self.pieces = [
+            (slice(at, at + _ROWS), lengths[at : at + _ROWS].max()) for at in range(0, len(ids), _ROWS)
+        ]
+
+    def nearest(self, queries: np.ndarray, barred: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = _Best(queries, k)
+        for piece, longest in self.pieces:
+            best.add(self.ids[piece], self.vectors[piece], longest, _pairs(self.reports[piece], barred))
+        row, place = np.nonzero(best.scores > -np.inf)
+        return row, best.ids[row, place], best.scores[row, place]
+
+
+def _cells(side: DataFrame, own: str, parts: int, other: int, by_row: bool) -> DataFrame:
+    """Rows of one side of the grid, once for each part of the other side."""
+    part = F.pmod(F.xxhash64(own), F.lit(parts))
+    across = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+    placed = side.withColumn("_part", part).withColumn("_across", across)
+    cell = F.col("_part") * other + F.col("_across") if by_row else F.col("_across") * parts + F.col("_part")
+    return placed.withColumn("_cell", cell.cast("int")).drop("_part", "_across")
 
 
 def top_k(
@@ -146,28 +156,51 @@ def top_k(
 
     ``vectors`` has vector_id, report_id and embedding; ``queries`` has
     query_id, embedding and optionally exclude_id, a report that must not
-    appear among the query's own results.  Queries that make more than one
-    batch of ``batch_bytes`` are searched batch by batch.
+    appear among the query's own results.  A task holds one slice of the
+    vectors and takes its queries in blocks of ``batch_bytes``.
     """
     if not isinstance(k, int) or k < 1:
         raise ValueError(f"k is {k!r}, not a whole number from 1")
-    searched = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "report_id", "embedding")
+    spark = vectors.sparkSession
+    searched = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "report_id", F.col("embedding").cast("array<double>"))
     skip = F.col("exclude_id") if "exclude_id" in queries.columns else F.lit(None).cast(searched.schema["report_id"].dataType)
-    asked = queries.select("query_id", "embedding", skip.alias("exclude_id"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>"), skip.alias("exclude_id"))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vector_id bigint, score double"
-    spark, path, batch, size = vectors.sparkSession, None, [], 0
-    for row in asked.toLocalIterator(prefetchPartitions=True):
-        bytes_ = 8 * len(row["embedding"]) + 64
-        if batch and size + bytes_ > batch_bytes:
-            path = path or new_path(spark, "nearest")
-            _searched(searched, batch, schema, k).write.mode("append").parquet(path)
-            batch, size = [], 0
-        batch.append(row)
-        size += bytes_
-    found = _searched(searched, batch, schema, k) if batch else spark.createDataFrame([], schema)
-    if path:
-        found.write.mode("append").parquet(path)
-        found = spark.read.schema(schema).parquet(path)
+    held = searched.agg(F.coalesce(F.sum(8 * F.size("embedding") + 64), F.lit(0))).first()[0]
+    sent = asked.agg(F.coalesce(F.sum(8 * F.size("embedding") + 64), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(held / SLICE_BYTES))
+    # as many cells as keep all cores busy, but none for less than a block of queries
+    groups = max(1, min(math.ceil(2 * spark.sparkContext.defaultParallelism / slices), math.ceil(sent / batch_bytes)))
+    both = (
+        _cells(searched.withColumn("_asked", F.lit(False)), "vector_id", slices, groups, True)
+        .unionByName(_cells(asked.withColumn("_asked", F.lit(True)), "query_id", groups, slices, False), allowMissingColumns=True)
+        .repartitionById(slices * groups, "_cell")
+        .sortWithinPartitions("_asked")
+        .select("_asked", "vector_id", "report_id", "query_id", "exclude_id", "embedding")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, reports, parts, slice_ = [], [], [], None
+        for batch in batches:
+            asked_here = batch.column(0).to_numpy(zero_copy_only=False)
+            own, others = batch.slice(0, int((~asked_here).sum())), batch.slice(int((~asked_here).sum()))
+            if own.num_rows:
+                ids.append(own.column(1).to_numpy())
+                reports += own.column(2).to_pylist()
+                parts.append(_flat(own.column(5)))
+            if not others.num_rows or not ids:
+                continue
+            if slice_ is None:
+                slice_ = _Slice(np.concatenate(ids), reports, np.concatenate(parts))
+            step = max(1, batch_bytes // (8 * slice_.vectors.shape[1] + 64))
+            for at in range(0, others.num_rows, step):
+                block = others.slice(at, step)
+                row, found, score = slice_.nearest(_flat(block.column(5)), block.column(4).to_pylist(), k)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(3).take(pa.array(row)), pa.array(found), pa.array(score)], names=["query_id", "vector_id", "score"]
+                )
+
+    found = both.mapInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

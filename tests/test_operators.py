@@ -405,6 +405,22 @@ def test_nearest_in_one_or_several_batches(spark, limit, monkeypatch):
     assert found == brute_nearest(df, 4, exclude=True)
 
 
+def test_nearest_over_slices_and_blocks(spark, monkeypatch):
+    """Many slices, pieces and blocks give the same, and blocks of queries are no jobs of their own."""
+    monkeypatch.setattr(similarity, "SLICE_BYTES", 2_000)
+    monkeypatch.setattr(similarity, "_ROWS", 5)
+    df = vectors(spark)
+    asked = df.select(F.col("vector_id").alias("query_id"), "embedding")
+    spark.sparkContext.setJobGroup("blocks", "blocks of one query")
+    found = {}
+    for r in similarity.top_k(df, asked, 4, batch_bytes=1).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vector_id"])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("blocks")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == brute_nearest(df, 4)
+    assert len(found) > 20 and 0 < len(jobs) < 20
+
+
 def test_retrieval_checks(spark):
     from incident_signals.models.features import HashingEmbedder
 
