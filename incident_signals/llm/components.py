@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from incident_signals.session import new_path
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+# For rows of many MB: a writer looks at its size after each row, not only after a hundred, and a reader holds one row group.
+LARGE_ROWS = {
+    "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1",
+}
+
+
+def settled(df: DataFrame, name: str, options: dict[str, str] = {}) -> DataFrame:
     """Written to the shared folder and read again: later reads see one result, whatever executors are lost."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

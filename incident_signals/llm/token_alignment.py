@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from incident_signals.llm import hashing
 from incident_signals.llm.byte_bpe import Vocabulary
-from incident_signals.llm.components import settled
+from incident_signals.llm.components import LARGE_ROWS, settled
 
 # Ends that one piece of the merge passes.
 WORK = 512
@@ -314,7 +314,7 @@ def align(docs: DataFrame, a: Vocabulary, b: Pieces, key: str = "doc_id", text:
     tokens: zeros and an empty ``groups``.  Rows that repeat a key count each for
     themselves; null keys stay.  No rows, no result; other columns are not read.
     """
-    blocks = settled(blocks_of(docs, a, b, key, text, digest), "aligned-blocks")
+    blocks = settled(blocks_of(docs, a, b, key, text, digest), "aligned-blocks", LARGE_ROWS)
     pairs = blocks.select(F.col("block").alias("home"), F.posexplode("pairs").alias("place", "pair"))
     marked = pairs.join(pair_counts(blocks), "pair").select("home", "place", "count", (F.col("count") == F.col("best")).alias("top"))
     texts = blocks.schema["texts"].dataType.elementType

@@ -115,3 +115,16 @@ def test_query_like_the_libraries(spark, sf_dir):
         for row, r in zip(rows, brute([row.text for row in rows]))
     }
     assert len(got) == len(rows) and got == want
+
+
+def test_blocks_are_written_one_by_one(spark):
+    """A row group holds a block or two, however many blocks a task writes; else its writer and its readers hold them all."""
+    import pyarrow.parquet as pq
+
+    from incident_signals.llm.components import LARGE_ROWS, settled
+
+    large = spark.range(0, 12, 1, 1).selectExpr("id", "transform(sequence(1, 500000), x -> xxhash64(x, id)) AS v")
+    (path,) = settled(large, "large-rows", LARGE_ROWS).inputFiles()
+    file = pq.ParquetFile(path.removeprefix("file://"))
+    assert file.metadata.num_rows == 12
+    assert max(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)) <= 6
