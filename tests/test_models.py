@@ -298,3 +298,17 @@ def test_semantic_hazards_are_worked_out_once(spark):
     rows = add_semantic_hazards(df, ft.HashingEmbedder()).select("report_id", F.inline("hazards"))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("while ") == 1 and plan.count("arrays_zip(") == 1
+
+
+def test_steps_of_a_fit_are_few_tasks(spark, trained, monkeypatch):
+    """A step costs as many tasks as the rows ask for, not as many as there are partitions of vectors."""
+    from incident_signals.models import classifiers
+
+    *_, data = trained
+    seen = []
+    plain = classifiers.fit_logistic
+    monkeypatch.setattr(classifiers, "fit_logistic", lambda df, *rest: seen.append(df.rdd.getNumPartitions()) or plain(df, *rest))
+    scattered = data.repartition(40)
+    classifiers.SifClassifier().fit(scattered)
+    classifiers.RuleClassifier(fixed.LIFE_SAVING_RULES[:2]).fit(scattered, "labels")
+    assert len(seen) == 3 and max(seen) <= classifiers.LEAST_TASKS
