@@ -537,3 +537,29 @@ def test_examples_are_found_below_a_bound(spark):
         *p.KEY[:3], F.coalesce("c", F.lit("")).alias("c"), F.col("_id").alias("report_id"))
     kept = p._up_to(rows, counted.where(F.col("_upto").isNotNull()).withColumn("c", F.coalesce("c", F.lit("")))).count()
     assert kept < rows.count() / 2
+
+
+def test_examples_of_reports_with_text_ids(spark):
+    """Least ids are found while hashing, not by sorting all combinations, and the examples are those of the whole sort."""
+    from incident_signals.session import cut_lineage
+
+    rows = [(f"REP-{i * 7919 % 100003:06d}é", f"s{i % 7}", ["a", "b"][: i % 2 + 1], [f"h{i % 3}"]) for i in range(900)] + [
+        (None, "s1", ["a"], ["h1"])
+    ]
+    df = spark.createDataFrame(rows, "report_id string, site string, predicted_activity array<string>, predicted_hazards array<string>")
+    df = cut_lineage(
+        df.selectExpr("*", "DATE'2024-01-01' AS date", "1 AS sif_prediction", "0.5D AS sif_probability", "report_id AS description")
+    )
+    counted = p.mine_pairs(df, bounds=True)
+    assert "SortAggregate" not in plan_of(counted).split("Subquery")[0]
+    counted = cut_lineage(counted)
+    assert any(r["_upto"] is not None for r in counted.collect())
+    ends = spark.createDataFrame([("REP-9",), ("REP-10",), ("REP-",), ("REP-1",), ("REP-é12345678",)], "report_id string")
+    ordered = [r["code"] for r in ends.select("report_id", p._order_code(ends).alias("code")).orderBy("report_id").collect()]
+    assert ordered == sorted(ordered) and len(set(ordered)) == 5
+
+    def examples(patterns):
+        found = p.with_examples(patterns, df, fixed.PAIR_PATTERNS)
+        return {r["pattern_id"]: r["example_report_ids"] for r in found.collect()}
+
+    assert examples(counted) == examples(p.mine_pairs(df))
