@@ -16,15 +16,15 @@ def build_vectors(df: DataFrame, embedder, text: str = "description") -> DataFra
     """Reports with text, cleaned, embedded to unit vectors and numbered 0..n-1 by report id."""
     valid = drop_blank(df, text)
     columns = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in METADATA[1:]]
-    raw = F.regexp_replace(text, r"^\s+|\s+$", "")
-    rows = valid.select(
-        "report_id", *columns, raw.alias("description"), normalize_text(F.col(text)).alias("_clean")
+    # numbered before texts are cleaned and vectors made: sorting neither moves them nor computes them twice
+    placed = numbered(valid.select("report_id", *columns, F.col(text).alias("_text")), ["report_id"], "vector_id")
+    rows = placed.select(
+        "report_id", *METADATA[1:], F.regexp_replace("_text", r"^\s+|\s+$", "").alias("description"),
+        normalize_text(F.col("_text")).alias("_clean"), "vector_id",
     )
     # a text of nothing but dropped characters stands for itself
     stated = rows.withColumn(
         "clean_description", F.when(F.col("_clean") == "", F.col("description")).otherwise(F.col("_clean"))
     ).drop("_clean")
-    # numbered before the vectors are made: sorting neither moves them nor computes them twice
-    placed = numbered(stated, ["report_id"], "vector_id")
-    embedded = embedder.embed(placed, "clean_description", "embedding")
+    embedded = embedder.embed(stated, "clean_description", "embedding")
     return embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))

@@ -563,3 +563,17 @@ def test_examples_of_reports_with_text_ids(spark):
         return {r["pattern_id"]: r["example_report_ids"] for r in found.collect()}
 
     assert examples(counted) == examples(p.mine_pairs(df))
+
+
+def test_texts_are_cleaned_after_rows_are_numbered(spark, monkeypatch):
+    """The sort by id and its sample of ids read plain texts; cleaning before it was done twice."""
+    from incident_signals.models.features import HashingEmbedder
+    from incident_signals.sources import vectors
+
+    seen, plain = [], vectors.numbered
+    monkeypatch.setattr(vectors, "numbered", lambda df, *rest: seen.append(df) or plain(df, *rest))
+    df = spark.createDataFrame([("b", "  Pump LEAK "), ("a", "Fire"), ("c", " ")], "report_id string, description string")
+    rows = {r["report_id"]: r for r in vectors.build_vectors(df, HashingEmbedder()).collect()}
+    assert {k: (r["vector_id"], r["description"], r["clean_description"]) for k, r in rows.items()} == {
+        "a": (0, "Fire", "fire"), "b": (1, "Pump LEAK", "pump leak")}
+    assert "clean" not in str(seen[0].columns) and "translate" not in plan_of(seen[0])
