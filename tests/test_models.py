@@ -312,3 +312,17 @@ def test_steps_of_a_fit_are_few_tasks(spark, trained, monkeypatch):
     classifiers.SifClassifier().fit(scattered)
     classifiers.RuleClassifier(fixed.LIFE_SAVING_RULES[:2]).fit(scattered, "labels")
     assert len(seen) == 3 and max(seen) <= classifiers.LEAST_TASKS
+
+
+def test_features_of_every_term_from_texts_cleaned_once(spark, sf_dir, monkeypatch):
+    """Passes read cleaned texts at rest, no term is cut off, and what is stored of a vector is read as it is."""
+    from incident_signals.catalog import model_queries
+
+    seen, plain = [], ft.TfidfFeatures.fit
+    monkeypatch.setattr(ft.TfidfFeatures, "fit", lambda self, df, **options: seen.append((df, options)) or plain(self, df, **options))
+    found = model_queries.tfidf_features(spark, sf_dir)
+    (df, options), = seen
+    assert "documents" not in df._jdf.queryExecution().toString()
+    assert options["max_features"] >= 1 << 30
+    assert "vector_to_array" not in model_queries.tfidf_features.__code__.co_names
+    assert found.count() == model_queries.training_reports(spark, sf_dir).count()
