@@ -577,3 +577,23 @@ def test_texts_are_cleaned_after_rows_are_numbered(spark, monkeypatch):
     assert {k: (r["vector_id"], r["description"], r["clean_description"]) for k, r in rows.items()} == {
         "a": (0, "Fire", "fire"), "b": (1, "Pump LEAK", "pump leak")}
     assert "clean" not in str(seen[0].columns) and "translate" not in plan_of(seen[0])
+
+
+def test_emerging_patterns_share_the_count_of_patterns(spark, monkeypatch):
+    """All combinations of all reports are counted once for the recurring and the emerging patterns."""
+    from incident_signals.plans import analytics
+
+    rows = [(i, f"s{i % 7}", ["a", "b"][: i % 2 + 1], [f"h{i % 3}"], f"2024-{i % 12 + 1:02d}-15") for i in range(400)]
+    df = spark.createDataFrame(
+        rows, "report_id long, site string, predicted_activity array<string>, predicted_hazards array<string>, date string"
+    ).selectExpr("*", "1 AS sif_prediction", "0.5D AS sif_probability", "'text' AS description", "'here' AS location", "'x' AS report_type")
+    df = df.withColumns({c: F.array(F.lit("one")) for c in fixed.LIST_COLUMNS if c not in df.columns})
+    seen, plain = [], p.count_patterns
+    counting = lambda *args, **options: seen.append(args) or plain(*args, **options)
+    monkeypatch.setattr(p, "count_patterns", counting)
+    monkeypatch.setattr(e, "count_patterns", counting)
+    outputs = analytics.run_analytics(df)
+    assert len(seen) == 1
+    found = sorted(map(str, outputs["emerging_patterns"].collect()))
+    assert found and found == sorted(map(str, e.detect_emerging(df).collect()))
+    assert not {"current_count", "_upto"} & set(outputs["recurring_patterns"].columns)
