@@ -326,3 +326,11 @@ def test_features_of_every_term_from_texts_cleaned_once(spark, sf_dir, monkeypat
     assert options["max_features"] >= 1 << 30
     assert "vector_to_array" not in model_queries.tfidf_features.__code__.co_names
     assert found.count() == model_queries.training_reports(spark, sf_dir).count()
+
+
+def test_saved_models_read_texts_cleaned_once():
+    """Both models score the same cleaned texts at rest."""
+    from incident_signals.catalog import source_queries
+
+    names = source_queries.saved_models.__code__.co_names
+    assert "cleaned_reports" in names and "training_reports" not in names
